@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The workload this library rebuilds reads one table and writes one table per
+run; it has no stream, watermark, late data or state.  Nothing is planned
+here until a streaming source is part of the job.
+"""
