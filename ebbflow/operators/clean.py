@@ -68,10 +68,11 @@ def outlier_counts(df: DataFrame, cols=None, factor: float = 3.0) -> DataFrame:
     cols = _present(df, cols or CLEAN_COLS)
     bounds = iqr_bounds(df, cols, factor)
     wide = bounds.groupBy().pivot("column", cols).agg(F.first(F.struct("lower", "upper")))
+    wide = wide.select(*[F.col(f"`{c}`").alias(f"__b_{c}") for c in cols])
     counts = df.crossJoin(F.broadcast(wide)).agg(
         *[
             F.sum(
-                F.when((F.col(c) < F.col(f"`{c}`.lower")) | (F.col(c) > F.col(f"`{c}`.upper")), 1).otherwise(0)
+                F.when((F.col(c) < F.col(f"__b_{c}.lower")) | (F.col(c) > F.col(f"__b_{c}.upper")), 1).otherwise(0)
             )
             .cast("bigint")
             .alias(c)
