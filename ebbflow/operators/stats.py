@@ -112,7 +112,8 @@ def summary_stats(df: DataFrame, n: int = 30, key: str = K, date: str = D) -> Da
             F.avg(t).alias(f"{short}_mean"),
             F.stddev_samp(t).alias(f"{short}_std"),
         ]
-    aggs += [F.avg(a - r).alias("net_flow_mean"), F.avg(eps_ratio(a, r)).alias("ratio_mean")]
+    # ratio mean over days with redemptions: a zero day would put ~1e8 x apply into the mean
+    aggs += [F.avg(a - r).alias("net_flow_mean"), F.avg(F.try_divide(a, F.when(r > F.lit(0), r))).alias("ratio_mean")]
     return last_n(df.select(key, date, "apply_amt", "redeem_amt"), n, key, date).groupBy(key).agg(*aggs)
 
 
