@@ -235,9 +235,12 @@ def recursive_forecast(df: DataFrame, start, n_days: int = 7, targets=TARGETS, k
         F.max("__n").alias("__n"),
         F.array_sort(F.collect_list(F.struct(F.col(date).alias("d"), *[F.col(s).cast("double").alias(s) for s in series]))).alias("__h"),
     )
+    def field(s):
+        return lambda e: e[s]
+
     init = F.struct(
         F.col("__n").alias("n"),
-        *[F.transform(F.col("__h"), lambda e, s=s: e[s]).alias(s) for s in series],
+        *[F.transform(F.col("__h"), field(s)).alias(s) for s in series],
         F.array().cast("array<struct<day_idx:int," + ",".join(f"{s}:double" for s in series) + ">>").alias("out"),
     )
 

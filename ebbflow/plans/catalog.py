@@ -56,4 +56,4 @@ def sql_round(expr: str, places: int = R) -> str:
 
 
 # Import the query modules so they register themselves.
-from ebbflow.plans import q_basic, q_features, q_market, q_select, q_stats, q_tech  # noqa: E402,F401
+from ebbflow.plans import q_basic, q_features, q_forecast, q_market, q_score, q_select, q_stats, q_tech  # noqa: E402,F401
