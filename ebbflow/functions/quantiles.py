@@ -3,10 +3,13 @@
 Spark's exact ``percentile`` keeps every distinct value of the group in one
 aggregation buffer; for a table-wide quantile that is the whole column in the
 final task.  Here a ``percentile_approx`` sketch (rank error <= n/accuracy)
-first gives, per requested probability, a value bracket that must contain the
-wanted order statistics; a second pass counts the values below the bracket and
-sorts only the values inside it (about 4n/accuracy of them).  The result is
-the exact linearly interpolated quantile (numpy/pandas 'linear', DuckDB
+first gives, per column and probability, a value bracket that must contain
+the wanted order statistics.  A second pass counts the values below each
+bracket (one aggregate of counters) and ships only the values inside the
+brackets, keyed by (column, probability), to a ``groupBy``: each bracket is
+sorted in its own task and holds about 4n/accuracy values, so neither the
+number of columns nor the row count piles up in one task.  The result is the
+exact linearly interpolated quantile (numpy / pandas 'linear', DuckDB
 ``quantile_cont``).
 """
 
@@ -15,10 +18,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ACCURACY = 100000
+# Sketch accuracy: rank error <= n / ACCURACY, so each bracket holds about
+# 4n / ACCURACY values; the sketch keeps O(ACCURACY) entries per column.
+ACCURACY = 2000
 
 
-def _name(c: str, p: float) -> str:
+def quantile_name(c: str, p: float) -> str:
     return f"{c}__q{repr(float(p)).replace('.', '_').replace('-', 'm')}"
 
 
@@ -30,46 +35,83 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy
     if not cols:
         raise ValueError("no columns")
     delta = 2.0 / accuracy
-    lo_ps = [max(0.0, p - delta) for p in probs]
-    hi_ps = [min(1.0, p + delta) for p in probs]
-    sketch = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        sketch.append(F.count(x).alias(f"{c}__n"))
-        sketch.append(F.percentile_approx(x, lo_ps, accuracy).alias(f"{c}__lo"))
-        sketch.append(F.percentile_approx(x, hi_ps, accuracy).alias(f"{c}__hi"))
-    bounds = df.agg(*sketch)  # one row
+    k = len(probs)
+    ps = [max(0.0, p - delta) for p in probs] + [min(1.0, p + delta) for p in probs]
+    xs = {c: F.col(f"`{c}`").cast("double") for c in cols}
+    # pass 1: counts and one sketch per column (one row)
+    bounds = df.agg(
+        *[F.count(xs[c]).alias(f"n{ci}") for ci, c in enumerate(cols)],
+        *[F.percentile_approx(xs[c], ps, accuracy).alias(f"b{ci}") for ci, c in enumerate(cols)],
+    )
+    joined = df.select(*[xs[c].alias(f"x{ci}") for ci, c in enumerate(cols)]).crossJoin(F.broadcast(bounds))
 
-    pairs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        for i, _ in enumerate(probs):
-            lo = F.col(f"{c}__lo")[i]
-            hi = F.col(f"{c}__hi")[i]
-            inside = x.isNotNull() & (x >= lo) & (x <= hi)
-            pairs.append(F.count(F.when(x < lo, F.lit(1))).alias(f"{c}__below{i}"))
-            pairs.append(F.sort_array(F.collect_list(F.when(inside, x))).alias(f"{c}__in{i}"))
-        pairs.append(F.first(f"{c}__n").alias(f"{c}__n"))
-    # The bounds row is one row: a broadcast nested-loop over it costs a scan.
-    stats = df.crossJoin(F.broadcast(bounds)).agg(*pairs)
+    def small(ci):
+        # below 4 x accuracy values the sketch margin may be under one rank:
+        # the whole (constant-bounded) column is then the bracket
+        return F.col(f"n{ci}") < F.lit(4 * accuracy)
 
-    out = []
-    for c in cols:
-        n = F.col(f"{c}__n")
-        for i, p in enumerate(probs):
-            below = F.col(f"{c}__below{i}")
-            arr = F.col(f"{c}__in{i}")
-            pos = (n - F.lit(1)).cast("double") * F.lit(float(p))
-            lo_rank = F.floor(pos)
-            hi_rank = F.ceil(pos)
-            frac = pos - lo_rank
-            # element_at is 1-based
-            v_lo = F.try_element_at(arr, (lo_rank - below + F.lit(1)).cast("int"))
-            v_hi = F.try_element_at(arr, (hi_rank - below + F.lit(1)).cast("int"))
-            val = F.when(n > F.lit(0), v_lo + (v_hi - v_lo) * frac)
-            out.append(val.alias(quantile_name(c, p)))
-    return stats.select(*out)
+    def lo(ci, pi):
+        return F.col(f"b{ci}")[pi]
 
+    def hi(ci, pi):
+        return F.col(f"b{ci}")[pi + k]
 
-def quantile_name(c: str, p: float) -> str:
-    return _name(c, p)
+    # pass 2a: values below each bracket (plain counters, one row)
+    below = joined.agg(
+        *[
+            F.count(F.when(~small(ci) & (F.col(f"x{ci}") < lo(ci, pi)), F.lit(1))).alias(f"c{ci}_{pi}")
+            for ci in range(len(cols))
+            for pi in range(k)
+        ],
+        *[F.first(f"n{ci}").alias(f"n{ci}") for ci in range(len(cols))],
+    )
+    # pass 2b: bracket members as (column, probability, value), sorted per group
+    members = F.array(
+        *[
+            F.struct(
+                F.lit(ci).alias("ci"),
+                F.lit(pi).alias("pi"),
+                F.when(
+                    F.col(f"x{ci}").isNotNull()
+                    & (small(ci) | ((F.col(f"x{ci}") >= lo(ci, pi)) & (F.col(f"x{ci}") <= hi(ci, pi)))),
+                    F.col(f"x{ci}"),
+                ).alias("v"),
+            )
+            for ci in range(len(cols))
+            for pi in range(k)
+        ]
+    )
+    inside = joined.select(F.explode(F.filter(members, lambda m: m["v"].isNotNull())).alias("m")).select("m.*")
+    sorted_b = inside.groupBy("ci", "pi").agg(F.sort_array(F.collect_list("v")).alias("arr"))
+    # pass 3: pick the order statistics (one small row per (column, probability))
+    counts = below.select(
+        F.explode(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(ci).alias("ci"),
+                        F.lit(pi).alias("pi"),
+                        F.col(f"n{ci}").alias("n"),
+                        F.col(f"c{ci}_{pi}").alias("below"),
+                        F.lit(float(p)).alias("p"),
+                    )
+                    for ci in range(len(cols))
+                    for pi, p in enumerate(probs)
+                ]
+            )
+        ).alias("s")
+    ).select("s.*")
+    picked = counts.join(sorted_b, ["ci", "pi"], "left")
+    pos = (F.col("n") - F.lit(1)).cast("double") * F.col("p")
+    lo_rank, hi_rank = F.floor(pos), F.ceil(pos)
+    arr = F.coalesce(F.col("arr"), F.array().cast("array<double>"))
+    v_lo = F.try_element_at(arr, (lo_rank - F.col("below") + F.lit(1)).cast("int"))
+    v_hi = F.try_element_at(arr, (hi_rank - F.col("below") + F.lit(1)).cast("int"))
+    val = F.when(F.col("n") > F.lit(0), v_lo + (v_hi - v_lo) * (pos - lo_rank))
+    long = picked.select("ci", "pi", val.alias("q"))
+    # back to one row: a pivot over at most (columns x probabilities) small rows
+    names = {(ci, pi): quantile_name(c, p) for ci, c in enumerate(cols) for pi, p in enumerate(probs)}
+    wide = long.select(F.concat_ws("_", F.col("ci").cast("string"), F.col("pi").cast("string")).alias("key"), "q")
+    keys = [f"{ci}_{pi}" for (ci, pi) in names]
+    row = wide.groupBy().pivot("key", keys).agg(F.first("q"))
+    return row.select(*[F.col(f"`{ci}_{pi}`").alias(names[(ci, pi)]) for (ci, pi) in names])

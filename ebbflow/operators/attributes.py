@@ -253,7 +253,7 @@ def parse_responses(responses: DataFrame, key: str = K) -> DataFrame:
             raw = F.try_element_at(m, F.lit(k))
             if k in NUMERIC_KEYS:
                 dflt = v if v is not None else {"risk_level": 3, "expected_return": 6.0}[k]
-                x = F.try_cast(F.trim(raw), "double")
+                x = F.trim(raw).try_cast("double")
                 x = F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)
                 rng = clamp_range(k, dflt)
                 if rng:

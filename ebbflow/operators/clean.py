@@ -147,18 +147,22 @@ def nulls_for_nonfinite(df: DataFrame, cols=None) -> DataFrame:
 def ffill_bfill(df: DataFrame, cols=None, key: str = K, date: str = D, backfill: bool = True) -> DataFrame:
     """Forward fill, then back fill, within each key in date order."""
     cols = set(cols or numeric_columns(df, exclude=(key, date)))
+    # Both fills are running frames (incremental, O(1) per row): the back fill
+    # is a forward fill over the reversed date order, not an unbounded-following
+    # frame, which Spark would recompute for every row.
     w_past = Window.partitionBy(key).orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
-    w_future = Window.partitionBy(key).orderBy(date).rowsBetween(0, Window.unboundedFollowing)
-    out = []
-    for c in df.columns:
-        if c in cols:
-            filled = F.last(c, ignorenulls=True).over(w_past)
-            if backfill:
-                filled = F.coalesce(filled, F.first(c, ignorenulls=True).over(w_future))
-            out.append(filled.alias(c))
-        else:
-            out.append(F.col(c))
-    return df.select(*out)
+    w_rev = Window.partitionBy(key).orderBy(F.col(date).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    fwd = df.select(
+        *[(F.last(F.col(f"`{c}`"), ignorenulls=True).over(w_past).alias(c) if c in cols else F.col(f"`{c}`")) for c in df.columns]
+    )
+    if not backfill:
+        return fwd
+    return fwd.select(
+        *[
+            (F.coalesce(F.col(f"`{c}`"), F.last(F.col(f"`{c}`"), ignorenulls=True).over(w_rev)).alias(c) if c in cols else F.col(f"`{c}`"))
+            for c in df.columns
+        ]
+    )
 
 
 # ------------------------------------------------------------------------- C7
@@ -168,9 +172,25 @@ def global_medians(df: DataFrame, cols) -> DataFrame:
     return q.select(*[F.col(quantile_name(c, 0.5)).alias(c) for c in cols])
 
 
-def median_fill(df: DataFrame, cols=None, exclude=(K, D)) -> DataFrame:
-    """Remaining NULLs take the column's global median, then 0."""
+def columns_with_nulls(df: DataFrame, cols) -> list[str]:
+    """Columns holding at least one NULL (one aggregate of counters; the list drives the plan)."""
+    cols = list(cols)
+    if not cols:
+        return []
+    row = df.agg(*[F.max(F.col(f"`{c}`").isNull().cast("int")).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    return [c for i, c in enumerate(cols) if row[f"n{i}"]]
+
+
+def median_fill(df: DataFrame, cols=None, exclude=(K, D), only_if_null: bool = False) -> DataFrame:
+    """Remaining NULLs take the column's global median, then 0.
+
+    ``only_if_null`` first finds the columns that still hold NULLs (as the
+    reference, which takes the median only of such columns) and computes
+    medians for those alone.
+    """
     cols = list(cols or numeric_columns(df, exclude=exclude))
+    if only_if_null:
+        cols = columns_with_nulls(df, cols)
     if not cols:
         return df
     med = global_medians(df, cols).select(*[F.col(c).alias(f"__m_{c}") for c in cols])
@@ -187,7 +207,7 @@ def median_fill(df: DataFrame, cols=None, exclude=(K, D)) -> DataFrame:
 def smart_fill(df: DataFrame, key: str = K, date: str = D, backfill: bool = True) -> DataFrame:
     """C5 + C6 + C7 as in the reference fill step; numeric NULLs end as 0, text as '0'."""
     num = numeric_columns(df, exclude=(key, date))
-    out = median_fill(ffill_bfill(nulls_for_nonfinite(df), num, key, date, backfill), num)
+    out = median_fill(ffill_bfill(nulls_for_nonfinite(df), num, key, date, backfill), num, only_if_null=True)
     text = string_columns(out, exclude=(key,))
     return out.fillna("0", subset=text) if text else out
 

@@ -45,6 +45,64 @@ def historical_window_columns(targets=TARGETS, windows=(7, 14, 30), key=K, date=
 
 
 # ------------------------------------------------------------------------- X5
+def levels_for(df: DataFrame, key=K) -> int:
+    """Number of halving levels covering the longest key history (one small aggregate)."""
+    mx = df.groupBy(key).count().agg(F.max("count")).first()[0] or 1
+    return max(1, int(mx - 1).bit_length())
+
+
+def add_earlier_le_count(df: DataFrame, col: str, out: str, levels: int, key=K, date=D) -> DataFrame:
+    """``out`` = number of earlier rows of the key whose value is <= this row's value (exact).
+
+    Divide and conquer over the row index i: at level l, rows are grouped by
+    i >> (l+1); each right-half row counts the left-half rows of its group with
+    a value <= its own, by a running count over the group sorted by (value,
+    half).  Every earlier row is counted at exactly one level, so the sum over
+    ``levels`` levels is the exact count.  Cost O(n log^2 n) in window sorts,
+    no arrays, no pairs; NULL values are never counted.
+    """
+    w = fund_window(key, date)
+    idx = "__idx"
+    cur = df.withColumn(idx, F.row_number().over(w) - F.lit(1))
+    parts = []
+    for lv in range(levels):
+        parent = F.shiftright(F.col(idx), lv + 1)
+        half = F.shiftright(F.col(idx), lv).bitwiseAND(F.lit(1))
+        wl = Window.partitionBy(key, parent).orderBy(F.col(col).asc_nulls_first(), half).rowsBetween(
+            Window.unboundedPreceding, 0
+        )
+        left_ok = F.when((half == F.lit(0)) & F.col(col).isNotNull(), F.lit(1)).otherwise(F.lit(0))
+        cnt = F.sum(left_ok).over(wl)
+        name = f"__lv{lv}"
+        cur = cur.withColumn(name, F.when((half == F.lit(1)) & F.col(col).isNotNull(), cnt).otherwise(F.lit(0)))
+        parts.append(name)
+    total = sum((F.col(p) for p in parts[1:]), F.col(parts[0])) if parts else F.lit(0)
+    return cur.withColumn(out, total.cast("long")).drop(*parts)
+
+
+def add_historical_percentile(df: DataFrame, targets=TARGETS, windows=(7, 14, 30), key=K, date=D,
+                              bound: int | None = None, levels: int | None = None) -> DataFrame:
+    """Share of earlier values <= today's (0.5 on the first row).
+
+    ``bound=None`` is the reference behaviour: every earlier row of the key
+    counts and the window size only names the column (the three columns are
+    equal); computed exactly by ``add_earlier_le_count``.  ``bound=n`` limits
+    the look-back to n rows (a bounded frame).
+    """
+    if bound is not None:
+        return df.select("*", *historical_percentile_columns(targets, windows, key, date, bound))
+    lv = levels if levels is not None else levels_for(df, key)
+    out = df
+    for t in targets:
+        out = add_earlier_le_count(out, t, f"__le_{t}", lv, key, date)
+    res = []
+    for t in targets:
+        share = F.try_divide(F.col(f"__le_{t}").cast("double"), F.col("__idx").cast("double"))
+        pct = F.when(F.col("__idx") == F.lit(0), F.lit(0.5)).otherwise(share)
+        res += [pct.alias(f"{t}_historical_percentile_{n}") for n in windows]
+    return out.select("*", *res).drop("__idx", *[f"__le_{t}" for t in targets])
+
+
 def historical_percentile_columns(targets=TARGETS, windows=(7, 14, 30), key=K, date=D, bound: int | None = None) -> list[Column]:
     """Share of earlier values <= today's; 0.5 on the first row.
 

@@ -1,64 +1,104 @@
 """Technical indicators per key.
 
-Exponential weights (T1, T2, T6) read one bounded history array per target,
-``collect_list`` over the last L rows, with L the largest horizon after which
-a weight falls below 1e-12; each indicator folds its own tail of that array
-with ``aggregate``.  Cost is O(rows x L) with L <= 360, independent of the
-history length, and stays inside the JVM (no Python).
+Exponential weights (T1, T2, T6) use the exact infinite-horizon sums
+S_i = sum_{j<=i} beta^(i-j) x_j that pandas computes, with O(1) work per row
+and no arrays: rows are cut into blocks of B rows (B chosen so beta^B <
+1e-30); inside a block a running sum of beta^(-offset) x gives S up to the
+block start, and the previous block's end value is carried by a ``last``
+window.  Terms older than one block weigh below 1e-30 and are dropped.
+Each block size needs one extra sort on (key, block); no shuffle is added
+because the data is already hash-partitioned by key.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ebbflow.functions.exprs import (
-    ema_from_history,
-    eps_ratio,
-    ewm_horizon,
-    ewm_mean_from_history,
-    ewm_std_from_history,
-    fund_window,
-)
+from ebbflow.functions.exprs import eps_ratio, fund_window
 from ebbflow.schema import D, EPS, K, TARGETS
 
 MACD_SPANS = (12, 26, 9)  # fixed values: fast, slow and signal spans
+BLOCK_TOL = 1e-30
 
 
 def span_alpha(span: int) -> float:
     return 2.0 / (span + 1.0)
 
 
-def _tail(hist: Column, n: int) -> Column:
-    """Last ``n`` elements of an oldest-to-newest array."""
-    size = F.size(hist)
-    start = F.greatest(size - F.lit(n - 1), F.lit(1))
-    return F.slice(hist, start, F.least(size, F.lit(n)))
+def alpha_tag(a: float) -> str:
+    """'0.1' -> '0_1': Spark reads a dot in a column name as a struct path."""
+    return str(a).replace(".", "_")
 
 
-def history_horizon(alphas=(0.1, 0.2, 0.3, 0.5), spans=MACD_SPANS[:2]) -> int:
-    hs = [ewm_horizon(a) for a in alphas] + [ewm_horizon(span_alpha(s)) for s in spans]
-    return max(hs)
+def block_size(alpha: float, tol: float = BLOCK_TOL) -> int:
+    return int(math.ceil(math.log(tol) / math.log(1.0 - alpha)))
 
 
-def history_column(t: str, horizon: int, key=K, date=D) -> Column:
-    w = fund_window(key, date).rowsBetween(-horizon, 0)
-    return F.collect_list(F.col(t).cast("double")).over(w)
+# ------------------------------------------------------------- shared sums
+def add_exp_sums(df: DataFrame, specs, key: str = K, date: str = D) -> DataFrame:
+    """For each spec (name, source column, alpha, with_squares) add ``{name}_s1`` (and ``{name}_s2``):
+    sum over earlier-or-current rows of beta^(i-j) x_j (and x_j^2), plus ``__rn`` (1-based row number).
+    """
+    w = fund_window(key, date)
+    if "__rn" not in df.columns:
+        df = df.withColumn("__rn", F.row_number().over(w))
+    j0 = F.col("__rn") - F.lit(1)
+    first = []
+    for name, src, alpha, sq in specs:
+        beta = 1.0 - alpha
+        B = block_size(alpha)
+        blk = F.floor(j0 / F.lit(B))
+        off = j0 - blk * F.lit(B)
+        scale = F.pow(F.lit(beta), -off)
+        wb = Window.partitionBy(key, blk).orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
+        x = F.col(src).cast("double")
+        first.append(off.cast("int").alias(f"__{name}_off"))
+        first.append(F.sum(scale * x).over(wb).alias(f"__{name}_q1"))
+        if sq:
+            first.append(F.sum(scale * x * x).over(wb).alias(f"__{name}_q2"))
+    df = df.select("*", *first)
+    prev = w.rowsBetween(Window.unboundedPreceding, -1)
+    second, drop = [], []
+    for name, src, alpha, sq in specs:
+        beta = 1.0 - alpha
+        B = block_size(alpha)
+        off = F.col(f"__{name}_off")
+        is_end = off == F.lit(B - 1)
+        for q, out in ((f"__{name}_q1", f"{name}_s1"), (f"__{name}_q2", f"{name}_s2")):
+            if q.endswith("q2") and not sq:
+                continue
+            carry = F.coalesce(F.last(F.when(is_end, F.col(q)), ignorenulls=True).over(prev), F.lit(0.0))
+            second.append((F.pow(F.lit(beta), off) * (F.col(q) + F.lit(beta ** B) * carry)).alias(out))
+            drop.append(q)
+        drop.append(f"__{name}_off")
+    return df.select("*", *second).drop(*drop)
+
+
+def _weights(alpha: float) -> tuple[Column, Column]:
+    """Sum of weights and of squared weights over the first ``__rn`` rows (closed forms)."""
+    beta = 1.0 - alpha
+    n = F.col("__rn")
+    w1 = (F.lit(1.0) - F.pow(F.lit(beta), n)) / F.lit(1.0 - beta)
+    w2 = (F.lit(1.0) - F.pow(F.lit(beta * beta), n)) / F.lit(1.0 - beta * beta)
+    return w1, w2
 
 
 # ------------------------------------------------------------------ T1 / T2
-def alpha_tag(a: float) -> str:
-    """'0.1' -> '0_1': Spark reads a dot in a column name as a struct path."""
-    return str(a).replace(".", "_")
+def ewm_mean_col(name: str, alpha: float) -> Column:
+    w1, _ = _weights(alpha)
+    return F.col(f"{name}_s1") / w1
 
 
-def ewm_columns(t: str, hist: Column, alphas=(0.1, 0.2, 0.3, 0.5)) -> list[Column]:
-    out = []
-    for a in alphas:
-        h = _tail(hist, ewm_horizon(a) + 1)
-        out.append(ewm_mean_from_history(h, a).alias(f"{t}_ewm_{alpha_tag(a)}"))
-        out.append(ewm_std_from_history(h, a, F.col(t)).alias(f"{t}_ewm_std_{alpha_tag(a)}"))
-    return out
+def ewm_std_col(name: str, alpha: float) -> Column:
+    """Bias-corrected adjusted EWM std: sqrt((S2/W - m^2) * W^2 / (W^2 - W2)); NULL for one row."""
+    w1, w2 = _weights(alpha)
+    m = F.col(f"{name}_s1") / w1
+    var = F.col(f"{name}_s2") / w1 - m * m
+    den = w1 * w1 - w2
+    return F.when(den > F.lit(0.0), F.sqrt(F.greatest(var, F.lit(0.0)) * w1 * w1 / den))
 
 
 # ------------------------------------------------------------------ T3 / T4
@@ -73,16 +113,16 @@ def cumulative_columns(t: str, key=K, date=D) -> list[Column]:
 
 
 # ------------------------------------------------------------------------- T5
-def rsi_columns(t: str, periods=(7, 14, 21), key=K, date=D) -> list[Column]:
-    """Simple-mean RSI over the last p rows including today; first diff counts 0."""
-    base = fund_window(key, date)
-    delta = F.col(t) - F.lag(t, 1).over(base)
+def gain_loss_columns(t: str, key=K, date=D) -> list[Column]:
+    """First difference split in gain / loss; the first row's difference counts as 0."""
+    delta = F.col(t) - F.lag(t, 1).over(fund_window(key, date))
     gain = F.when(delta > F.lit(0), delta).otherwise(F.lit(0.0))
     loss = F.when(delta < F.lit(0), -delta).otherwise(F.lit(0.0))
     return [gain.alias(f"__{t}_gain"), loss.alias(f"__{t}_loss")]
 
 
 def rsi_from_gains(t: str, periods=(7, 14, 21), key=K, date=D) -> list[Column]:
+    """Simple-mean RSI over the last p rows including today."""
     base = fund_window(key, date)
     out = []
     for p in periods:
@@ -95,19 +135,9 @@ def rsi_from_gains(t: str, periods=(7, 14, 21), key=K, date=D) -> list[Column]:
 
 
 # ------------------------------------------------------------------------- T6
-def macd_line(t: str, hist: Column) -> Column:
-    fast, slow, _ = MACD_SPANS
-    e_fast = ema_from_history(_tail(hist, ewm_horizon(span_alpha(fast)) + 1), span_alpha(fast))
-    e_slow = ema_from_history(_tail(hist, ewm_horizon(span_alpha(slow)) + 1), span_alpha(slow))
-    return e_fast - e_slow
-
-
-def macd_signal_columns(t: str, key=K, date=D) -> list[Column]:
-    sig = MACD_SPANS[2]
-    a = span_alpha(sig)
-    w = fund_window(key, date).rowsBetween(-ewm_horizon(a), 0)
-    signal = ema_from_history(F.collect_list(F.col(f"{t}_macd")).over(w), a)
-    return [signal.alias(f"{t}_macd_signal"), (F.col(f"{t}_macd") - signal).alias(f"{t}_macd_histogram")]
+def ema_col(name: str, alpha: float, first_value: Column) -> Column:
+    """Unadjusted EMA seeded by the first value: alpha * S_i + beta^i * x_1."""
+    return F.lit(alpha) * F.col(f"{name}_s1") + F.pow(F.lit(1.0 - alpha), F.col("__rn")) * first_value
 
 
 # ------------------------------------------------------------------------- T7
@@ -129,36 +159,43 @@ def bollinger_columns(t: str, windows=(14, 21), key=K, date=D) -> list[Column]:
     return out
 
 
-def add_technical_features(df: DataFrame, targets=TARGETS, alphas=(0.1, 0.2, 0.3, 0.5), key=K, date=D) -> DataFrame:
-    """T1-T7 for each target: three Window passes on one partitioning, no extra shuffle."""
-    horizon = history_horizon(alphas)
-    first = []
+def add_technical_features(df: DataFrame, targets=TARGETS, alphas=(0.1, 0.2, 0.3, 0.5), key=K, date=D,
+                           rsi_periods=(7, 14, 21), bb_windows=(14, 21)) -> DataFrame:
+    """T1-T7 for each target, in the reference column order."""
+    fast, slow, sig = MACD_SPANS
+    specs = []
     for t in targets:
-        first.append(history_column(t, horizon, key, date).alias(f"__{t}_hist"))
-        first += rsi_columns(t, key=key, date=date)
-    s1 = df.select("*", *first)
-    second = []
+        specs += [(f"__{t}_e{alpha_tag(a)}", t, a, True) for a in alphas]
+        specs += [(f"__{t}_f", t, span_alpha(fast), False), (f"__{t}_s", t, span_alpha(slow), False)]
+    s = add_exp_sums(df, specs, key, date)
+    w_all = fund_window(key, date).rowsBetween(Window.unboundedPreceding, 0)
+    cols = []
     for t in targets:
-        h = F.col(f"__{t}_hist")
-        second += ewm_columns(t, h, alphas)
-        second += cumulative_columns(t, key, date)
-        second += rsi_from_gains(t, key=key, date=date)
-        second.append(macd_line(t, h).alias(f"{t}_macd"))
-        second += bollinger_columns(t, key=key, date=date)
-    s2 = s1.select("*", *second)
-    third = []
+        for a in alphas:
+            n = f"__{t}_e{alpha_tag(a)}"
+            cols += [ewm_mean_col(n, a).alias(f"{t}_ewm_{alpha_tag(a)}"), ewm_std_col(n, a).alias(f"{t}_ewm_std_{alpha_tag(a)}")]
+        cols += cumulative_columns(t, key, date)
+        cols += gain_loss_columns(t, key, date)
+        x1 = F.first(F.col(t), ignorenulls=False).over(w_all)
+        macd = ema_col(f"__{t}_f", span_alpha(fast), x1) - ema_col(f"__{t}_s", span_alpha(slow), x1)
+        cols.append(macd.alias(f"{t}_macd"))
+        cols += bollinger_columns(t, bb_windows, key, date)
+    s2 = s.select("*", *cols)
+    s3 = add_exp_sums(s2, [(f"__{t}_sig", f"{t}_macd", span_alpha(sig), False) for t in targets], key, date)
+    last = []
     for t in targets:
-        third += macd_signal_columns(t, key, date)
-    s3 = s2.select("*", *third)
-    drop = [c for t in targets for c in (f"__{t}_hist", f"__{t}_gain", f"__{t}_loss")]
-    # reference column order per target
+        first_macd = F.first(F.col(f"{t}_macd"), ignorenulls=False).over(w_all)
+        signal = ema_col(f"__{t}_sig", span_alpha(sig), first_macd)
+        last += [signal.alias(f"{t}_macd_signal"), (F.col(f"{t}_macd") - signal).alias(f"{t}_macd_histogram")]
+        last += rsi_from_gains(t, rsi_periods, key, date)
+    s4 = s3.select("*", *last)
     order = []
     for t in targets:
         for a in alphas:
             order += [f"{t}_ewm_{alpha_tag(a)}", f"{t}_ewm_std_{alpha_tag(a)}"]
         order += [f"{t}_cumsum", f"{t}_cummax", f"{t}_cummin", f"{t}_cumprod_log"]
-        order += [f"{t}_rsi_{p}" for p in (7, 14, 21)]
+        order += [f"{t}_rsi_{p}" for p in rsi_periods]
         order += [f"{t}_macd", f"{t}_macd_signal", f"{t}_macd_histogram"]
-        for n in (14, 21):
+        for n in bb_windows:
             order += [f"{t}_bb_upper_{n}", f"{t}_bb_lower_{n}", f"{t}_bb_width_{n}", f"{t}_bb_position_{n}"]
-    return s3.drop(*drop).select(*df.columns, *order)
+    return s4.select(*df.columns, *order)

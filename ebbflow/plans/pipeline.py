@@ -23,6 +23,7 @@ from ebbflow.operators import split as SP
 from ebbflow.operators import technical as TE
 from ebbflow.operators import windows as W
 from ebbflow.schema import D, K, FlowConfig
+from ebbflow.session import cut_lineage
 from ebbflow.sources import io as IO
 
 CALENDAR_COLS = (
@@ -34,22 +35,48 @@ CALENDAR_COLS = (
 
 
 def create_features(flows: DataFrame, holidays: DataFrame | None = None, cfg: FlowConfig = FlowConfig(),
-                    select: bool = False, fill: bool = True, cross_sectional: bool = False) -> DataFrame:
-    """The reference feature stages in order; returns the wide feature table."""
-    df = CAL.add_date_features(flows, holidays)
+                    select: bool = False, fill: bool = True, cross_sectional: bool = False,
+                    levels: int | None = None) -> DataFrame:
+    """The reference feature stages in order; returns the wide feature table.
+
+    ``levels``: halving levels of the exact historical percentile (X5); by
+    default read from the data (log2 of the longest fund history).
+    """
+    if levels is None:
+        levels = M.levels_for(flows)
+    base_cols = list(flows.columns)
+    # Stages that need their own sort run first, while rows are narrow: the
+    # exact percentile (log2 levels) and the exponential block sums.
+    df = M.add_historical_percentile(flows, cfg.targets, cfg.rolling_windows, levels=levels)
+    x5_cols = [c for c in df.columns if c not in base_cols]
+    df = TE.add_technical_features(df, cfg.targets, cfg.ewm_alphas)
+    tech_cols = [c for c in df.columns if c not in base_cols and c not in x5_cols]
+    before = set(df.columns)
+    df = CAL.add_date_features(df, holidays)
+    date_cols = [c for c in df.columns if c not in before]
+    # Every remaining stage is a select over the one (key, date) window.
+    before = set(df.columns)
     df = W.add_time_series_features(df, cfg)
-    df = df.select(
-        "*",
-        *M.expanding_columns(cfg.targets),
-        *M.historical_window_columns(cfg.targets, cfg.rolling_windows),
-        *M.historical_percentile_columns(cfg.targets, cfg.rolling_windows),
-    )
+    ts_cols = [c for c in df.columns if c not in before]
+    before = set(df.columns)
+    df = df.select("*", *M.expanding_columns(cfg.targets), *M.historical_window_columns(cfg.targets, cfg.rolling_windows))
+    hist_cols = [c for c in df.columns if c not in before]
+    cs_cols = []
     if cross_sectional:
+        before = set(df.columns)
         df = M.add_daily_features(df, cfg.targets)
+        cs_cols = [c for c in df.columns if c not in before]
+    before = set(df.columns)
     df = I.add_interaction_features(df)
-    df = TE.add_technical_features(df, cfg.targets, cfg.ewm_alphas)
+    inter_cols = [c for c in df.columns if c not in before]
+    # the reference column order
+    df = df.select(*base_cols, *date_cols, *ts_cols, *hist_cols, *x5_cols, *cs_cols, *inter_cols, *tech_cols)
     if cfg.as_of == "previous_day":
         df = lag_same_day(df, [c for c in df.columns if c not in (K, D, *cfg.targets, *cfg.uv_cols, *CALENDAR_COLS)])
+    if select or fill:
+        # data-dependent decisions follow: materialise the wide table once in
+        # the shared checkpoint folder instead of recomputing it per decision
+        df = cut_lineage(df)
     if select:
         df, _ = SEL.validate_and_select(df, cfg.max_correlation, cfg.max_missing_ratio, cfg.min_variance, cfg.max_feature_count, cfg.targets)
     if fill:

@@ -80,7 +80,8 @@ def rolling_zscore(spark, sf):
 )
 def hist_percentile(spark, sf):
     """Share of all earlier values <= today's (0.5 on the first row)."""
-    return flows(spark, sf).select(K, D, *M.historical_percentile_columns(T2))
+    out = M.add_historical_percentile(flows(spark, sf).select(K, D, *T2), T2)
+    return out.select(K, D, *[f"{t}_historical_percentile_{n}" for t in T2 for n in (7, 14, 30)])
 
 
 @query(

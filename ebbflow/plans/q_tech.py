@@ -39,14 +39,13 @@ RN = (
 
 
 def _ewm_sql(kind: str) -> str:
-    lmax = max(ewm_horizon(a) for a in ALPHAS)
+    """Weights over the whole earlier history of the fund (pandas' infinite horizon)."""
     sel = []
     for t in T2:
         for a in ALPHAS:
-            L = ewm_horizon(a)
             tag = TE.alpha_tag(a)
             w = f"power({1 - a!r}, a.rn - b.rn)"
-            f = f"FILTER (WHERE a.rn - b.rn <= {L})"
+            f = ""
             sw, sw2 = f"sum({w}) {f}", f"sum({w} * {w}) {f}"
             swx, swxx = f"sum({w} * b.{t}) {f}", f"sum({w} * b.{t} * b.{t}) {f}"
             if kind == "mean":
@@ -58,7 +57,7 @@ def _ewm_sql(kind: str) -> str:
                 sel.append(f"{_r(std)} AS {t}_ewm_std_{tag}")
     return with_flows(
         f"""SELECT a.fund_code, a.transaction_date, {', '.join(sel)}
-FROM r a JOIN r b ON a.fund_code = b.fund_code AND b.rn BETWEEN a.rn - {lmax} AND a.rn
+FROM r a JOIN r b ON a.fund_code = b.fund_code AND b.rn <= a.rn
 GROUP BY a.fund_code, a.transaction_date""",
         extra_ctes=RN,
     )
@@ -127,31 +126,29 @@ def rsi(spark, sf):
     return _pick(_tech(spark, sf), [f"{t}_rsi_{p}" for t in T2 for p in (7, 14, 21)])
 
 
-def _ema_terms(alpha: float, L: int, x: str) -> str:
-    """Seeded, truncated EMA at row a over rows b (a.rn - L .. a.rn)."""
+def _ema_terms(alpha: float, x: str) -> str:
+    """EMA (adjust=False) at row a over all rows b <= a, seeded by the fund's first value."""
     w = f"power({1 - alpha!r}, a.rn - b.rn)"
-    seed = "b.rn = greatest(1, a.rn - " + str(L) + ")"
-    return f"sum(CASE WHEN {seed} THEN {w} ELSE {alpha!r} * {w} END * {x}) FILTER (WHERE a.rn - b.rn <= {L})"
+    return f"sum(CASE WHEN b.rn = 1 THEN {w} ELSE {alpha!r} * {w} END * {x})"
 
 
 def _macd_sql() -> str:
     fast, slow, sig = TE.MACD_SPANS
     af, asl, ag = TE.span_alpha(fast), TE.span_alpha(slow), TE.span_alpha(sig)
-    Lf, Ls, Lg = ewm_horizon(af), ewm_horizon(asl), ewm_horizon(ag)
-    m_sel = ", ".join(f"{_ema_terms(af, Lf, 'b.' + t)} - {_ema_terms(asl, Ls, 'b.' + t)} AS m_{t}" for t in T2)
+    m_sel = ", ".join(f"{_ema_terms(af, 'b.' + t)} - {_ema_terms(asl, 'b.' + t)} AS m_{t}" for t in T2)
     s_sel = ", ".join(
-        f"{_r('a.m_' + t)} AS {t}_macd, {_r(_ema_terms(ag, Lg, 'b.m_' + t))} AS {t}_macd_signal, "
-        f"{_r('a.m_' + t + ' - ' + _ema_terms(ag, Lg, 'b.m_' + t))} AS {t}_macd_histogram"
+        f"{_r('a.m_' + t)} AS {t}_macd, {_r(_ema_terms(ag, 'b.m_' + t))} AS {t}_macd_signal, "
+        f"{_r('a.m_' + t + ' - ' + _ema_terms(ag, 'b.m_' + t))} AS {t}_macd_histogram"
         for t in T2
     )
     m_cte = (
         f"m AS (SELECT a.fund_code, a.transaction_date, a.rn, {m_sel} FROM r a JOIN r b "
-        f"ON a.fund_code = b.fund_code AND b.rn BETWEEN a.rn - {max(Lf, Ls)} AND a.rn "
+        f"ON a.fund_code = b.fund_code AND b.rn <= a.rn "
         "GROUP BY a.fund_code, a.transaction_date, a.rn)"
     )
     return with_flows(
         f"""SELECT a.fund_code, a.transaction_date, {s_sel}
-FROM m a JOIN m b ON a.fund_code = b.fund_code AND b.rn BETWEEN a.rn - {Lg} AND a.rn
+FROM m a JOIN m b ON a.fund_code = b.fund_code AND b.rn <= a.rn
 GROUP BY a.fund_code, a.transaction_date, {', '.join('a.m_' + t for t in T2)}""",
         extra_ctes=RN + ",\n" + m_cte,
     )

@@ -17,7 +17,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     if master:
         builder = builder.master(master)
     spark = (
-        builder.config("spark.sql.adaptive.enabled", "true")
+        builder.config("spark.driver.memory", os.environ.get("EBBFLOW_DRIVER_MEMORY", "16g"))
+        .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
