@@ -233,10 +233,34 @@ def prompt_table(stats: DataFrame, key: str = K) -> DataFrame:
 
 
 # ----------------------------------------------------------------- L2-L4
+def single_json_value(body: Column) -> Column:
+    """True when the text is one top-level JSON value (``{..} and {..}`` is not).
+
+    String literals are blanked first; then a fold over the characters
+    counts how often the bracket depth returns to zero.
+    """
+    stripped = F.regexp_replace(body, r'"(?:[^"\\]|\\.)*"', '""')
+    chars = F.split(stripped, "")
+    init = F.struct(F.lit(0).alias("d"), F.lit(0).alias("z"))
+
+    def step(acc, ch):
+        opening = ch.isin("{", "[")
+        closing = ch.isin("}", "]")
+        d = acc["d"] + F.when(opening, F.lit(1)).when(closing, F.lit(-1)).otherwise(F.lit(0))
+        z = acc["z"] + F.when(closing & (d == F.lit(0)), F.lit(1)).otherwise(F.lit(0))
+        return F.struct(d.alias("d"), z.alias("z"))
+
+    return F.aggregate(chars, init, step)["z"] == F.lit(1)
+
+
 def extract_json_map(response: Column) -> Column:
-    """L2: first '{' to last '}' (across lines) parsed as map<string,string>; NULL when absent or malformed."""
+    """L2: first '{' to last '}' (across lines) parsed as map<string,string>; NULL when absent or malformed.
+
+    Spark's JSON reader stops after the first object, so text holding two
+    objects is rejected explicitly, as a strict JSON parser does.
+    """
     body = F.regexp_extract(response, r"(?s)(\{.*\})", 1)
-    return F.when(F.length(body) > F.lit(0), F.from_json(body, "map<string,string>"))
+    return F.when((F.length(body) > F.lit(0)) & single_json_value(body), F.from_json(body, "map<string,string>"))
 
 
 def parse_responses(responses: DataFrame, key: str = K) -> DataFrame:
@@ -257,7 +281,8 @@ def parse_responses(responses: DataFrame, key: str = K) -> DataFrame:
                 x = F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)
                 rng = clamp_range(k, dflt)
                 if rng:
-                    x = F.least(F.greatest(x, F.lit(rng[0])), F.lit(rng[1]))
+                    # greatest/least skip NULL: a failed cast must stay NULL (-> default)
+                    x = F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(rng[0])), F.lit(rng[1])))
                 val = x.cast("string")
             else:
                 val = raw

@@ -314,7 +314,9 @@ def train_median_fill(train: DataFrame, df: DataFrame, cols=None) -> DataFrame:
 # ------------------------------------------------------------------ C12 - C15
 def floor_target_drop_nulls(df: DataFrame, target: str, floor: float = 0.1) -> DataFrame:
     """Target floored at 0.1, then rows with any NULL dropped."""
-    return df.withColumn(target, F.greatest(F.col(target), F.lit(floor))).na.drop("any")
+    t = F.col(target)
+    # a NULL target stays NULL (greatest would skip it) and the row is dropped
+    return df.withColumn(target, F.when(t.isNotNull(), F.greatest(t, F.lit(floor)))).na.drop("any")
 
 
 def drop_all_null_rows(df: DataFrame) -> DataFrame:

@@ -102,9 +102,9 @@ def score_gap(train_pred: DataFrame, valid_pred: DataFrame, y: str, p: str) -> D
 
 
 # ------------------------------------------------------------------------ K5
-def suspicious_correlation(df: DataFrame, target: str, top: int = 20, threshold: float = 0.99) -> DataFrame:
+def suspicious_correlation(df: DataFrame, target: str, top: int = 20, threshold: float = 0.99, cols=None) -> DataFrame:
     """Top features by |corr with the target|; above ``threshold`` they likely encode the target."""
-    cols = numeric_columns(df, exclude=(K, D, *TARGETS))
+    cols = list(cols or numeric_columns(df, exclude=(K, D, *TARGETS)))
     wide = df.agg(*[F.abs(sample_corr(F.col(f"`{c}`"), F.col(target))).alias(c) for c in cols])
     long = _long(wide, cols, "abs_corr")
     return (

@@ -136,7 +136,8 @@ def pairwise_correlations(df: DataFrame, cols) -> DataFrame:
         F.element_at(names, F.col("i") + 1).alias("col_i"),
         F.element_at(names, F.col("j") + 1).alias("col_j"),
         n.alias("n"),
-        F.least(F.greatest(corr, F.lit(-1.0)), F.lit(1.0)).alias("corr"),
+        # greatest/least skip NULL, so clamp only defined correlations
+        F.when(corr.isNotNull(), F.least(F.greatest(corr, F.lit(-1.0)), F.lit(1.0))).alias("corr"),
     )
 
 

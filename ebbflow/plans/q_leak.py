@@ -106,7 +106,7 @@ def suspicious_corr(spark, sf):
         (a + r).alias("total_volume"),
         (a - r).alias("net_flow"),
     ).select(K, D, "apply_amt", *K5_COLS)
-    out = LK.suspicious_correlation(k, "apply_amt", top=5)
+    out = LK.suspicious_correlation(k, "apply_amt", top=5, cols=list(K5_COLS))
     return out.select("column", F.round("abs_corr", R).alias("abs_corr"), (F.round("abs_corr", R) > F.lit(0.99)).alias("suspicious"))
 
 

@@ -19,7 +19,10 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     spark = (
         builder.config("spark.driver.memory", os.environ.get("EBBFLOW_DRIVER_MEMORY", "16g"))
         .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # The feature stages are CPU-bound window operators over a table that
+        # is small in bytes: coalescing shuffle partitions by size would put a
+        # whole stage in one task.  Size spark.sql.shuffle.partitions instead.
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
