@@ -26,18 +26,19 @@ def _long(wide: DataFrame, cols, field: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------------ K1
-def future_variance(df: DataFrame, start, cols=None, date: str = D) -> DataFrame:
+def future_variance(df: DataFrame, start, cols=None, date: str = D, tol: float = 1e-12) -> DataFrame:
     """(column, max_daily_variance, suspicious): cross-key variance per future date, max over dates.
 
-    A feature whose variance is 0 on every future date does not tell the
-    keys apart in the forecast period.
+    A feature whose variance is 0 (below ``tol``: floating sums of equal
+    values may leave ~1e-30) on every future date does not tell the keys
+    apart in the forecast period.
     """
     cols = list(cols or numeric_columns(df, exclude=(K, date, *TARGETS)))
     fut = df.where(F.col(date) >= F.to_date(F.lit(str(start))))
     daily = fut.groupBy(date).agg(*[F.var_samp(F.col(f"`{c}`")).alias(c) for c in cols])
     mx = daily.agg(*[F.max(F.col(f"`{c}`")).alias(c) for c in cols])
     return _long(mx, cols, "max_daily_variance").withColumn(
-        "suspicious", F.coalesce(F.col("max_daily_variance") == F.lit(0.0), F.lit(False))
+        "suspicious", F.coalesce(F.col("max_daily_variance") <= F.lit(tol), F.lit(False))
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ebbflow.operators import calendar as CAL
 from ebbflow.operators import interact as I
 from ebbflow.operators import leakage as LK
+from ebbflow.operators import select as SEL
 from ebbflow.operators import windows as W
 from ebbflow.plans import pipeline as PL
 from ebbflow.plans.catalog import R, flows, query, round_floats
@@ -35,7 +36,7 @@ FROM flows WHERE transaction_date >= (SELECT max(transaction_date) - 6 FROM flow
     "future_variance",
     with_flows(
         " UNION ALL ".join(
-            f"SELECT '{c}' AS \"column\", {_r('max(v)')} AS max_daily_variance, coalesce(max(v) = 0, false) AS suspicious "
+            f"SELECT '{c}' AS \"column\", {_r('max(v)')} AS max_daily_variance, coalesce(max(v) <= 1e-12, false) AS suspicious "
             f"FROM (SELECT var_samp({c}) AS v FROM fv GROUP BY transaction_date)"
             for c in K1_COLS
         ),
@@ -123,6 +124,9 @@ def train_predict(spark, sf):
     """E1 end to end: features, hold-out split, GBT per target, 7-day blended forecast (rows-only)."""
     f = flows(spark, sf)
     feats = PL.create_features(f, A.holidays_for(f), FlowConfig())
+    # V6 reduction to the 30 best-scored features before fitting (the reference
+    # has the same operator, there driven by memory)
+    feats = SEL.top_k_features(feats, 30)
     models, _ = PL.train(feats, FlowConfig(), kind="gbt")
     start = f.agg(F.max(D)).first()[0] + dt.timedelta(days=1)
     return PL.submission(PL.predict(feats, models, start))
