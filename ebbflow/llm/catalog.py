@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ebbflow.llm import sharding
+from ebbflow.llm import bpe, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bpe": bpe.op2_bpe,
     "op8_sharding": sharding.op8_sharding,
 }
 
