@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ebbflow.llm import bpe, sharding
+from ebbflow.llm import bpe, exact_dedup, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": bpe.op2_bpe,
+    "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op8_sharding": sharding.op8_sharding,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op5_exact_dedup": exact_dedup.OP5_SQL,
+}
