@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ebbflow.llm import bpe, exact_dedup, sharding
+from ebbflow.llm import bpe, exact_dedup, sharding, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": bpe.op2_bpe,
+    "op4_warc": warc.op4_warc,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op8_sharding": sharding.op8_sharding,
 }
 
 ORACLE: dict[str, str] = {
+    "op4_warc": warc.OP4_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
 }
