@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ebbflow.llm import bpe, exact_dedup, sharding, warc
+from ebbflow.llm import bpe, exact_dedup, quality, sharding, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": bpe.op2_bpe,
     "op4_warc": warc.op4_warc,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op8_sharding": sharding.op8_sharding,
+    "op9_quality": quality.op9_quality,
 }
 
 ORACLE: dict[str, str] = {
