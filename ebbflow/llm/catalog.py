@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ebbflow.llm import bpe, exact_dedup, quality, sharding, warc
+from ebbflow.llm import bpe, exact_dedup, html_extract, quality, sharding, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": bpe.op2_bpe,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op8_sharding": sharding.op8_sharding,
     "op9_quality": quality.op9_quality,
+    "op10_html": html_extract.op10_html,
 }
 
 ORACLE: dict[str, str] = {
