@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ebbflow.llm import bpe, exact_dedup, html_extract, quality, sharding, warc
+from ebbflow.llm import bpe, exact_dedup, html_extract, packing, quality, sharding, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": bpe.op2_bpe,
+    "op3_packing": packing.op3_packing,
     "op4_warc": warc.op4_warc,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op8_sharding": sharding.op8_sharding,
