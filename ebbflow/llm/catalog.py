@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ebbflow.llm import bpe, decontaminate, exact_dedup, html_extract, packing, quality, sharding, warc
+from ebbflow.llm import bpe, decontaminate, exact_dedup, html_extract, jaccard_join, packing, quality, sharding, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": bpe.op2_bpe,
     "op3_packing": packing.op3_packing,
     "op4_warc": warc.op4_warc,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_sharding": sharding.op8_sharding,
     "op9_quality": quality.op9_quality,

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ebbflow.session import checkpoint_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,3 +28,15 @@ def lower_ascii(text: Column) -> Column:
 def blocks_for(rows: int, per_block: int) -> int:
     """Blocks of about ``per_block`` rows: their number, not their size, grows."""
     return max(1, -(-rows // per_block))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """The name of a new folder below the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder: cuts lineage and survives lost executors."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.mode("error").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -33,13 +33,11 @@ from pyspark.sql import functions as F
 
 from ebbflow.llm.common import table, whole_text
 from ebbflow.llm.rolling import Powers, U, prefixes, windows
+from ebbflow.llm.screening import bit_map, passes
 
 WINDOW = 13
 LEAST_WORDS = 5
 LITERAL_SHARE = 0.6
-#: Bits of the screening map: 4 MB.
-MAP_BITS = 25
-CHUNK_BITS = 13
 REMEMBERED_WORDS = 400_000
 PLAIN, TEMPLATE = 0, 1
 NUMBER, UNIT, NAME = "<number>", "<unit>", "<name>"
@@ -125,8 +123,7 @@ class Reader:
                 else:
                     worth = np.ones(len(found), bool)
                 if screen is not None:
-                    bit = (found >> U(64 - MAP_BITS)).astype(np.int64)
-                    worth &= (screen[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+                    worth &= passes(screen, found)
                 for at in np.flatnonzero(worth).tolist():
                     bare = [EDGES.sub("", raw[k]) for k in held[at : at + width]]
                     kinds = [placeholder(w) if form == TEMPLATE else None for w in bare]
@@ -156,29 +153,11 @@ def windowed(texts: DataFrame, key: str, widths: list[int] | None = None, screen
     return texts.select(F.col(key).cast("long"), "text").mapInArrow(run, f"{key} long, {WORDS}")
 
 
-def bit_map(items: DataFrame) -> bytes:
-    """2**MAP_BITS bits, those of the items' window hashes set; gathered as chunks of fixed size and number."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        bits = np.zeros(1 << CHUNK_BITS, np.uint8)
-        bits[rows.column("bit").to_numpy() & ((1 << CHUNK_BITS) - 1)] = 1
-        held = np.packbits(bits, bitorder="little").tobytes()
-        return pa.table({"chunk": rows.column("chunk")[:1], "bits": pa.array([held], pa.binary())})
-
-    bit = F.shiftrightunsigned("hash", 64 - MAP_BITS)
-    marked = items.select(bit.alias("bit"), F.shiftright(bit, CHUNK_BITS).alias("chunk")).distinct()
-    out = np.zeros(1 << (MAP_BITS - 3), np.uint8)
-    size = 1 << (CHUNK_BITS - 3)
-    for chunk, held in marked.groupBy("chunk").applyInArrow(run, "chunk long, bits binary").collect():
-        out[chunk * size : (chunk + 1) * size] = np.frombuffer(held, np.uint8)
-    return out.tobytes()
-
-
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, exact, n_windows: consistent runs, the best one of each document and item."""
     items = windowed(benchmark.select("item_id", whole_text().alias("text")), "item_id")
     words = items.select(F.size(F.split("window", " ")).alias("n")).distinct().collect()  # at most WINDOW numbers
-    found = windowed(docs, "doc_id", sorted(r.n for r in words), bit_map(items))
+    found = windowed(docs, "doc_id", sorted(r.n for r in words), bit_map(items.select("hash")))
     keys = ["form", "hash", "window"]
     items = items.withColumnsRenamed({"slots": "item_slots", "at": "item_at"})
     met = found.join(items, keys).withColumn("shift", F.col("at") - F.col("item_at"))
