@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ebbflow.llm import bpe, decontaminate, exact_dedup, html_extract, jaccard_join, packing, quality, sharding, warc
+from ebbflow.llm import bpe, decontaminate, exact_dedup, html_extract, jaccard_join, packing, quality, sharding, suffix_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_bpe": bpe.op2_bpe,
     "op3_packing": packing.op3_packing,
     "op4_warc": warc.op4_warc,
