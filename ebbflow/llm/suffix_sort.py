@@ -24,17 +24,30 @@ class Text:
         self.data, self.depth = data, depth
         self.prefix = prefixes(data.astype(U) + U(1), powers)
         self.down = powers.down
+        n = max(0, len(data) - depth + 1)
+        self.whole = (self.prefix[depth : depth + n] - self.prefix[:n]) * self.down[:n]
+
+    def words(self, at: np.ndarray) -> np.ndarray:
+        """The eight bytes at each place as one number, in the order of the bytes."""
+        out = np.zeros(len(at), U)
+        for k in range(8):
+            out = (out << U(8)) | self.data[at + k].astype(U)
+        return out
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """How many bytes each two suffixes share, up to the depth."""
-        low, high = np.zeros(len(a), I64), np.full(len(a), self.depth, I64)
+        out = np.full(len(a), self.depth, I64)
+        differ = np.flatnonzero(self.whole[a] != self.whole[b])
+        a, b = a[differ], b[differ]
+        low, high = np.zeros(len(a), I64), np.full(len(a), self.depth - 1, I64)
         back_a, back_b, pre_a, pre_b = self.down[a], self.down[b], self.prefix[a], self.prefix[b]
-        for _ in range(self.depth.bit_length()):
+        for _ in range((self.depth - 1).bit_length()):
             middle = (low + high + 1) >> 1
             same = (self.prefix[a + middle] - pre_a) * back_a == (self.prefix[b + middle] - pre_b) * back_b
             low = np.where(same, middle, low)
             high = np.where(same, high, middle - 1)
-        return low
+        out[differ] = low
+        return out
 
     def less(self, a: np.ndarray, b: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
         """Whether suffix a comes before suffix b, or also where they are equal."""
