@@ -23,16 +23,16 @@ read; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbflow.llm.common import blocks_for, table, whole_text, written
-from ebbflow.llm.rolling import Powers, U, mix, prefixes, windows
+from ebbflow.llm.rolling import STEP, Powers, U, mix, prefixes, windows
 from ebbflow.llm.suffix_sort import Text, equal_neighbours, sort_groups
 
 LENGTH = 50
@@ -43,6 +43,7 @@ PIECE_BITS = 20
 #: Bytes of regions that are suffix-sorted at once, beyond one anchor's.
 SORT_BYTES = 4 << 20
 I64 = np.int64
+SENT = pa.schema([(n, pa.int64()) for n in ("anchor", "region", "batch", "least", "before")] + [("bytes", pa.binary())])
 
 
 class Anchors:
@@ -84,8 +85,8 @@ class Anchors:
         return hashes[place], mix(region + (last - first).astype(U)), first, last, place
 
 
-def known(anchor: np.ndarray, region: np.ndarray) -> np.ndarray:
-    """One 64-bit name for the two hashes, used within a batch."""
+def named(anchor: np.ndarray, region: np.ndarray) -> np.ndarray:
+    """A region's name: with its anchor's hash it stands for both hashes, alone it is 64 bits of them."""
     return mix(anchor ^ mix(region))
 
 
@@ -96,22 +97,27 @@ def texts_in(batch: pa.Table) -> Iterator[tuple[int | None, np.ndarray]]:
 
 
 def regions_of_batch(batch: pa.Table) -> pa.Table:
-    """anchor, region, batch, low, high: what the documents of a batch hold, each region once."""
+    """anchor, region (its name), low, more: what the documents of a batch hold, each region once.
+
+    ``low`` is the least document with the region, ``low + more`` the greatest.
+    """
     anchors = Anchors()
-    found = [(h, r, np.full(len(h), d, I64)) for d, data in texts_in(batch) if d is not None for h, r, *_ in [anchors.of(data)]]
+    found = []
+    for doc_id, data in texts_in(batch.filter(pc.is_valid(batch.column("doc_id"))).sort_by("doc_id")):
+        h, r, *_ = anchors.of(data)
+        found.append((h, named(h, r), np.full(len(h), doc_id, I64)))
     none = np.zeros(0, I64)
-    h, r, d = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (none, none, none)
-    order = np.lexsort((d, r, h))
-    h, r, d = h[order], r[order], d[order]
-    cut = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (r[1:] != r[:-1])]) if len(h) else none
-    low, high = (d[cut], d[np.r_[cut[1:], len(d)] - 1]) if len(h) else (none, none)
-    name = batch.column("batch")[0].as_py()
+    h, name, d = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (none, none, none)
+    order = np.argsort(name, kind="stable")
+    name, d = name[order], d[order]
+    cut = np.flatnonzero(np.r_[True, name[1:] != name[:-1]]) if len(name) else none
+    low, high = (d[cut], d[np.r_[cut[1:], len(d)] - 1]) if len(name) else (none, none)
     return pa.table(
-        {"anchor": h[cut].view(I64), "region": r[cut].view(I64), "batch": np.full(len(cut), name, I64), "low": low, "high": high}
+        {"anchor": h[order[cut]].view(I64), "region": name[cut].view(I64), "low": low, "more": high - low}
     )
 
 
-def told_regions(regions: DataFrame) -> DataFrame:
+def told_regions(regions: DataFrame, batch_of: Callable[[str], Column]) -> DataFrame:
     """batch, anchor, region, least, owner: regions that concern a batch.
 
     ``least`` is the first document with the region; ``owner`` says that the batch holds it
@@ -123,39 +129,50 @@ def told_regions(regions: DataFrame) -> DataFrame:
             "*",
             "min(low) over (partition by anchor, region) as least",
             "min(region) over (partition by anchor) <> max(region) over (partition by anchor)"
-            " and min(low) over (partition by anchor) < max(high) over (partition by anchor) as several",
+            " and min(low) over (partition by anchor) < max(low + more) over (partition by anchor) as several",
         )
         .withColumn("owner", F.col("several") & (F.col("low") == F.col("least")))
-        .where("owner or high > least")
-        .select("batch", "anchor", "region", "least", "owner")
+        .where("owner or low + more > least")
+        .select(batch_of("low").alias("batch"), "anchor", "region", "least", "owner")
     )
 
 
 def sent_bytes(batch: pa.Table, told: pa.Table) -> pa.Table:
     """anchor, region, batch, least, before, bytes: the regions that the batch's documents own."""
-    columns: list[list] = [[], [], [], [], [], []]
+    longs: list[tuple] = []
+    blobs: list[np.ndarray] = []
+    lengths: list[np.ndarray] = []
     if batch.num_rows and told.num_rows:
-        h, r = told.column("anchor").to_numpy().view(U), told.column("region").to_numpy().view(U)
-        names, least = known(h, r), told.column("least").to_numpy()
+        names, least = told.column("region").to_numpy().view(U), told.column("least").to_numpy()
         order = np.argsort(names)
         names, least = names[order], least[order]
         sent = np.zeros(len(names), bool)
-        number = told.column("batch")[0].as_py()
         anchors = Anchors()
         for doc_id, data in texts_in(batch):
-            if doc_id is None:
+            if doc_id is None or len(data) < LENGTH:
                 continue
             h, r, first, last, place = anchors.of(data)
-            at, has = lookup(names, known(h, r))
-            for k in np.flatnonzero(has & (least[at] == doc_id)).tolist():
-                if not sent[at[k]]:
-                    sent[at[k]] = True
-                    row = (h[k].view(I64), r[k].view(I64), number, doc_id, place[k] - first[k], data[first[k] : last[k] + LENGTH].tobytes())
-                    for column, value in zip(columns, row, strict=True):
-                        column.append(value)
-    kinds = [pa.int64()] * 5 + [pa.binary()]
-    names = ["anchor", "region", "batch", "least", "before", "bytes"]
-    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+            own = named(h, r)
+            at, has = lookup(names, own)
+            mine = np.flatnonzero(has & (least[at] == doc_id) & ~sent[at])
+            if not len(mine):
+                continue
+            mine = mine[np.unique(at[mine], return_index=True)[1]]
+            sent[at[mine]] = True
+            size = last[mine] - first[mine] + LENGTH
+            ends = np.cumsum(size)
+            blobs.append(data[np.arange(ends[-1]) + np.repeat(first[mine] - (ends - size), size)])
+            lengths.append(size)
+            longs.append((h[mine].view(I64), own[mine].view(I64), np.full(len(mine), doc_id, I64), place[mine] - first[mine]))
+    if not longs:
+        return pa.table([pa.array([], f.type) for f in SENT], SENT)
+    h, name, doc, before = (np.concatenate(x) for x in zip(*longs, strict=True))
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype(np.int32)
+    held = pa.Array.from_buffers(
+        pa.binary(), len(h), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.concatenate(blobs).tobytes())]
+    )
+    number = np.full(len(h), told.column("batch")[0].as_py(), I64)
+    return pa.table([pa.array(h), pa.array(name), pa.array(number), pa.array(doc), pa.array(before), held], SENT)
 
 
 def lookup(names: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +182,7 @@ def lookup(names: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def earlier_strings(rows: pa.Table, powers: Powers) -> pa.Table:
-    """batch, anchor, region, least, starts: strings of the regions that a smaller document has, by suffix sort."""
+    """batch, region, least, first, last: runs of the regions' strings that a smaller document has, by suffix sort."""
     blobs = rows.column("bytes").to_pylist()
     data = np.frombuffer(b"".join(blobs), np.uint8)
     sizes = np.array([len(b) for b in blobs], I64)
@@ -175,15 +192,17 @@ def earlier_strings(rows: pa.Table, powers: Powers) -> pa.Table:
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(strings) - strings, strings)
     anchor = rows.column("anchor").to_numpy()[owner]
     before = rows.column("before").to_numpy()[owner] - nth  # the anchor's place in the string
-    order = np.lexsort((before, anchor))
-    starts, owner, nth = (begin[owner] + nth)[order], owner[order], nth[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (np.diff(anchor[order]) != 0) | (np.diff(before[order]) != 0)
-    cut = np.flatnonzero(new)
+    text = Text(data, LENGTH, powers)
+    starts = begin[owner] + nth
+    # equal strings have equal ends: only the suffixes that agree there are sorted together
+    ends = text.words(starts) * U(STEP) + text.words(starts + LENGTH - 8)
+    key = mix(anchor.view(U) + mix(ends + before.astype(U)))
+    order = np.argsort(key, kind="stable")
+    starts, owner, nth = starts[order], owner[order], nth[order]
+    cut = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0]) if len(order) else order
     groups = np.diff(np.append(cut, len(order)))
     busy = np.repeat(groups > 1, groups)
     starts, owner, nth, groups = starts[busy], owner[busy], nth[busy], groups[groups > 1]
-    text = Text(data, LENGTH, powers)
     ranked = sort_groups(text, starts, groups)
     same = equal_neighbours(text, ranked, groups)
     back = np.argsort(starts, kind="stable")  # starts are distinct: places of the sorted ones in the rows above
@@ -196,10 +215,10 @@ def earlier_strings(rows: pa.Table, powers: Powers) -> pa.Table:
     who, where = who[hit], where[hit]
     order = np.lexsort((where, who))
     who, where = who[order], where[order]
-    cut = np.flatnonzero(np.diff(who, prepend=-1))
-    told = rows.take(pa.array(who[cut])).select(["batch", "anchor", "region", "least"])
-    offsets = pa.array(np.append(cut, len(who)).astype(np.int32))
-    return told.append_column("starts", pa.ListArray.from_arrays(offsets, pa.array(where.astype(np.int32))))
+    cut = np.flatnonzero((np.diff(who, prepend=-1) != 0) | (np.diff(where, prepend=-2) != 1))
+    ends = np.append(cut[1:], len(who)) - 1
+    told = rows.take(pa.array(who[cut])).select(["batch", "region", "least"])
+    return told.append_column("first", pa.array(where[cut])).append_column("last", pa.array(where[ends]))
 
 
 def sort_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,18 +245,18 @@ def sort_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def cut_batch(batch: pa.Table, told: pa.Table) -> pa.Table:
-    """doc_id, n_bytes, starts, ends, kept of a batch's documents."""
-    h, r = told.column("anchor").to_numpy().view(U), told.column("region").to_numpy().view(U)
-    names, least = known(h, r), told.column("least").to_numpy()
-    strings = told.column("starts")
-    order = np.argsort(names, kind="stable")
+    """doc_id, n_bytes, starts, ends, kept of a batch's documents.
+
+    Told rows with ``first`` -1 say from which document on a region goes as a whole, the
+    others which of its strings go in the first document that has it.
+    """
+    c = {k: told.column(k).to_numpy() for k in ("region", "least", "first", "last")}
+    names, least = c["region"].view(U), c["least"]
+    parts = np.flatnonzero(c["first"] >= 0)
+    parts = parts[np.argsort(names[parts], kind="stable")]
+    part_names, part_first, part_last = names[parts], c["first"][parts], c["last"][parts]
+    order = np.argsort(names)
     names, least = names[order], least[order]
-    some = told.num_rows - strings.null_count
-    parts = {}
-    if some:
-        part = told.filter(pc.is_valid(strings))
-        for name, at in zip(known(part.column("anchor").to_numpy().view(U), part.column("region").to_numpy().view(U)).tolist(), part.column("starts").to_pylist(), strict=True):
-            parts[name] = np.array(at, I64)
     anchors = Anchors()
     out: list[list] = [[], [], [], [], []]
     for doc_id, data in texts_in(batch):
@@ -245,21 +264,26 @@ def cut_batch(batch: pa.Table, told: pa.Table) -> pa.Table:
         kept = data
         if doc_id is not None and len(data) >= LENGTH and len(names):
             h, r, first, last, _ = anchors.of(data)
-            own = known(h, r)
+            own = named(h, r)
             at, has = lookup(names, own)
             gone = np.flatnonzero(has & (least[at] < doc_id))
-            delta = np.zeros(len(data) + 1, I64)
-            np.add.at(delta, first[gone], 1)
-            np.subtract.at(delta, last[gone] + LENGTH, 1)
-            if parts:
-                for k in np.flatnonzero(has & (least[at] == doc_id)).tolist():
-                    if (inner := parts.get(int(own[k]))) is not None:
-                        np.add.at(delta, first[k] + inner, 1)
-                        np.subtract.at(delta, first[k] + inner + LENGTH, 1)
-            removed = np.cumsum(delta[:-1]) > 0
-            edges = np.flatnonzero(np.diff(removed, prepend=False, append=False))
-            starts, ends = edges[::2], edges[1::2]
-            kept = data[~removed]
+            begin, end = [first[gone]], [last[gone] + LENGTH]
+            if len(parts):
+                mine = np.flatnonzero(has & (least[at] == doc_id))
+                low, high = (np.searchsorted(part_names, own[mine], side) for side in ("left", "right"))
+                count = high - low
+                mine = np.repeat(mine, count)
+                which = np.arange(len(mine)) + np.repeat(low - (np.cumsum(count) - count), count)
+                begin.append(first[mine] + part_first[which])
+                end.append(first[mine] + part_last[which] + LENGTH)
+            begin, end = np.concatenate(begin), np.concatenate(end)
+            if len(begin):
+                n = len(data) + 1
+                delta = np.bincount(begin, minlength=n) - np.bincount(end, minlength=n)
+                removed = np.cumsum(delta[:-1]) > 0
+                edges = np.flatnonzero(np.diff(removed, prepend=False, append=False))
+                starts, ends = edges[::2], edges[1::2]
+                kept = data[~removed]
         for column, value in zip(out, (doc_id, len(data), starts, ends, kept.tobytes()), strict=True):
             column.append(value)
     kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
@@ -271,12 +295,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long"), F.encode(whole_text(), "UTF-8").alias("text"))
     total = texts.agg(F.sum(F.octet_length("text") + 1)).first()[0]
     n_batches = blocks_for(total or 0, BATCH_BYTES)
-    key = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(n_batches))
-    dealt = texts.withColumn("batch", key).select("batch", "doc_id", "text")
-    regions = dealt.groupBy("batch").applyInArrow(
-        regions_of_batch, "anchor long, region long, batch long, low long, high long"
-    )
-    told = written(told_regions(regions), "regions")
+
+    def batch_of(column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(n_batches))
+
+    batch = F.when(F.col("doc_id").isNull(), batch_of("text")).otherwise(batch_of("doc_id"))
+    dealt = texts.withColumn("batch", batch).select("batch", "doc_id", "text")
+    regions = dealt.groupBy("batch").applyInArrow(regions_of_batch, "anchor long, region long, low long, more long")
+    told = written(told_regions(regions, batch_of), "regions")
     sent = (
         dealt.groupBy("batch")
         .cogroup(told.where("owner").groupBy("batch"))
@@ -285,9 +311,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     strings = (
         sent.repartition("anchor")
         .sortWithinPartitions("anchor")
-        .mapInArrow(sort_stream, "batch long, anchor long, region long, least long, starts array<int>")
+        .mapInArrow(sort_stream, "batch long, region long, least long, first long, last long")
     )
-    whole = told.select("batch", "anchor", "region", "least", F.lit(None).cast("array<int>").alias("starts"))
+    whole = told.selectExpr("batch", "region", "least", "-1L as first", "-1L as last")
     return (
         dealt.groupBy("batch")
         .cogroup(whole.unionByName(strings).groupBy("batch"))
