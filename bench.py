@@ -56,12 +56,11 @@ def main() -> None:
     cfg = FlowConfig()
     flows = A.flows_by_supplier(spark, sf_dir).cache()
     timed("adapter", lambda: flows.count())
-    levels = M.levels_for(flows)
     start = flows.agg(F.max(D)).first()[0] + dt.timedelta(days=1)
     T2 = list(cfg.targets)
 
     timed("rolling_stats", lambda: force(flows.select(K, D, *W.time_series_columns(flows.columns, cfg))))
-    timed("hist_percentile", lambda: force(M.add_historical_percentile(flows.select(K, D, *T2), T2, levels=levels)))
+    timed("hist_percentile", lambda: force(M.add_historical_percentile(flows.select(K, D, *T2), T2)))
     timed("market_30d", lambda: force(M.market_30d(flows.select(K, D, *T2), T2)))
     timed("technical", lambda: force(TE.add_technical_features(flows.select(K, D, *T2), T2)))
     timed("fund_stats", lambda: force(S.all_fund_stats(flows)))
@@ -78,7 +77,7 @@ def main() -> None:
         force(MT.competition_score(w))
 
     timed("wmape_competition", score)
-    timed("feature_table", lambda: force(PL.create_features(flows, A.holidays_for(flows), cfg, fill=False, levels=levels)))
+    timed("feature_table", lambda: force(PL.create_features(flows, A.holidays_for(flows), cfg, fill=False)))
 
     total = round(sum(times.values()), 3)
     print(json.dumps({"metric": "total_sec", "value": total, "unit": "sec", "queries": times, "sf": sf,

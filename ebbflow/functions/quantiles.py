@@ -3,19 +3,19 @@
 Spark's exact ``percentile`` keeps every distinct value of the group in one
 aggregation buffer; for a table-wide quantile that is the whole column in the
 final task.  Here a ``percentile_approx`` sketch (rank error <= n/accuracy)
-first gives, per column and probability, a value bracket that must contain
-the wanted order statistics.  A second pass counts the values below each
-bracket (one aggregate of counters) and ships only the values inside the
-brackets, keyed by (column, probability), to a ``groupBy``: each bracket is
-sorted in its own task and holds about 4n/accuracy values, so neither the
-number of columns nor the row count piles up in one task.  The result is the
-exact linearly interpolated quantile (numpy / pandas 'linear', DuckDB
-``quantile_cont``).
+first gives, per column and probability, a value bracket around the wanted order
+statistics.  A second pass counts the values below each bracket and keeps the
+nearest value on either side of it (one aggregate, one row).  A third counts the
+rows of each distinct value inside the brackets: ties collapse before the shuffle,
+so a value that a column repeats is one row, and a running count over the distinct
+values (about 4n/accuracy at most, as rows of a sorted window, not as an array)
+finds the order statistics.  One path serves every size.  The result is the exact
+linearly interpolated quantile (numpy / pandas 'linear', DuckDB ``quantile_cont``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Sketch accuracy: rank error <= n / ACCURACY, so each bracket holds about
@@ -45,46 +45,33 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy
     )
     joined = df.select(*[xs[c].alias(f"x{ci}") for ci, c in enumerate(cols)]).crossJoin(F.broadcast(bounds))
 
-    def small(ci):
-        # below 4 x accuracy values the sketch margin may be under one rank:
-        # the whole (constant-bounded) column is then the bracket
-        return F.col(f"n{ci}") < F.lit(4 * accuracy)
-
     def lo(ci, pi):
         return F.col(f"b{ci}")[pi]
 
     def hi(ci, pi):
         return F.col(f"b{ci}")[pi + k]
 
-    # pass 2a: values below each bracket (plain counters, one row)
-    below = joined.agg(
-        *[
-            F.count(F.when(~small(ci) & (F.col(f"x{ci}") < lo(ci, pi)), F.lit(1))).alias(f"c{ci}_{pi}")
-            for ci in range(len(cols))
-            for pi in range(k)
-        ],
+    every = [(ci, pi) for ci in range(len(cols)) for pi in range(k)]
+    # pass 2a: the values below each bracket, and its nearest neighbours: where few rows make
+    # the sketch's margin less than a rank, the bracket can miss the wanted one by that rank
+    under, over = (lambda ci, pi: F.col(f"x{ci}") < lo(ci, pi)), (lambda ci, pi: F.col(f"x{ci}") > hi(ci, pi))
+    around = joined.agg(
+        *[F.count_if(under(ci, pi)).alias(f"c{ci}_{pi}") for ci, pi in every],
+        *[F.max(F.when(under(ci, pi), F.col(f"x{ci}"))).alias(f"l{ci}_{pi}") for ci, pi in every],
+        *[F.min(F.when(over(ci, pi), F.col(f"x{ci}"))).alias(f"h{ci}_{pi}") for ci, pi in every],
         *[F.first(f"n{ci}").alias(f"n{ci}") for ci in range(len(cols))],
     )
-    # pass 2b: bracket members as (column, probability, value), sorted per group
-    members = F.array(
-        *[
-            F.struct(
-                F.lit(ci).alias("ci"),
-                F.lit(pi).alias("pi"),
-                F.when(
-                    F.col(f"x{ci}").isNotNull()
-                    & (small(ci) | ((F.col(f"x{ci}") >= lo(ci, pi)) & (F.col(f"x{ci}") <= hi(ci, pi)))),
-                    F.col(f"x{ci}"),
-                ).alias("v"),
-            )
-            for ci in range(len(cols))
-            for pi in range(k)
-        ]
-    )
-    inside = joined.select(F.explode(F.filter(members, lambda m: m["v"].isNotNull())).alias("m")).select("m.*")
-    sorted_b = inside.groupBy("ci", "pi").agg(F.sort_array(F.collect_list("v")).alias("arr"))
-    # pass 3: pick the order statistics (one small row per (column, probability))
-    counts = below.select(
+    # pass 2b: rows of each distinct value inside each bracket
+    members = [
+        F.when(~under(ci, pi) & ~over(ci, pi), F.struct(F.lit(ci).alias("ci"), F.lit(pi).alias("pi"), F.col(f"x{ci}").alias("v")))
+        for ci, pi in every
+    ]
+    inside = joined.select(F.explode(F.array_compact(F.array(*members))).alias("m")).select("m.*")
+    counted = inside.groupBy("ci", "pi", "v").agg(F.count(F.lit(1)).alias("rows"))
+    upto = Window.partitionBy("ci", "pi").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("upto", F.sum("rows").over(upto))
+    # pass 3: the order statistics from the running count (one row per column and probability)
+    sides = around.select(
         F.explode(
             F.array(
                 *[
@@ -93,25 +80,30 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy
                         F.lit(pi).alias("pi"),
                         F.col(f"n{ci}").alias("n"),
                         F.col(f"c{ci}_{pi}").alias("below"),
-                        F.lit(float(p)).alias("p"),
+                        F.col(f"l{ci}_{pi}").alias("left"),
+                        F.col(f"h{ci}_{pi}").alias("right"),
+                        F.lit(float(probs[pi])).alias("p"),
                     )
-                    for ci in range(len(cols))
-                    for pi, p in enumerate(probs)
+                    for ci, pi in every
                 ]
             )
         ).alias("s")
     ).select("s.*")
-    picked = counts.join(sorted_b, ["ci", "pi"], "left")
     pos = (F.col("n") - F.lit(1)).cast("double") * F.col("p")
-    lo_rank, hi_rank = F.floor(pos), F.ceil(pos)
-    arr = F.coalesce(F.col("arr"), F.array().cast("array<double>"))
-    v_lo = F.try_element_at(arr, (lo_rank - F.col("below") + F.lit(1)).cast("int"))
-    v_hi = F.try_element_at(arr, (hi_rank - F.col("below") + F.lit(1)).cast("int"))
-    val = F.when(F.col("n") > F.lit(0), v_lo + (v_hi - v_lo) * (pos - lo_rank))
-    long = picked.select("ci", "pi", val.alias("q"))
+    sides = sides.withColumn("pos", pos).withColumn("r0", F.floor("pos")).withColumn("r1", F.ceil("pos"))
+    met = ranked.join(F.broadcast(sides), ["ci", "pi"])
+
+    def statistic(rank):
+        inner = F.min(F.when(F.col("below") + F.col("upto") > F.col(rank), F.col("v")))
+        first = F.when(F.first(rank) < F.first("below"), F.first("left"))
+        return F.coalesce(first, inner, F.first("right"))
+
+    picked = met.groupBy("ci", "pi").agg(
+        statistic("r0").alias("v0"), statistic("r1").alias("v1"), (F.first("pos") - F.first("r0")).alias("share")
+    )
+    long = picked.select("ci", "pi", (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("share")).alias("q"))
     # back to one row: a pivot over at most (columns x probabilities) small rows
-    names = {(ci, pi): quantile_name(c, p) for ci, c in enumerate(cols) for pi, p in enumerate(probs)}
+    keys = [f"{ci}_{pi}" for ci, pi in every]
     wide = long.select(F.concat_ws("_", F.col("ci").cast("string"), F.col("pi").cast("string")).alias("key"), "q")
-    keys = [f"{ci}_{pi}" for (ci, pi) in names]
     row = wide.groupBy().pivot("key", keys).agg(F.first("q"))
-    return row.select(*[F.col(f"`{ci}_{pi}`").alias(names[(ci, pi)]) for (ci, pi) in names])
+    return row.select(*[F.col(f"`{ci}_{pi}`").alias(quantile_name(cols[ci], probs[pi])) for ci, pi in every])

@@ -89,11 +89,11 @@ DEFAULTS: dict[str, list[tuple[str, object]]] = {
 # Code-derived fund defaults: (category, style, risk_level, expected_return, volatility)
 # for first digit 0; 1; 2 or prefix 51; 3 or 4; 5; anything else.
 CODE_RULES = [
-    ("0", ("股票型", "成长", 4, 8.0, "中高")),
-    ("1", ("债券型", "价值", 2, 4.0, "低")),
-    ("2|51", ("混合型", "平衡", 3, 6.0, "中")),
-    ("3|4", ("货币型", "稳健", 1, 2.5, "低")),
-    ("5", ("指数型", "被动", 3, 7.0, "中")),
+    (("0",), ("股票型", "成长", 4, 8.0, "中高")),
+    (("1",), ("债券型", "价值", 2, 4.0, "低")),
+    (("2", "51"), ("混合型", "平衡", 3, 6.0, "中")),
+    (("3", "4"), ("货币型", "稳健", 1, 2.5, "低")),
+    (("5",), ("指数型", "被动", 3, 7.0, "中")),
 ]
 CODE_OTHER = ("混合型", "平衡", 3, 6.0, "中")
 QUANT_MARKS = ("88", "99")  # codes containing these: style 量化, expected return + 1
@@ -148,7 +148,7 @@ def code_inference_columns(code: Column) -> dict[str, Column]:
         expr = None
         for prefixes, vals in CODE_RULES:
             cond = None
-            for p in prefixes.split("|"):
+            for p in prefixes:
                 c = code.startswith(p)
                 cond = c if cond is None else (cond | c)
             expr = F.when(cond, F.lit(vals[i])) if expr is None else expr.when(cond, F.lit(vals[i]))
@@ -176,14 +176,15 @@ def code_inference_columns(code: Column) -> dict[str, Column]:
 
 
 # ------------------------------------------------------------------------ L6
-def default_value_columns(code: Column) -> dict[str, Column]:
-    """Every attribute's default as a column (code-derived for the fund kind)."""
+def default_value_columns(code: Column, only: str | None = None) -> dict[str, Column]:
+    """Every attribute's default as a column (code-derived for the fund kind); of one kind at will.
+
+    A key that two kinds have takes the later kind's default, as it does in merged answers.
+    """
     inferred = code_inference_columns(code)
     out: dict[str, Column] = {}
-    for kind in KINDS:
+    for kind in KINDS if only is None else (only,):
         for k, v in DEFAULTS[kind]:
-            if k in out:
-                continue
             if v is None:
                 out[k] = inferred[k]
             elif k in NUMERIC_KEYS:
@@ -233,34 +234,17 @@ def prompt_table(stats: DataFrame, key: str = K) -> DataFrame:
 
 
 # ----------------------------------------------------------------- L2-L4
-def single_json_value(body: Column) -> Column:
-    """True when the text is one top-level JSON value (``{..} and {..}`` is not).
-
-    String literals are blanked first; then a fold over the characters
-    counts how often the bracket depth returns to zero.
-    """
-    stripped = F.regexp_replace(body, r'"(?:[^"\\]|\\.)*"', '""')
-    chars = F.split(stripped, "")
-    init = F.struct(F.lit(0).alias("d"), F.lit(0).alias("z"))
-
-    def step(acc, ch):
-        opening = ch.isin("{", "[")
-        closing = ch.isin("}", "]")
-        d = acc["d"] + F.when(opening, F.lit(1)).when(closing, F.lit(-1)).otherwise(F.lit(0))
-        z = acc["z"] + F.when(closing & (d == F.lit(0)), F.lit(1)).otherwise(F.lit(0))
-        return F.struct(d.alias("d"), z.alias("z"))
-
-    return F.aggregate(chars, init, step)["z"] == F.lit(1)
-
-
 def extract_json_map(response: Column) -> Column:
     """L2: first '{' to last '}' (across lines) parsed as map<string,string>; NULL when absent or malformed.
 
-    Spark's JSON reader stops after the first object, so text holding two
-    objects is rejected explicitly, as a strict JSON parser does.
+    The text is read as the one element of a JSON array: two objects, or one with
+    something after it, are not one element, and single quotes are no quotes.
     """
     body = F.regexp_extract(response, r"(?s)(\{.*\})", 1)
-    return F.when((F.length(body) > F.lit(0)) & single_json_value(body), F.from_json(body, "map<string,string>"))
+    array = F.from_json(
+        F.concat(F.lit("["), body, F.lit("]")), "array<map<string,string>>", {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}
+    )
+    return F.when((F.length(body) > F.lit(0)) & (F.size(array) == F.lit(1)), F.try_element_at(array, F.lit(1)))
 
 
 def parse_responses(responses: DataFrame, key: str = K) -> DataFrame:
@@ -300,34 +284,69 @@ def parse_responses(responses: DataFrame, key: str = K) -> DataFrame:
     )
     known = F.create_map(*[x for kind in KINDS for k in known_by_kind[kind] for x in (F.lit(f"{kind}:{k}"), F.lit(True))])
     extra = F.map_filter(m, lambda k, v: F.try_element_at(known, F.concat(F.col("kind"), F.lit(":"), k)).isNull())
-    return responses.select(key, "kind", parsed.alias("parsed"), F.coalesce(extra, F.create_map()).alias("extra"))
+    empty = F.create_map().cast("map<string,string>")
+    return responses.select(key, "kind", parsed.alias("parsed"), F.coalesce(extra, empty).alias("extra"), "response")
+
+
+def kind_defaults(kind: str, code: Column) -> Column:
+    """The default answer of a kind as map<string,string>."""
+    values = default_value_columns(code, kind)
+    return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v.cast("string"))])
+
+
+def over(first: Column, then: Column) -> Column:
+    """Both maps' keys; where both have one, the value of ``then``."""
+    return F.map_zip_with(first, then, lambda k, a, b: F.coalesce(b, a))
 
 
 def merge_kinds(parsed: DataFrame, key: str = K) -> DataFrame:
-    """One row per fund; for a key answered by several kinds the later kind wins."""
-    rank = F.create_map(*[x for i, kind in enumerate(KINDS) for x in (F.lit(kind), F.lit(i))])
-    exploded = parsed.select(key, F.try_element_at(rank, F.col("kind")).alias("__r"), F.explode("parsed").alias("attr", "value"))
-    w = Window.partitionBy(key, "attr").orderBy(F.col("__r").desc())
-    best = exploded.withColumn("__n", F.row_number().over(w)).where("__n = 1")
-    return best.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("attr", "value"))).alias("answers"))
+    """L4 + L8: one row per fund with ``answers`` (map): each kind's answer is completed with its own
+    defaults, then a later kind's values replace an earlier one's.
+
+    Of several answers of one kind, the one with the largest text counts.
+    """
+    picked = parsed.where(F.col("kind").isin(*KINDS)).groupBy(key).agg(
+        *[
+            F.max_by(
+                F.when(F.col("kind") == F.lit(kind), over(F.col("extra"), F.col("parsed"))),
+                F.when(F.col("kind") == F.lit(kind), F.coalesce("response", F.lit(""))),
+            ).alias(f"__{kind}")
+            for kind in KINDS
+        ]
+    )
+    empty = F.create_map().cast("map<string,string>")
+    merged = None
+    for kind in KINDS:
+        full = over(kind_defaults(kind, F.col(key)), F.coalesce(F.col(f"__{kind}"), empty))
+        merged = full if merged is None else over(merged, full)
+    return picked.select(key, merged.alias("answers"))
 
 
-def attributes_from_responses(funds: DataFrame, responses: DataFrame, min_rows: int = 7,
-                              key: str = K, date: str = D) -> DataFrame:
-    """L2-L8 + L7: attribute row per fund; funds with < 7 rows (or no answer) take the defaults."""
+def attributes_from_responses(funds: DataFrame, responses: DataFrame, embeddings: DataFrame | None = None,
+                              min_rows: int = 7, key: str = K, date: str = D) -> DataFrame:
+    """Attribute row per fund; funds with < 7 rows (or no answer) take the defaults.
+
+    ``embeddings`` (key, embedding) fills the embedding columns (L9), 0.0 without one.  Keys that
+    no kind knows are kept, as text, in the map ``extra``.
+    """
     counts = funds.groupBy(key).agg(F.count(F.lit(1)).alias("__rows"))
     answers = merge_kinds(parse_responses(responses, key), key)
     j = counts.join(answers, key, "left")
+    if embeddings is None:
+        vectors = [F.lit(0.0).alias(f"embed_{i}") for i in range(16)]
+    else:
+        j = j.join(embeddings.select(key, F.col("embedding").alias("__vec")), key, "left")
+        vectors = embedding_columns(F.when(F.col("__rows") >= F.lit(min_rows), F.col("__vec")))
     dflt = default_value_columns(F.col(key))
-    use = F.col("__rows") >= F.lit(min_rows)
+    given = F.when(F.col("__rows") >= F.lit(min_rows), F.col("answers"))
     cols = []
     for k in ATTRIBUTE_KEYS:
-        got = F.when(use, F.try_element_at(F.col("answers"), F.lit(k)))
-        if k in NUMERIC_KEYS:
-            cols.append(F.coalesce(got.cast("double"), dflt[k]).alias(k))
-        else:
-            cols.append(F.coalesce(got, dflt[k]).alias(k))
-    return j.select(key, *cols, *[F.lit(0.0).alias(f"embed_{i}") for i in range(16)])
+        got = F.try_element_at(given, F.lit(k))
+        got = got.try_cast("double") if k in NUMERIC_KEYS else got
+        cols.append(F.coalesce(got, dflt[k]).alias(k))
+    rest = F.map_filter(given, lambda k, v: ~k.isin(ATTRIBUTE_KEYS))
+    extra = F.coalesce(rest, F.create_map().cast("map<string,string>")).alias("extra")
+    return j.select(key, *cols, *vectors, extra)
 
 
 # --------------------------------------------------------------- L9 / L10
@@ -360,7 +379,7 @@ def join_attributes(flows: DataFrame, attrs: DataFrame, key: str = K) -> DataFra
 
 
 # --------------------------------------------------------------- L12 / L13
-def stats_as_of(df: DataFrame, cutoff, n: int = 60, key: str = K, date: str = D) -> DataFrame:
+def stats_as_of(df: DataFrame, cutoff, key: str = K, date: str = D) -> DataFrame:
     """Rows up to ``cutoff`` only (the caller then runs A1-A17)."""
     return df.where(F.col(date) <= F.to_date(F.lit(str(cutoff))))
 

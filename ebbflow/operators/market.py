@@ -80,18 +80,13 @@ def add_earlier_le_count(df: DataFrame, col: str, out: str, levels: int, key=K,
     return cur.withColumn(out, total.cast("long")).drop(*parts)
 
 
-def add_historical_percentile(df: DataFrame, targets=TARGETS, windows=(7, 14, 30), key=K, date=D,
-                              bound: int | None = None, levels: int | None = None) -> DataFrame:
+def add_historical_percentile(df: DataFrame, targets=TARGETS, windows=(7, 14, 30), key=K, date=D) -> DataFrame:
     """Share of earlier values <= today's (0.5 on the first row).
 
-    ``bound=None`` is the reference behaviour: every earlier row of the key
-    counts and the window size only names the column (the three columns are
-    equal); computed exactly by ``add_earlier_le_count``.  ``bound=n`` limits
-    the look-back to n rows (a bounded frame).
+    Every earlier row of the key counts and the window size only names the column (the
+    three columns are equal).  The halving levels are read from the longest history.
     """
-    if bound is not None:
-        return df.select("*", *historical_percentile_columns(targets, windows, key, date, bound))
-    lv = levels if levels is not None else levels_for(df, key)
+    lv = levels_for(df, key)
     out = df
     for t in targets:
         out = add_earlier_le_count(out, t, f"__le_{t}", lv, key, date)
@@ -103,27 +98,6 @@ def add_historical_percentile(df: DataFrame, targets=TARGETS, windows=(7, 14, 30
     return out.select("*", *res).drop("__idx", *[f"__le_{t}" for t in targets])
 
 
-def historical_percentile_columns(targets=TARGETS, windows=(7, 14, 30), key=K, date=D, bound: int | None = None) -> list[Column]:
-    """Share of earlier values <= today's; 0.5 on the first row.
-
-    ``bound=None`` is the reference behaviour: every earlier row counts and the
-    window size only names the column (all three columns are equal).  The
-    frame then grows with the key's history, which is bounded by the number of
-    calendar days of that key.  ``bound=n`` limits the look-back to n rows.
-    """
-    out = []
-    for t in targets:
-        start = Window.unboundedPreceding if bound is None else -bound
-        w = fund_window(key, date).rowsBetween(start, -1)
-        hist = F.collect_list(t).over(w)
-        x = F.col(t)
-        share = F.try_divide(F.size(F.filter(hist, lambda y: y <= x)).cast("double"), F.size(hist).cast("double"))
-        pct = F.coalesce(share, F.lit(0.5))
-        for n in windows:
-            out.append(pct.alias(f"{t}_historical_percentile_{n}"))
-    return out
-
-
 # ----------------------------------------------------------------- X6 / X7
 def _avg_pct_rank_nonnull(c: str, part: list[str]) -> Column:
     """pandas rank(pct=True) with NaN kept out of the ranking and the count."""
@@ -171,12 +145,15 @@ def market_30d(df: DataFrame, targets=TARGETS, days: int = 30, key=K, date=D) ->
     undefined).
     """
     dn = F.datediff(F.col(date), F.lit("1970-01-01").cast("date"))
-    base = df.withColumn("__dn", dn)
+    # moments are taken about the overall mean: squares of large levels would cancel
+    levels = F.broadcast(df.agg(*[F.coalesce(F.avg(t), F.lit(0.0)).alias(f"__c_{t}") for t in targets]))
+    base = df.withColumn("__dn", dn).crossJoin(levels)
     result = base
     for t in targets:
+        x = F.col(t) - F.col(f"__c_{t}")
         # mean / std from daily moments rolled over a RANGE frame of day numbers
         daily = base.where(F.col(t).isNotNull()).groupBy("__dn").agg(
-            F.count(t).alias("n"), F.sum(t).alias("s"), F.sum(F.col(t) * F.col(t)).alias("ss")
+            F.count(t).alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("ss")
         )
         rw = Window.orderBy("__dn").rangeBetween(-days, -1)  # one row per day: small
         rolled = daily.select(
@@ -225,11 +202,11 @@ def market_30d(df: DataFrame, targets=TARGETS, days: int = 30, key=K, date=D) ->
             result.join(zs, result["__dn"] == zs["__zdn"], "left")
             .withColumn(
                 f"{t}_market_zscore_{days}d",
-                F.try_divide(F.col(t) - F.col("__hmean"), F.when(F.col("__hstd") > F.lit(0), F.col("__hstd"))),
+                F.try_divide(x - F.col("__hmean"), F.when(F.col("__hstd") > F.lit(0), F.col("__hstd"))),
             )
             .drop("__zdn", "__hmean", "__hstd")
         )
         result = result.join(
             pct, (result["__dn"] == pct["__pdn"]) & (result[key] == pct["__pk"]), "left"
         ).drop("__pdn", "__pk")
-    return result.drop("__dn")
+    return result.drop("__dn", *[f"__c_{t}" for t in targets])

@@ -7,7 +7,7 @@ aggregate broadcast back.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbflow.schema import D, K
@@ -19,7 +19,8 @@ SUFFIX = "_pred"
 def align_by_position(actual: DataFrame, pred: DataFrame, key: str = K, order: str = D) -> DataFrame:
     """Match the i-th row of each key in both frames (the reference's positional match).
 
-    Row counts per key must agree: a mismatch raises at execution time.
+    Row counts per key must agree: a mismatch raises at execution time, whichever
+    column the caller reads, as the check sits in every one of them.
     """
     w = Window.partitionBy(key).orderBy(order)
     a = actual.withColumn("__rn", F.row_number().over(w))
@@ -30,13 +31,13 @@ def align_by_position(actual: DataFrame, pred: DataFrame, key: str = K, order: s
         F.col(order).isNull() | F.col(f"__p_{order}").isNull(),
         F.raise_error(F.concat(F.lit("row counts differ for key "), F.col(key))),
     )
-    cols = [c for c in j.columns if c.startswith("__p_") and c != f"__p_{order}"]
-    return j.select(
-        key,
-        F.coalesce(check.cast(actual.schema[order].dataType), F.col(order)).alias(order),
-        *[c for c in actual.columns if c not in (key, order)],
-        *[F.col(c).alias(c[4:]) for c in cols if c[4:] not in actual.columns],
-    )
+
+    def checked(c: str, name: str, kind) -> Column:
+        return F.coalesce(check.cast(kind), F.col(c)).alias(name)
+
+    mine = [checked(f.name, f.name, f.dataType) for f in actual.schema.fields if f.name not in (key, order)]
+    theirs = [checked(f"__p_{f.name}", f.name, f.dataType) for f in pred.schema.fields if f.name not in actual.columns]
+    return j.select(key, checked(order, order, actual.schema[order].dataType), *mine, *theirs)
 
 
 def align_by_date(actual: DataFrame, pred: DataFrame, key: str = K, date: str = D) -> DataFrame:

@@ -1,13 +1,13 @@
 """Technical indicators per key.
 
-Exponential weights (T1, T2, T6) use the exact infinite-horizon sums
-S_i = sum_{j<=i} beta^(i-j) x_j that pandas computes, with O(1) work per row
-and no arrays: rows are cut into blocks of B rows (B chosen so beta^B <
-1e-30); inside a block a running sum of beta^(-offset) x gives S up to the
-block start, and the previous block's end value is carried by a ``last``
-window.  Terms older than one block weigh below 1e-30 and are dropped.
-Each block size needs one extra sort on (key, block); no shuffle is added
-because the data is already hash-partitioned by key.
+Exponential weights (T1, T2, T6) use the exact infinite-horizon sums that pandas
+computes, NULLs included, with O(1) work per row and no arrays: every row has an
+exponent e that never falls within its key, and a term weighs exp(-(e_i - e_j)) at row
+i.  Rows are cut into blocks where e crosses a multiple of BLOCK; inside a block a
+running sum of exp(offset) x gives the sums up to the block start, and the end value
+of the block before it is carried by a ``last`` window.  Terms further back weigh
+below 1e-30 of the newest and are dropped.  Each alpha needs one extra sort on
+(key, block); no shuffle is added because the data is already partitioned by key.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from ebbflow.functions.exprs import eps_ratio, fund_window
 from ebbflow.schema import D, EPS, K, TARGETS
 
 MACD_SPANS = (12, 26, 9)  # fixed values: fast, slow and signal spans
-BLOCK_TOL = 1e-30
+BLOCK = -math.log(1e-30)
 
 
 def span_alpha(span: int) -> float:
@@ -33,72 +33,67 @@ def alpha_tag(a: float) -> str:
     return str(a).replace(".", "_")
 
 
-def block_size(alpha: float, tol: float = BLOCK_TOL) -> int:
-    return int(math.ceil(math.log(tol) / math.log(1.0 - alpha)))
+# ------------------------------------------------------------- shared sums
+def add_row_numbers(df: DataFrame, key: str = K, date: str = D) -> DataFrame:
+    return df if "__rn" in df.columns else df.withColumn("__rn", F.row_number().over(fund_window(key, date)))
 
 
-# ------------------------------------------------------------- shared sums
-def add_exp_sums(df: DataFrame, specs, key: str = K, date: str = D) -> DataFrame:
-    """For each spec (name, source column, alpha, with_squares) add ``{name}_s1`` (and ``{name}_s2``):
-    sum over earlier-or-current rows of beta^(i-j) x_j (and x_j^2), plus ``__rn`` (1-based row number).
+def add_decayed_sums(df: DataFrame, specs, key: str = K, date: str = D) -> DataFrame:
+    """For each spec (name, exponent column, {out: (value, factor)}) add ``out``, the sum over
+    earlier-or-current rows j of exp(-factor (e_i - e_j)) value_j; a NULL value adds nothing.
     """
     w = fund_window(key, date)
-    if "__rn" not in df.columns:
-        df = df.withColumn("__rn", F.row_number().over(w))
-    j0 = F.col("__rn") - F.lit(1)
+    df = df.select(
+        "*",
+        *[F.floor(F.col(e) / F.lit(BLOCK)).alias(f"{name}_blk") for name, e, _ in specs],
+    )
     first = []
-    for name, src, alpha, sq in specs:
-        beta = 1.0 - alpha
-        B = block_size(alpha)
-        blk = F.floor(j0 / F.lit(B))
-        off = j0 - blk * F.lit(B)
-        scale = F.pow(F.lit(beta), -off)
-        wb = Window.partitionBy(key, blk).orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
-        x = F.col(src).cast("double")
-        first.append(off.cast("int").alias(f"__{name}_off"))
-        first.append(F.sum(scale * x).over(wb).alias(f"__{name}_q1"))
-        if sq:
-            first.append(F.sum(scale * x * x).over(wb).alias(f"__{name}_q2"))
+    for name, e, outs in specs:
+        off = F.col(e) - F.col(f"{name}_blk") * F.lit(BLOCK)
+        wb = Window.partitionBy(key, f"{name}_blk").orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
+        for out, (value, factor) in outs.items():
+            first.append(F.sum(F.exp(F.lit(float(factor)) * off) * value).over(wb).alias(f"{out}_q"))
     df = df.select("*", *first)
+    df = df.select(
+        "*", *[(F.lead(f"{name}_blk").over(w) != F.col(f"{name}_blk")).alias(f"{name}_end") for name, _, _ in specs]
+    )
     prev = w.rowsBetween(Window.unboundedPreceding, -1)
     second, drop = [], []
-    for name, src, alpha, sq in specs:
-        beta = 1.0 - alpha
-        B = block_size(alpha)
-        off = F.col(f"__{name}_off")
-        is_end = off == F.lit(B - 1)
-        for q, out in ((f"__{name}_q1", f"{name}_s1"), (f"__{name}_q2", f"{name}_s2")):
-            if q.endswith("q2") and not sq:
-                continue
-            carry = F.coalesce(F.last(F.when(is_end, F.col(q)), ignorenulls=True).over(prev), F.lit(0.0))
-            second.append((F.pow(F.lit(beta), off) * (F.col(q) + F.lit(beta ** B) * carry)).alias(out))
-            drop.append(q)
-        drop.append(f"__{name}_off")
+    for name, e, outs in specs:
+        blk = F.col(f"{name}_blk")
+        off = F.col(e) - blk * F.lit(BLOCK)
+        last_blk = F.last(F.when(F.col(f"{name}_end"), blk), ignorenulls=True).over(prev)
+        for out, (_, factor) in outs.items():
+            end = F.last(F.when(F.col(f"{name}_end"), F.struct(F.col(f"{out}_q").alias("q"))), ignorenulls=True).over(prev)
+            carry = F.when(last_blk == blk - F.lit(1), end["q"] * F.lit(math.exp(-factor * BLOCK)))
+            total = F.coalesce(F.col(f"{out}_q"), F.lit(0.0)) + F.coalesce(carry, F.lit(0.0))
+            second.append((F.exp(F.lit(-float(factor)) * off) * total).alias(out))
+            drop.append(f"{out}_q")
+        drop += [f"{name}_blk", f"{name}_end"]
     return df.select("*", *second).drop(*drop)
 
 
-def _weights(alpha: float) -> tuple[Column, Column]:
-    """Sum of weights and of squared weights over the first ``__rn`` rows (closed forms)."""
-    beta = 1.0 - alpha
-    n = F.col("__rn")
-    w1 = (F.lit(1.0) - F.pow(F.lit(beta), n)) / F.lit(1.0 - beta)
-    w2 = (F.lit(1.0) - F.pow(F.lit(beta * beta), n)) / F.lit(1.0 - beta * beta)
-    return w1, w2
+# ------------------------------------------------------------------ T1 / T2
+def ewm_spec(name: str, t: str, alpha: float):
+    """Sums of adjusted weights over the rows that hold a value; squares are taken about the key's first value."""
+    x, seen = F.col(t).cast("double") - F.col(f"__{t}_x1"), F.col(t).isNotNull()
+    one = F.when(seen, F.lit(1.0))
+    sums = {f"{name}_w": (one, 1), f"{name}_w2": (one, 2), f"{name}_s1": (x, 1), f"{name}_s2": (x * x, 1)}
+    return (name, f"{name}_e", sums)
 
 
-# ------------------------------------------------------------------ T1 / T2
-def ewm_mean_col(name: str, alpha: float) -> Column:
-    w1, _ = _weights(alpha)
-    return F.col(f"{name}_s1") / w1
+def ewm_mean_col(name: str, t: str) -> Column:
+    return F.col(f"__{t}_x1") + F.try_divide(F.col(f"{name}_s1"), F.col(f"{name}_w"))
 
 
-def ewm_std_col(name: str, alpha: float) -> Column:
-    """Bias-corrected adjusted EWM std: sqrt((S2/W - m^2) * W^2 / (W^2 - W2)); NULL for one row."""
-    w1, w2 = _weights(alpha)
-    m = F.col(f"{name}_s1") / w1
-    var = F.col(f"{name}_s2") / w1 - m * m
-    den = w1 * w1 - w2
-    return F.when(den > F.lit(0.0), F.sqrt(F.greatest(var, F.lit(0.0)) * w1 * w1 / den))
+def ewm_std_col(name: str) -> Column:
+    """Bias-corrected adjusted EWM std: sqrt((S2/W - m^2) * W^2 / (W^2 - W2)); NULL for one value,
+    or where the others weigh nothing beside it in double precision."""
+    w = F.col(f"{name}_w")
+    m = F.try_divide(F.col(f"{name}_s1"), w)
+    var = F.try_divide(F.col(f"{name}_s2"), w) - m * m
+    den = w * w - F.col(f"{name}_w2")
+    return F.when(den > F.lit(1e-15) * w * w, F.sqrt(F.greatest(var, F.lit(0.0)) * w * w / den))
 
 
 # ------------------------------------------------------------------ T3 / T4
@@ -135,9 +130,34 @@ def rsi_from_gains(t: str, periods=(7, 14, 21), key=K, date=D) -> list[Column]:
 
 
 # ------------------------------------------------------------------------- T6
-def ema_col(name: str, alpha: float, first_value: Column) -> Column:
-    """Unadjusted EMA seeded by the first value: alpha * S_i + beta^i * x_1."""
-    return F.lit(alpha) * F.col(f"{name}_s1") + F.pow(F.lit(1.0 - alpha), F.col("__rn")) * first_value
+def add_emas(df: DataFrame, specs, key: str = K, date: str = D) -> DataFrame:
+    """For each (name, column, alpha) add ``name``, the unadjusted EMA seeded by the first value.
+
+    y_k = a y_(k-1) + (1 - a) x_k with a = b^g / (b^g + alpha), b = 1 - alpha and g the rows
+    since the value before; a row without a value repeats y.
+    """
+    w = fund_window(key, date)
+    df = add_row_numbers(df, key, date)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    running = w.rowsBetween(Window.unboundedPreceding, 0)
+    for c in dict.fromkeys(c for _, c, _ in specs):
+        gap = F.col("__rn") - F.last(F.when(F.col(c).isNotNull(), F.col("__rn")), ignorenulls=True).over(before)
+        df = df.withColumn(f"__{c}_gap", gap)
+    steps, exps, sums = [], [], []
+    for name, c, alpha in specs:
+        old = F.pow(F.lit(1.0 - alpha), F.col(f"__{c}_gap"))
+        keep = old / (old + F.lit(alpha))  # NULL on the first value
+        seen = F.col(c).isNotNull()
+        steps.append(F.when(seen & keep.isNotNull(), -F.log(keep)).otherwise(F.lit(0.0)).alias(f"{name}_step"))
+        new = F.when(seen, (F.lit(1.0) - F.coalesce(keep, F.lit(0.0))) * F.col(c))
+        exps.append(F.sum(f"{name}_step").over(running).alias(f"{name}_e"))
+        sums.append((name, f"{name}_e", {f"{name}_y": (F.col(f"{name}_x"), 1)}))
+        steps.append(new.alias(f"{name}_x"))
+        steps.append(F.max(seen.cast("int")).over(running).alias(f"{name}_on"))
+    df = add_decayed_sums(df.select("*", *steps).select("*", *exps), sums, key, date)
+    out = [F.when(F.col(f"{name}_on") == F.lit(1), F.col(f"{name}_y")).alias(name) for name, _, _ in specs]
+    drop = [f"{name}_{k}" for name, _, _ in specs for k in ("step", "x", "on", "e", "y")]
+    return df.select("*", *out).drop(*drop, *[f"__{c}_gap" for _, c, _ in specs])
 
 
 # ------------------------------------------------------------------------- T7
@@ -163,32 +183,28 @@ def add_technical_features(df: DataFrame, targets=TARGETS, alphas=(0.1, 0.2, 0.3
                            rsi_periods=(7, 14, 21), bb_windows=(14, 21)) -> DataFrame:
     """T1-T7 for each target, in the reference column order."""
     fast, slow, sig = MACD_SPANS
-    specs = []
-    for t in targets:
-        specs += [(f"__{t}_e{alpha_tag(a)}", t, a, True) for a in alphas]
-        specs += [(f"__{t}_f", t, span_alpha(fast), False), (f"__{t}_s", t, span_alpha(slow), False)]
-    s = add_exp_sums(df, specs, key, date)
     w_all = fund_window(key, date).rowsBetween(Window.unboundedPreceding, 0)
+    named = [(f"__{t}_e{alpha_tag(a)}", t, a) for t in targets for a in alphas]
+    s = add_row_numbers(df, key, date)
+    s = s.select("*", *[F.first(F.col(t).cast("double"), ignorenulls=True).over(w_all).alias(f"__{t}_x1") for t in targets])
+    s = s.select("*", *[(F.col("__rn") * F.lit(-math.log(1.0 - a))).alias(f"{n}_e") for n, _, a in named])
+    s = add_decayed_sums(s, [ewm_spec(n, t, a) for n, t, a in named], key, date)
     cols = []
+    for n, t, a in named:
+        cols += [ewm_mean_col(n, t).alias(f"{t}_ewm_{alpha_tag(a)}"), ewm_std_col(n).alias(f"{t}_ewm_std_{alpha_tag(a)}")]
     for t in targets:
-        for a in alphas:
-            n = f"__{t}_e{alpha_tag(a)}"
-            cols += [ewm_mean_col(n, a).alias(f"{t}_ewm_{alpha_tag(a)}"), ewm_std_col(n, a).alias(f"{t}_ewm_std_{alpha_tag(a)}")]
         cols += cumulative_columns(t, key, date)
         cols += gain_loss_columns(t, key, date)
-        x1 = F.first(F.col(t), ignorenulls=False).over(w_all)
-        macd = ema_col(f"__{t}_f", span_alpha(fast), x1) - ema_col(f"__{t}_s", span_alpha(slow), x1)
-        cols.append(macd.alias(f"{t}_macd"))
         cols += bollinger_columns(t, bb_windows, key, date)
-    s2 = s.select("*", *cols)
-    s3 = add_exp_sums(s2, [(f"__{t}_sig", f"{t}_macd", span_alpha(sig), False) for t in targets], key, date)
+    s = s.select("*", *cols)
+    s = add_emas(s, [x for t in targets for x in ((f"__{t}_f", t, span_alpha(fast)), (f"__{t}_s", t, span_alpha(slow)))], key, date)
+    s = s.select("*", *[(F.col(f"__{t}_f") - F.col(f"__{t}_s")).alias(f"{t}_macd") for t in targets])
+    s = add_emas(s, [(f"{t}_macd_signal", f"{t}_macd", span_alpha(sig)) for t in targets], key, date)
     last = []
     for t in targets:
-        first_macd = F.first(F.col(f"{t}_macd"), ignorenulls=False).over(w_all)
-        signal = ema_col(f"__{t}_sig", span_alpha(sig), first_macd)
-        last += [signal.alias(f"{t}_macd_signal"), (F.col(f"{t}_macd") - signal).alias(f"{t}_macd_histogram")]
+        last.append((F.col(f"{t}_macd") - F.col(f"{t}_macd_signal")).alias(f"{t}_macd_histogram"))
         last += rsi_from_gains(t, rsi_periods, key, date)
-    s4 = s3.select("*", *last)
+    s4 = s.select("*", *last)
     order = []
     for t in targets:
         for a in alphas:

@@ -35,19 +35,12 @@ CALENDAR_COLS = (
 
 
 def create_features(flows: DataFrame, holidays: DataFrame | None = None, cfg: FlowConfig = FlowConfig(),
-                    select: bool = False, fill: bool = True, cross_sectional: bool = False,
-                    levels: int | None = None) -> DataFrame:
-    """The reference feature stages in order; returns the wide feature table.
-
-    ``levels``: halving levels of the exact historical percentile (X5); by
-    default read from the data (log2 of the longest fund history).
-    """
-    if levels is None:
-        levels = M.levels_for(flows)
+                    select: bool = False, fill: bool = True, cross_sectional: bool = False) -> DataFrame:
+    """The reference feature stages in order; returns the wide feature table."""
     base_cols = list(flows.columns)
     # Stages that need their own sort run first, while rows are narrow: the
     # exact percentile (log2 levels) and the exponential block sums.
-    df = M.add_historical_percentile(flows, cfg.targets, cfg.rolling_windows, levels=levels)
+    df = M.add_historical_percentile(flows, cfg.targets, cfg.rolling_windows)
     x5_cols = [c for c in df.columns if c not in base_cols]
     df = TE.add_technical_features(df, cfg.targets, cfg.ewm_alphas)
     tech_cols = [c for c in df.columns if c not in base_cols and c not in x5_cols]

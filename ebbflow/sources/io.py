@@ -26,8 +26,10 @@ SEMANTIC_MARKERS = (
 
 # ------------------------------------------------------------------------- S1
 def load_flows_csv(spark: SparkSession, path: str, schema=FLOW_CSV_SCHEMA) -> DataFrame:
-    """Flow CSV with a string key (leading zeros kept) and a yyyyMMdd date."""
-    df = spark.read.schema(schema).option("header", True).csv(path)
+    """Flow CSV with a string key (leading zeros kept) and a yyyyMMdd date; columns go by name, in any order."""
+    df = spark.read.option("header", True).csv(path)
+    kinds = {f.name: f.dataType for f in schema.fields}
+    df = df.select(*[F.col(f"`{c}`").cast(kinds[c]).alias(c) if c in kinds else F.col(f"`{c}`") for c in df.columns])
     return df.withColumn(D, F.to_date(F.col(D), "yyyyMMdd"))
 
 
@@ -87,10 +89,11 @@ class FeatureCache:
         self.spark, self.path = spark, path
 
     def _existing(self) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(self.path)
-        except Exception:  # noqa: BLE001 - no cache yet
-            return None
+        """The cached table; None only if its path does not exist. Any other failure surfaces."""
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return self.spark.read.parquet(self.path) if found else None
 
     def missing_keys(self, keys: DataFrame, key: str = K) -> DataFrame:
         cached = self._existing()
@@ -124,7 +127,8 @@ def submission(forecast: DataFrame, date_name: str = D) -> DataFrame:
 
 
 def write_submission(forecast: DataFrame, path: str, date_name: str = D) -> None:
-    write_table(submission(forecast, date_name).coalesce(1), path, "csv")
+    """One folder of CSV parts, in the partitions that the forecast has."""
+    write_table(submission(forecast, date_name), path, "csv")
 
 
 # ------------------------------------------------------------------------- S9
