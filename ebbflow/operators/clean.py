@@ -126,12 +126,6 @@ def min_history(df: DataFrame, min_rows: int = 30, key: str = K) -> DataFrame:
     return df.join(keep, key, "left_semi")
 
 
-def min_history_window(df: DataFrame, min_rows: int = 30, key: str = K) -> DataFrame:
-    """C4 in window form: same rows; reuses the per-key partitioning of later windows."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(key))
-    return df.withColumn("__n", n).filter(F.col("__n") >= F.lit(min_rows)).drop("__n")
-
-
 def clean_flows(df: DataFrame, factor: float = 3.0, min_rows: int = 30) -> DataFrame:
     """C1-C4 in the reference order: winsorise, clip at 0, drop short funds."""
     return min_history(clip_non_negative(winsorise(df, factor=factor)), min_rows)
@@ -330,34 +324,39 @@ def feature_columns(df: DataFrame, targets=TARGETS, key: str = K, date: str = D)
     return [c for c in df.columns if c not in drop]
 
 
-def zero_fill_after_join(df: DataFrame, cols=None) -> DataFrame:
-    """Numerics NULL -> 0, text NULL -> 'unknown' (after the attribute join)."""
-    cols = set(cols or df.columns)
-    num = [c for c in numeric_columns(df) if c in cols]
-    txt = [c for c in string_columns(df) if c in cols]
-    out = df
-    if num:
-        out = out.fillna(0, subset=num)
-    if txt:
-        out = out.fillna("unknown", subset=txt)
-    return out
+def prepare_frames(train: DataFrame, valid: DataFrame, targets=TARGETS):
+    """C8-C11 on both frames at once, for every target: one set of statistics from the training rows.
+
+    Clipping is monotone and the median lies between the bounds, so the median of a
+    clipped column is the column's own: one pass over the training rows gives bounds and
+    medians.  They are one number for each column and probability, held as literals.
+    """
+    feats = feature_columns(train, targets)
+    floats = [c for c in float_columns(train) if c in set(feats)]
+    nums = [c for c in numeric_columns(train) if c in set(feats)]
+    cats = [c for c in string_columns(train) if c in set(feats)]
+    low, mid, high = 0.01, 0.5, 0.99
+    stats = exact_quantiles(nulls_for_nonfinite(train.select(*nums), floats), nums, [low, mid, high]).first() if nums else {}
+
+    def prepared(df: DataFrame) -> DataFrame:
+        out = []
+        for c in df.columns:
+            x = F.col(f"`{c}`")
+            if c in floats:
+                lo, hi = stats[quantile_name(c, low)], stats[quantile_name(c, high)]
+                x = finite_or_null(c)
+                x = x if lo is None else F.when(x < lo, F.lit(lo)).when(x > hi, F.lit(hi)).otherwise(x)
+            if c in nums:
+                x = F.coalesce(x.cast("double"), F.lit(stats[quantile_name(c, mid)] or 0.0))
+            out.append(x.alias(c))
+        return df.select(*out)
+
+    tr, va = prepared(train), prepared(valid)
+    return mode_fill(tr, tr, cats), mode_fill(tr, unseen_to_mode(tr, va, cats), cats)
 
 
 def prepare_train_valid(train: DataFrame, valid: DataFrame, target: str, targets=TARGETS):
     """C8-C14 composed: the reference's model-input preparation for one target."""
-    feats = feature_columns(train, targets)
-    keep = feats + [target]
-    tr, va = train.select(*keep), valid.select(*keep)
-    floats = [c for c in float_columns(tr) if c in feats]
-    clipper = TrainClipper().fit(tr, floats) if floats else None
-    if clipper:
-        tr_c, va_c = clipper.transform(tr), clipper.transform(va)
-    else:
-        tr_c, va_c = tr, va
-    cats = [c for c in string_columns(tr_c) if c in feats]
-    if cats:
-        va_c = unseen_to_mode(tr_c, va_c, cats)
-    nums = [c for c in numeric_columns(tr_c) if c in feats]
-    tr_f = mode_fill(tr_c, train_median_fill(tr_c, tr_c, nums), cats)
-    va_f = mode_fill(tr_c, train_median_fill(tr_c, va_c, nums), cats)
-    return floor_target_drop_nulls(tr_f, target), floor_target_drop_nulls(va_f, target)
+    keep = [*feature_columns(train, targets), target]
+    tr, va = prepare_frames(train.select(*keep), valid.select(*keep), targets)
+    return floor_target_drop_nulls(tr, target), floor_target_drop_nulls(va, target)

@@ -1,11 +1,11 @@
 """Technical indicators per key.
 
 Exponential weights (T1, T2, T6) use the exact infinite-horizon sums that pandas
-computes, NULLs included, with O(1) work per row and no arrays: every row has an
-exponent e that never falls within its key, and a term weighs exp(-(e_i - e_j)) at row
-i.  Rows are cut into blocks where e crosses a multiple of BLOCK; inside a block a
-running sum of exp(offset) x gives the sums up to the block start, and the end value
-of the block before it is carried by a ``last`` window.  Terms further back weigh
+computes, NULLs included, with O(1) work per row and no arrays: every row has a number
+of steps e that never falls within its key, and a term weighs base^(e_i - e_j) at row
+i.  Rows are cut into blocks of so many steps that a whole one weighs below 1e-30; inside
+a block a running sum of base^-offset x gives the sums up to the block start, and the end
+value of the block before it is carried by a ``last`` window.  Terms further back weigh
 below 1e-30 of the newest and are dropped.  Each alpha needs one extra sort on
 (key, block); no shuffle is added because the data is already partitioned by key.
 """
@@ -21,7 +21,7 @@ from ebbflow.functions.exprs import eps_ratio, fund_window
 from ebbflow.schema import D, EPS, K, TARGETS
 
 MACD_SPANS = (12, 26, 9)  # fixed values: fast, slow and signal spans
-BLOCK = -math.log(1e-30)
+BLOCK_TOL = 1e-30
 
 
 def span_alpha(span: int) -> float:
@@ -38,36 +38,42 @@ def add_row_numbers(df: DataFrame, key: str = K, date: str = D) -> DataFrame:
     return df if "__rn" in df.columns else df.withColumn("__rn", F.row_number().over(fund_window(key, date)))
 
 
+def block_steps(base: float) -> int:
+    return math.ceil(math.log(BLOCK_TOL) / math.log(base))
+
+
 def add_decayed_sums(df: DataFrame, specs, key: str = K, date: str = D) -> DataFrame:
-    """For each spec (name, exponent column, {out: (value, factor)}) add ``out``, the sum over
-    earlier-or-current rows j of exp(-factor (e_i - e_j)) value_j; a NULL value adds nothing.
+    """For each spec (name, steps column, base, {out: (value, power)}) add ``out``, the sum over
+    earlier-or-current rows j of base^(power (e_i - e_j)) value_j; a NULL value adds nothing.
     """
     w = fund_window(key, date)
     df = df.select(
-        "*",
-        *[F.floor(F.col(e) / F.lit(BLOCK)).alias(f"{name}_blk") for name, e, _ in specs],
+        "*", *[F.floor(F.col(e) / F.lit(block_steps(base))).alias(f"{name}_blk") for name, e, base, _ in specs]
     )
+
+    def weight(name, e, base, power):
+        off = F.col(e) - F.col(f"{name}_blk") * F.lit(block_steps(base))
+        return F.pow(F.lit(base**abs(power)), off if power > 0 else -off)
+
     first = []
-    for name, e, outs in specs:
-        off = F.col(e) - F.col(f"{name}_blk") * F.lit(BLOCK)
+    for name, e, base, outs in specs:
         wb = Window.partitionBy(key, f"{name}_blk").orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
-        for out, (value, factor) in outs.items():
-            first.append(F.sum(F.exp(F.lit(float(factor)) * off) * value).over(wb).alias(f"{out}_q"))
+        for out, (value, power) in outs.items():
+            first.append(F.sum(weight(name, e, base, -power) * value).over(wb).alias(f"{out}_q"))
     df = df.select("*", *first)
     df = df.select(
-        "*", *[(F.lead(f"{name}_blk").over(w) != F.col(f"{name}_blk")).alias(f"{name}_end") for name, _, _ in specs]
+        "*", *[(F.lead(f"{name}_blk").over(w) != F.col(f"{name}_blk")).alias(f"{name}_end") for name, *_ in specs]
     )
     prev = w.rowsBetween(Window.unboundedPreceding, -1)
     second, drop = [], []
-    for name, e, outs in specs:
+    for name, e, base, outs in specs:
         blk = F.col(f"{name}_blk")
-        off = F.col(e) - blk * F.lit(BLOCK)
         last_blk = F.last(F.when(F.col(f"{name}_end"), blk), ignorenulls=True).over(prev)
-        for out, (_, factor) in outs.items():
+        for out, (_, power) in outs.items():
             end = F.last(F.when(F.col(f"{name}_end"), F.struct(F.col(f"{out}_q").alias("q"))), ignorenulls=True).over(prev)
-            carry = F.when(last_blk == blk - F.lit(1), end["q"] * F.lit(math.exp(-factor * BLOCK)))
+            carry = F.when(last_blk == blk - F.lit(1), end["q"] * F.lit(base ** (power * block_steps(base))))
             total = F.coalesce(F.col(f"{out}_q"), F.lit(0.0)) + F.coalesce(carry, F.lit(0.0))
-            second.append((F.exp(F.lit(-float(factor)) * off) * total).alias(out))
+            second.append((weight(name, e, base, power) * total).alias(out))
             drop.append(f"{out}_q")
         drop += [f"{name}_blk", f"{name}_end"]
     return df.select("*", *second).drop(*drop)
@@ -79,7 +85,7 @@ def ewm_spec(name: str, t: str, alpha: float):
     x, seen = F.col(t).cast("double") - F.col(f"__{t}_x1"), F.col(t).isNotNull()
     one = F.when(seen, F.lit(1.0))
     sums = {f"{name}_w": (one, 1), f"{name}_w2": (one, 2), f"{name}_s1": (x, 1), f"{name}_s2": (x * x, 1)}
-    return (name, f"{name}_e", sums)
+    return (name, "__rn", 1.0 - alpha, sums)
 
 
 def ewm_mean_col(name: str, t: str) -> Column:
@@ -148,10 +154,12 @@ def add_emas(df: DataFrame, specs, key: str = K, date: str = D) -> DataFrame:
         old = F.pow(F.lit(1.0 - alpha), F.col(f"__{c}_gap"))
         keep = old / (old + F.lit(alpha))  # NULL on the first value
         seen = F.col(c).isNotNull()
-        steps.append(F.when(seen & keep.isNotNull(), -F.log(keep)).otherwise(F.lit(0.0)).alias(f"{name}_step"))
+        # in steps of one row: exactly 1 where no row is missing
+        step = F.log(keep) / F.log(F.lit(1.0 - alpha))
+        steps.append(F.when(seen & keep.isNotNull(), step).otherwise(F.lit(0.0)).alias(f"{name}_step"))
         new = F.when(seen, (F.lit(1.0) - F.coalesce(keep, F.lit(0.0))) * F.col(c))
         exps.append(F.sum(f"{name}_step").over(running).alias(f"{name}_e"))
-        sums.append((name, f"{name}_e", {f"{name}_y": (F.col(f"{name}_x"), 1)}))
+        sums.append((name, f"{name}_e", 1.0 - alpha, {f"{name}_y": (F.col(f"{name}_x"), 1)}))
         steps.append(new.alias(f"{name}_x"))
         steps.append(F.max(seen.cast("int")).over(running).alias(f"{name}_on"))
     df = add_decayed_sums(df.select("*", *steps).select("*", *exps), sums, key, date)
@@ -187,7 +195,6 @@ def add_technical_features(df: DataFrame, targets=TARGETS, alphas=(0.1, 0.2, 0.3
     named = [(f"__{t}_e{alpha_tag(a)}", t, a) for t in targets for a in alphas]
     s = add_row_numbers(df, key, date)
     s = s.select("*", *[F.first(F.col(t).cast("double"), ignorenulls=True).over(w_all).alias(f"__{t}_x1") for t in targets])
-    s = s.select("*", *[(F.col("__rn") * F.lit(-math.log(1.0 - a))).alias(f"{n}_e") for n, _, a in named])
     s = add_decayed_sums(s, [ewm_spec(n, t, a) for n, t, a in named], key, date)
     cols = []
     for n, t, a in named:

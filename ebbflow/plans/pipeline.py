@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ebbflow.operators import attributes as AT
 from ebbflow.operators import calendar as CAL
 from ebbflow.operators import clean as C
 from ebbflow.operators import forecast as FC
@@ -66,15 +67,29 @@ def create_features(flows: DataFrame, holidays: DataFrame | None = None, cfg: Fl
     df = df.select(*base_cols, *date_cols, *ts_cols, *hist_cols, *x5_cols, *cs_cols, *inter_cols, *tech_cols)
     if cfg.as_of == "previous_day":
         df = lag_same_day(df, [c for c in df.columns if c not in (K, D, *cfg.targets, *cfg.uv_cols, *CALENDAR_COLS)])
+    return finish_features(df, cfg, select, fill)
+
+
+def finish_features(df: DataFrame, cfg: FlowConfig = FlowConfig(), select: bool = True, fill: bool = True) -> DataFrame:
+    """Validation and selection, then the fills, over the table written once to the shared folder."""
     if select or fill:
-        # data-dependent decisions follow: materialise the wide table once in
-        # the shared checkpoint folder instead of recomputing it per decision
-        df = cut_lineage(df)
+        df = cut_lineage(df)  # data-dependent decisions follow: do not recompute the table for each
     if select:
         df, _ = SEL.validate_and_select(df, cfg.max_correlation, cfg.max_missing_ratio, cfg.min_variance, cfg.max_feature_count, cfg.targets)
-    if fill:
-        df = C.smart_fill(df)
-    return df
+    return C.smart_fill(df) if fill else df
+
+
+def training_table(flows: DataFrame, holidays: DataFrame | None = None, attrs: DataFrame | None = None,
+                   cfg: FlowConfig = FlowConfig(), select: bool = True, fill: bool = True) -> DataFrame:
+    """E1's table: clean (C1-C4), features, per-fund attributes (J1), selection (V1-V5), fills.
+
+    The cleaned flows are written once: several later stages read them.
+    """
+    flows = cut_lineage(C.clean_flows(flows))
+    feats = create_features(flows, holidays, cfg, select=False, fill=False)
+    if attrs is not None:
+        feats = AT.join_attributes(feats, attrs)
+    return finish_features(feats, cfg, select, fill)
 
 
 def lag_same_day(df: DataFrame, cols, key: str = K, date: str = D) -> DataFrame:
@@ -85,14 +100,18 @@ def lag_same_day(df: DataFrame, cols, key: str = K, date: str = D) -> DataFrame:
 
 
 def train(features: DataFrame, cfg: FlowConfig = FlowConfig(), kind: str = "gbt", overlap: bool = False):
-    """E1 training part: hold-out split (M1), preparation (C8-C14), one model per target (M4)."""
+    """E1 training part: hold-out split (M1), preparation (C8-C14), one model per target (M4).
+
+    Returns the models and, per target, the prepared (train, valid) frames.
+    """
     train_df, valid_df = SP.holdout_split(features, overlap=overlap)
-    train_df, valid_df = C.drop_all_null_rows(train_df), C.drop_all_null_rows(valid_df)
+    tr, va = C.prepare_frames(C.drop_all_null_rows(train_df), C.drop_all_null_rows(valid_df), cfg.targets)
+    tr, va = cut_lineage(tr), cut_lineage(va)  # every tree level reads them
     models, prepared = {}, {}
     for t in cfg.targets:
-        tr, va = C.prepare_train_valid(train_df, valid_df, t, cfg.targets)
-        models[f"{t}_model"] = ML.fit_target(tr, t, kind, cfg.targets)
-        prepared[t] = (tr, va)
+        both = [C.floor_target_drop_nulls(df, t) for df in (tr, va)]
+        models[f"{t}_model"] = ML.fit_target(both[0], t, kind, cfg.targets)
+        prepared[t] = tuple(both)
     return models, prepared
 
 

@@ -209,43 +209,84 @@ def consistency(spark, sf):
     return round_floats(AT.repeat_consistency(runs))
 
 
-def responses_from_stats(stats):
-    """Answer texts derived from each fund's statistics: JSON in prose, some broken, some out of range."""
-    h = F.abs(F.hash(F.col(K))) % F.lit(5)
+def answer_stats(flows_df):
+    """A few statistics per fund that the generated answers hold."""
+    a, r = F.col("apply_amt"), F.col("redeem_amt")
+    return flows_df.groupBy(K).agg(
+        F.count(F.lit(1)).alias("n"), F.max(a).alias("top"), F.min(a).alias("low"), F.sum(a).alias("total"), F.sum(r).alias("out")
+    )
+
+
+def generated_answers(stats):
+    """Answer texts derived from each fund's statistics: JSON in prose, some broken, some out of range, some missing keys."""
+    h = F.substring(K, 1, 6).cast("int") % F.lit(5)
     out = []
     for kind in AT.KINDS:
-        nums = {
+        parts = {
             "fund": F.struct(
-                (F.col("avg_apply") / F.lit(1e5)).alias("risk_level"),
-                F.col("std_apply").cast("string").alias("liquidity_rating"),
-                (F.col("max_apply") / F.col("avg_apply")).alias("market_beta"),
+                (F.col("n") % F.lit(9)).alias("risk_level"),
+                F.col("n").cast("string").alias("liquidity_rating"),
+                (F.col("n") / F.lit(512.0)).alias("market_beta"),
                 F.lit("成长").alias("fund_style"),
-                F.col("history_days").alias("extra_history"),
+                F.col("n").alias("history"),
+            ),
+            "behavior": F.struct(
+                (F.col("n") / F.lit(2048.0)).alias("momentum_factor"),
+                F.lit("散户主导").alias("investor_type"),
+                F.lit(0.9).alias("concentration_risk"),
             ),
-            "behavior": F.struct(F.col("correlation").alias("momentum_factor"), F.lit("散户主导").alias("investor_type"),
-                                 (F.col("concentration") * F.lit(10)).alias("concentration_risk")),
-            "signal": F.struct((F.col("rsi") / F.lit(100)).alias("signal_quality"), F.col("momentum").alias("breakout_probability"),
-                               F.lit("上涨").alias("trend_direction")),
-            "risk": F.struct(F.col("var95").alias("tail_risk_level"), F.col("sharpe").alias("risk_adjusted_return"),
-                             F.lit(0.9).alias("concentration_risk"), F.lit("高").alias("overall_risk")),
+            "signal": F.struct(F.lit("high").alias("signal_quality"), F.lit("上涨").alias("trend_direction")),
+            "risk": F.struct(F.lit(0.8).alias("systematic_risk"), F.lit("高").alias("overall_risk")),
         }[kind]
-        js = F.to_json(nums)
+        js = F.to_json(parts)
         text = (
             F.when(h == F.lit(0), F.concat(F.lit("analysis: {broken "), js))
             .when(h == F.lit(1), F.lit("no structured answer"))
             .when(h == F.lit(2), F.concat(F.lit("Result:\n"), js, F.lit("\nend")))
+            .when(h == F.lit(3), F.concat(js, F.lit(" and "), js))
             .otherwise(js)
         )
         out.append(F.struct(F.lit(kind).alias("kind"), text.alias("response")))
     return stats.select(K, F.explode(F.array(*out)).alias("r")).select(K, "r.kind", "r.response")
 
 
-@query("parse_response", None)
+PARSED_COLS = (
+    "risk_level", "liquidity_rating", "market_beta", "fund_style", "momentum_factor", "investor_type", "concentration_risk",
+    "signal_quality", "trend_direction", "systematic_risk", "overall_risk", "flow_stability",
+)
+
+
+def _parsed_sql() -> str:
+    code = _code_sql()
+    ok = "h IN (2, 4)"  # one JSON object, in prose or alone
+    pick = {
+        "risk_level": f"CASE WHEN {ok} THEN least(greatest(n % 9, 1), 5) ELSE {code['risk_level']} END",
+        "liquidity_rating": f"CASE WHEN {ok} THEN least(greatest(n, 1), 5) ELSE 6 END",
+        "market_beta": f"CASE WHEN {ok} THEN least(greatest(n / 512.0, 0.1), 3) ELSE 1 END",
+        "fund_style": f"CASE WHEN {ok} THEN '成长' ELSE {code['fund_style']} END",
+        "momentum_factor": f"CASE WHEN {ok} THEN least(greatest(n / 2048.0, 0), 1) ELSE 0.3 END",
+        "investor_type": f"CASE WHEN {ok} THEN '散户主导' ELSE '混合型' END",
+        "concentration_risk": "0.3",  # the risk answer comes later and lacks it: its default
+        "signal_quality": "0.5",  # no number: the default
+        "trend_direction": f"CASE WHEN {ok} THEN '上涨' ELSE '震荡' END",
+        "systematic_risk": f"CASE WHEN {ok} THEN 0.8 ELSE 0.6 END",
+        "overall_risk": f"CASE WHEN {ok} THEN '高' ELSE '中' END",
+        "flow_stability": "6.0",
+    }
+    text = {"fund_style", "investor_type", "trend_direction", "overall_risk"}
+    cols = [f"{v} AS {c}" if c in text else f"{_r(f'CAST({v} AS DOUBLE)')} AS {c}" for c, v in pick.items()]
+    return with_flows(
+        f"SELECT fund_code, {', '.join(cols)}, CASE WHEN {ok} THEN CAST(n AS VARCHAR) END AS history "
+        "FROM (SELECT fund_code, count(*) AS n, CAST(fund_code AS INT) % 5 AS h FROM flows GROUP BY fund_code)"
+    )
+
+
+@query("parse_response", _parsed_sql())
 def parse_response(spark, sf):
-    """Answers parsed, clamped, defaulted and merged into one attribute row per fund (rows-only)."""
+    """Answers parsed, clamped, defaulted per kind and merged into one attribute row per fund."""
     f = flows(spark, sf)
-    stats = S.all_fund_stats(f)
-    return AT.attributes_from_responses(f, responses_from_stats(stats))
+    rows = AT.attributes_from_responses(f, generated_answers(answer_stats(f)))
+    return round_floats(rows.select(K, *PARSED_COLS, F.try_element_at("extra", F.lit("history")).alias("history")))
 
 
 @query("prompt_table", None)

@@ -1,15 +1,14 @@
 """Queries for the technical indicators.
 
-The oracle writes exponential weights out as a self-join over row numbers
-with ``power(1 - alpha, distance)``, an independent form of the array fold
-used on the Spark side; both truncate at the same horizon.
+The oracle writes exponential weights out as a self-join over row numbers with
+``power(1 - alpha, distance)`` over the whole history, and takes squares about the
+weighted mean in a second pass; Spark's side has running block sums.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ebbflow.functions.exprs import ewm_horizon
 from ebbflow.operators import technical as TE
 from ebbflow.plans.catalog import R, flows, query
 from ebbflow.plans.oracle_sql import with_flows
@@ -38,29 +37,28 @@ RN = (
 )
 
 
+def _weight(a: float) -> str:
+    return f"power({1 - a!r}, a.rn - b.rn)"
+
+
 def _ewm_sql(kind: str) -> str:
     """Weights over the whole earlier history of the fund (pandas' infinite horizon)."""
+    pairs = [(t, a, TE.alpha_tag(a)) for t in T2 for a in ALPHAS]
+    join = "JOIN r b ON a.fund_code = b.fund_code AND b.rn <= a.rn"
+    means = ", ".join(f"sum({_weight(a)} * b.{t}) / sum({_weight(a)}) AS m_{t}_{tag}" for t, a, tag in pairs)
+    first = f"m AS (SELECT a.fund_code, a.transaction_date, a.rn, {means} FROM r a {join} GROUP BY ALL)"
+    if kind == "mean":
+        sel = ", ".join(f"{_r(f'm_{t}_{tag}')} AS {t}_ewm_{tag}" for t, _, tag in pairs)
+        return with_flows(f"SELECT fund_code, transaction_date, {sel} FROM m", extra_ctes=f"{RN},\n{first}")
     sel = []
-    for t in T2:
-        for a in ALPHAS:
-            tag = TE.alpha_tag(a)
-            w = f"power({1 - a!r}, a.rn - b.rn)"
-            f = ""
-            sw, sw2 = f"sum({w}) {f}", f"sum({w} * {w}) {f}"
-            swx, swxx = f"sum({w} * b.{t}) {f}", f"sum({w} * b.{t} * b.{t}) {f}"
-            if kind == "mean":
-                sel.append(f"{_r(f'{swx} / {sw}')} AS {t}_ewm_{tag}")
-            else:
-                var = f"({swxx} / {sw} - ({swx} / {sw}) * ({swx} / {sw}))"
-                den = f"({sw} * {sw} - {sw2})"
-                std = f"CASE WHEN {den} > 0 THEN sqrt(greatest({var}, 0) * {sw} * {sw} / {den}) END"
-                sel.append(f"{_r(std)} AS {t}_ewm_std_{tag}")
-    return with_flows(
-        f"""SELECT a.fund_code, a.transaction_date, {', '.join(sel)}
-FROM r a JOIN r b ON a.fund_code = b.fund_code AND b.rn <= a.rn
-GROUP BY a.fund_code, a.transaction_date""",
-        extra_ctes=RN,
-    )
+    for t, a, tag in pairs:
+        w = _weight(a)
+        dev = f"sum({w} * (b.{t} - a.m_{t}_{tag}) * (b.{t} - a.m_{t}_{tag}))"
+        den = f"(sum({w}) * sum({w}) - sum({w} * {w}))"
+        std = f"CASE WHEN count(*) > 1 THEN sqrt({dev} * sum({w}) / {den}) END"
+        sel.append(f"{_r(std)} AS {t}_ewm_std_{tag}")
+    body = f"SELECT a.fund_code, a.transaction_date, {', '.join(sel)} FROM m a {join} GROUP BY a.fund_code, a.transaction_date"
+    return with_flows(body, extra_ctes=f"{RN},\n{first}")
 
 
 @query("ewm_mean", _ewm_sql("mean"))
