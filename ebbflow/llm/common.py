@@ -32,6 +32,12 @@ def blocks_for(rows: int, per_block: int) -> int:
     return max(1, -(-rows // per_block))
 
 
+def with_row_id(docs: DataFrame) -> DataFrame:
+    """rid and row (all columns, packed so that no name can clash); rid is doc_id, or a hash of the text without one."""
+    own = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(whole_text()))
+    return docs.select(own.alias("rid"), F.struct("*").alias("row"))
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """The name of a new folder below the shared checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -38,8 +38,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ebbflow.llm.common import table, whole_text, written
-from ebbflow.llm.components import components
+from ebbflow.llm.common import table, whole_text, with_row_id, written
+from ebbflow.llm.components import components, contracted, merged
 from ebbflow.llm.rolling import STEP, Powers, U, mix, prefixes, windows
 from ebbflow.llm.screening import bit_map, passes
 
@@ -47,6 +47,7 @@ WORDS = 5
 BAND_RATIO = 1.5
 #: Sets compared with one another in one step at most, about.
 TILE = 256
+FAR = 1 << 30
 SECOND_STEP = 0xC2B2AE3D27D4EB4F
 SEED_STEP = U(0x165667B19E3779F9)
 CODE = U(0x27D4EB2F165667C5)
@@ -116,8 +117,8 @@ def block_keys(shingles: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    """Parities as 64-bit words: a power of two of bits, at least four for each shingle."""
-    bits = 1 << max(6, int(4 * len(shingles) - 1).bit_length())
+    """Parities as 64-bit words: a power of two of bits, at least eight for each shingle."""
+    bits = 1 << max(6, int(8 * len(shingles) - 1).bit_length())
     place = (mix(shingles + CODE) & U(bits - 1)).astype(np.int64)
     odd = (np.bincount(place, minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").view(U)
@@ -178,11 +179,17 @@ def keyed(texts: DataFrame) -> DataFrame:
 
 def meeting_blocks(texts: DataFrame) -> DataFrame:
     """key, set_id: the blocks in which a set has to meet each of its partners (step 1)."""
-    rows = keyed(texts).repartition("key")
+    # both uses of the rows below read the same columns through the same filters, so they share one shuffle
+    rows = keyed(texts).where("key is not null and entry is not null").repartition("key")
     shared = (
         rows.groupBy("key")
-        .agg(F.min("set_id").alias("low"), F.max("set_id").alias("high"), F.count("*").alias("held"))
-        .where("low != high")
+        .agg(
+            F.min("set_id").alias("low"),
+            F.max("set_id").alias("high"),
+            F.count("*").alias("held"),
+            F.min("entry").alias("entry"),
+        )
+        .where("low != high and entry > 0")
         .select("key", "held")
     )
     met = rows.join(shared.hint("shuffle_hash"), "key").distinct()
@@ -247,36 +254,47 @@ def tiled(blocks: DataFrame, sketches: DataFrame) -> DataFrame:
     )
 
 
+def margins(part, ids, roots, sizes, sketches) -> np.ndarray:
+    """For each two sets of a tile, how far inside a link's bound their sketches are; FAR if they cannot link."""
+    length = min(map(len, sketches)) // 8
+    held = np.stack([folded(np.frombuffer(s, U), length) for s in sketches])
+    out = np.full((len(ids), len(ids)), FAR, np.int32)
+    between = (part != part[0]).any()
+    for k in range(len(ids) - 1):
+        apart = np.bitwise_count(held[k + 1 :] ^ held[k]).sum(axis=1, dtype=np.int64)
+        over = 9 * apart - sizes[k] - sizes[k + 1 :]
+        may = (over <= 0) & (roots[k + 1 :] != roots[k])
+        may &= 5 * np.minimum(sizes[k], sizes[k + 1 :]) >= 4 * np.maximum(sizes[k], sizes[k + 1 :])
+        if between:
+            may &= part[k + 1 :] != part[k]
+        out[k, k + 1 :] = out[k + 1 :, k] = np.where(may, over, FAR)
+    return out
+
+
+def closest_forest(near: np.ndarray) -> np.ndarray:
+    """Edges (rows of two places) of a spanning forest of the closest pairs, grown from the first set on."""
+    n = len(near)
+    best, source = np.full(n, FAR, np.int32), np.full(n, -1)
+    out, left = [], np.ones(n, bool)
+    for _ in range(n):
+        at = int(np.argmin(np.where(left, best, FAR + 1)))
+        left[at] = False
+        if best[at] < FAR:
+            out.append((source[at], at))
+        nearer = left & (near[at] < best)
+        best[nearer], source[nearer] = near[at][nearer], at
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
 def near_pairs(tiles: DataFrame, forest: bool) -> DataFrame:
-    """a, b: sets of a tile of different roots that their sketches may link; a spanning forest of them at will."""
-
-    def compare(part, ids, roots, sizes, sketches) -> Iterator[tuple[int, int]]:
-        if len(ids) < 2 or (roots == roots[0]).all():
-            return
-        length = min(map(len, sketches)) // 8
-        held = np.stack([folded(np.frombuffer(s, U), length) for s in sketches])
-        between = len(np.unique(part)) > 1
-        group = list(range(len(ids)))
-
-        def top(x: int) -> int:
-            while group[x] != x:
-                group[x] = group[group[x]]
-                x = group[x]
-            return x
-
-        for k in range(len(ids) - 1):
-            apart = np.bitwise_count(held[k + 1 :] ^ held[k]).sum(axis=1, dtype=np.int64)
-            may = (9 * apart <= sizes[k] + sizes[k + 1 :]) & (roots[k + 1 :] != roots[k])
-            may &= 5 * np.minimum(sizes[k], sizes[k + 1 :]) >= 4 * np.maximum(sizes[k], sizes[k + 1 :])
-            if between:
-                may &= part[k + 1 :] != part[k]
-            for m in (np.flatnonzero(may) + k + 1).tolist():
-                if forest:
-                    x, y = top(k), top(m)
-                    if x == y:
-                        continue
-                    group[x] = y
-                yield min(int(ids[k]), int(ids[m])), max(int(ids[k]), int(ids[m]))
+    """a, b: sets of a tile of different roots that their sketches may link; a spanning forest of the closest at will."""
+
+    def compare(part, ids, roots, sizes, sketches) -> np.ndarray:
+        order = np.argsort(ids)  # tiles with the same sets then choose the same forest
+        sketches = [sketches[k] for k in order]
+        near = margins(part[order], ids[order], roots[order], sizes[order], sketches)
+        places = closest_forest(near) if forest else np.argwhere(np.triu(near < FAR, 1))
+        return np.sort(ids[order][places], axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "i", "j", "part", "set_id", "root", "n"]
@@ -295,13 +313,13 @@ def near_pairs(tiles: DataFrame, forest: bool) -> DataFrame:
                 kept = rows.slice(starts[-2]).to_batches()
                 starts = starts[:-1]
             sketches = rows.column("sketch")
-            found: set[tuple[int, int]] = set()
+            found = []
             for a, b in zip(starts, starts[1:]):
                 if b - a > 1 and not (c["root"][a:b] == c["root"][a]).all():
                     blobs = sketches.slice(a, b - a).to_pylist()
-                    found.update(compare(c["part"][a:b], c["set_id"][a:b], c["root"][a:b], c["n"][a:b], blobs))
+                    found.append(compare(c["part"][a:b], c["set_id"][a:b], c["root"][a:b], c["n"][a:b], blobs))
             if found:
-                pairs = np.array(sorted(found), np.int64)
+                pairs = np.unique(np.concatenate(found), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     dealt = tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
@@ -334,13 +352,12 @@ def set_components(texts: DataFrame, sets: DataFrame) -> DataFrame:
     rooted = rooted.withColumn("root", F.coalesce("root", "set_id"))
     rest = near_pairs(rooted, forest=False).join(tried, ["a", "b"], "left_anti")
     more = written(verified(rest, held), "links")
-    return roots if more.isEmpty() else components(links.unionByName(more))
+    return roots if more.isEmpty() else merged(roots, components(contracted(more, roots)))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
-    texts = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
-    texts = texts.select(F.coalesce("doc_id", F.xxhash64("text")).alias("rid"), "doc_id", "text")
+def document_components(docs: DataFrame) -> DataFrame:
+    """rid (see with_row_id), doc_id, n, component_id of every document."""
+    texts = with_row_id(docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))).select("rid", "row.*")
     sets = written(sets_of(texts), "shingled")
     some = sets.where("n > 0")
     roots = set_components(texts, some.select("rid", "set_id"))
@@ -351,9 +368,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = least.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_set = least.join(named, "root").select("set_id", "component_id")
     return sets.join(by_set, "set_id", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+        "rid", "doc_id", "n", F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
 
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
+    return document_components(docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows, with all their columns, that name their component; rows with one id stay or go together."""
+    kept = document_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("rid").distinct()
+    return with_row_id(docs).join(kept, "rid", "left_semi").select("row.*")
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
