@@ -166,10 +166,11 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     )
 
 
-def with_digests(encoded: DataFrame) -> DataFrame:
+def with_digests(encoded: DataFrame, *more: str) -> DataFrame:
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
+        *more,
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbflow.llm.common import table, whole_text
+from ebbflow.llm.common import table, whole_text, with_row_id
 from ebbflow.llm.rolling import Powers, U, prefixes, windows
 from ebbflow.llm.screening import bit_map, passes
 
@@ -195,5 +195,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows, with all their columns, that hold no item of the benchmark."""
+    rows = with_row_id(docs)
+    texts = rows.select(F.col("rid").alias("doc_id"), F.coalesce("row.text", F.lit("")).alias("text"))
+    hit = matches(texts, benchmark).select(F.col("doc_id").alias("rid")).distinct()
+    return rows.join(hit, "rid", "left_anti").select("row.*")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

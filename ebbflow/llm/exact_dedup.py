@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ebbflow.llm import fuse
-from ebbflow.llm.common import blocks_for, lower_ascii, table, whole_text
+from ebbflow.llm.common import blocks_for, lower_ascii, table, whole_text, with_row_id
 
 #: Digests in one shard of the snapshot, about: a filter of it takes 1.2 bytes each.
 SHARD_DIGESTS = 200_000
@@ -116,6 +116,19 @@ def exact_dedup(docs: DataFrame, is_new: Column) -> DataFrame:
     )
 
 
+def drop_copies(docs: DataFrame, is_new: Column) -> DataFrame:
+    """The rows that stay, with all their columns."""
+    keyed = with_row_id(docs).withColumn("digest", digest_of(F.coalesce("row.text", F.lit(""))))
+    nth = F.row_number().over(Window.partitionBy("rid", "digest").orderBy(F.lit(1)))
+    first = keyed.withColumn("nth", nth).where("nth = 1")
+    ids = docs.select(F.col("doc_id").cast("long"), "text", is_new.alias("new"))
+    named = with_row_id(ids).select(F.col("rid").alias("doc_id"), "row.text", "row.new")
+    kept = exact_dedup(named, F.col("new")).where("kept").select(
+        F.col("doc_id").alias("rid"), F.unhex("text_sha256").alias("digest")
+    )
+    return first.join(kept, ["rid", "digest"], "left_semi").select("row.*")
+
+
 def second_half(column: str = "doc_id") -> Column:
     """Deals rows into a snapshot and a new batch by the hash of their id."""
     return F.pmod(F.xxhash64(column), F.lit(2)) == 1
