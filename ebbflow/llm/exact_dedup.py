@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ebbflow.llm import fuse
-from ebbflow.llm.common import blocks_for, lower_ascii, table, whole_text, with_row_id
+from ebbflow.llm.common import blocks_for, lower_ascii, table, whole_text
 
 #: Digests in one shard of the snapshot, about: a filter of it takes 1.2 bytes each.
 SHARD_DIGESTS = 200_000
@@ -68,9 +68,10 @@ def screen(batch: DataFrame, filters: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, is_new: Column) -> tuple[DataFrame, DataFrame]:
     """The keyed rows (doc_id, digest, new, nth) and, for each (digest, new), keep_id and group_size."""
     n_shards = blocks_for(docs.count(), SHARD_DIGESTS)
-    texts = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
+    new_row = F.coalesce(is_new, F.lit(False))
+    texts = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"), new_row.alias("new"))
     nth = F.row_number().over(Window.partitionBy("doc_id", "digest", "new").orderBy(F.lit(1)))
-    rows = texts.select("doc_id", digest_of(F.col("text")).alias("digest"), F.coalesce(is_new, F.lit(False)).alias("new"))
+    rows = texts.select("doc_id", digest_of(F.col("text")).alias("digest"), "new")
     old = grouped(rows.where(~F.col("new")), n_shards)
     new = grouped(rows.where("new"), n_shards)
     maybe = screen(new, snapshot_filters(old)).alias("b")
@@ -118,15 +119,12 @@ def exact_dedup(docs: DataFrame, is_new: Column) -> DataFrame:
 
 def drop_copies(docs: DataFrame, is_new: Column) -> DataFrame:
     """The rows that stay, with all their columns."""
-    keyed = with_row_id(docs).withColumn("digest", digest_of(F.coalesce("row.text", F.lit(""))))
-    nth = F.row_number().over(Window.partitionBy("rid", "digest").orderBy(F.lit(1)))
-    first = keyed.withColumn("nth", nth).where("nth = 1")
-    ids = docs.select(F.col("doc_id").cast("long"), "text", is_new.alias("new"))
-    named = with_row_id(ids).select(F.col("rid").alias("doc_id"), "row.text", "row.new")
-    kept = exact_dedup(named, F.col("new")).where("kept").select(
-        F.col("doc_id").alias("rid"), F.unhex("text_sha256").alias("digest")
-    )
-    return first.join(kept, ["rid", "digest"], "left_semi").select("row.*")
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none")]
+    rows = docs.select(F.struct("*").alias("row"), *key, digest_of(whole_text()).alias("digest"))
+    nth = F.row_number().over(Window.partitionBy("id", "none", "digest").orderBy(F.lit(1)))
+    first = rows.withColumn("nth", nth).where("nth = 1")
+    kept = exact_dedup(docs, is_new).where("kept").select(*key, F.unhex("text_sha256").alias("digest"))
+    return first.join(kept, ["id", "none", "digest"], "left_semi").select("row.*")
 
 
 def second_half(column: str = "doc_id") -> Column:
