@@ -1,16 +1,11 @@
 """Column-expression helpers (native Catalyst expressions only)."""
 
 from ebbflow.functions.exprs import (  # noqa: F401
-    average_pct_rank,
     average_rank,
     bias_corrected_kurt,
     bias_corrected_skew,
     clip,
-    ema_from_history,
     eps_ratio,
-    ewm_horizon,
-    ewm_mean_from_history,
-    ewm_std_from_history,
     finite_or_null,
     fund_window,
     pct_change,

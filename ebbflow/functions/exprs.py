@@ -57,73 +57,6 @@ def average_rank(order_col: str, partition_cols: list[str], ascending: bool = Tr
     return F.rank().over(w) + (F.count(F.lit(1)).over(w_ties) - F.lit(1)) / F.lit(2.0)
 
 
-def average_pct_rank(order_col: str, partition_cols: list[str]) -> Column:
-    """pandas ``rank(pct=True)``: average rank divided by the group size."""
-    w_all = Window.partitionBy(*partition_cols)
-    return average_rank(order_col, partition_cols) / F.count(F.lit(1)).over(w_all)
-
-
-def ewm_horizon(alpha: float, tol: float = 1e-12) -> int:
-    """Rows L after which the weight (1-alpha)^L drops below ``tol``."""
-    return int(math.ceil(math.log(tol) / math.log(1.0 - alpha)))
-
-
-def ewm_mean_from_history(hist: Column, alpha: float) -> Column:
-    """Adjusted EWM mean of an oldest-to-newest array (pandas ``ewm(alpha).mean()``)."""
-    decay = F.lit(1.0 - alpha)
-    init = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("wx"))
-    folded = F.aggregate(
-        hist,
-        init,
-        lambda acc, y: F.struct(
-            (acc["w"] * decay + F.lit(1.0)).alias("w"),
-            (acc["wx"] * decay + y).alias("wx"),
-        ),
-    )
-    return F.try_divide(folded["wx"], folded["w"])
-
-
-def ewm_std_from_history(hist: Column, alpha: float, shift: Column) -> Column:
-    """Bias-corrected adjusted EWM std (pandas ``ewm(alpha).std()``).
-
-    Values are shifted by ``shift`` (the current value) before the sums; the
-    variance does not change and the squares stay small.
-    """
-    decay = F.lit(1.0 - alpha)
-    init = F.struct(
-        F.lit(0.0).alias("w"),
-        F.lit(0.0).alias("w2"),
-        F.lit(0.0).alias("wx"),
-        F.lit(0.0).alias("wxx"),
-    )
-
-    def step(acc, y):
-        z = y - shift
-        return F.struct(
-            (acc["w"] * decay + F.lit(1.0)).alias("w"),
-            (acc["w2"] * decay * decay + F.lit(1.0)).alias("w2"),
-            (acc["wx"] * decay + z).alias("wx"),
-            (acc["wxx"] * decay + z * z).alias("wxx"),
-        )
-
-    s = F.aggregate(hist, init, step)
-    mean = F.try_divide(s["wx"], s["w"])
-    biased = F.try_divide(s["wxx"], s["w"]) - mean * mean
-    denom = s["w"] * s["w"] - s["w2"]
-    factor = F.when(denom > F.lit(0.0), F.try_divide(s["w"] * s["w"], denom))
-    return F.sqrt(F.greatest(biased, F.lit(0.0)) * factor)
-
-
-def ema_from_history(hist: Column, alpha: float) -> Column:
-    """Unadjusted EMA seeded by the first element (pandas ``adjust=False``)."""
-    a = F.lit(alpha)
-    return F.aggregate(
-        F.slice(hist, 2, F.greatest(F.size(hist) - F.lit(1), F.lit(0))),
-        hist[0],
-        lambda acc, y: acc * (F.lit(1.0) - a) + y * a,
-    )
-
-
 def bias_corrected_skew(n: Column, g1: Column) -> Column:
     """pandas ``skew()`` from Spark's population skewness ``g1``."""
     return F.when(

@@ -37,73 +37,49 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], accuracy
     delta = 2.0 / accuracy
     k = len(probs)
     ps = [max(0.0, p - delta) for p in probs] + [min(1.0, p + delta) for p in probs]
-    xs = {c: F.col(f"`{c}`").cast("double") for c in cols}
-    # pass 1: counts and one sketch per column (one row)
-    bounds = df.agg(
-        *[F.count(xs[c]).alias(f"n{ci}") for ci, c in enumerate(cols)],
-        *[F.percentile_approx(xs[c], ps, accuracy).alias(f"b{ci}") for ci, c in enumerate(cols)],
+    # long form: the plan is as large for three columns as for three hundred
+    values = F.array(*[F.struct(F.lit(ci).alias("ci"), F.col(f"`{c}`").cast("double").alias("v")) for ci, c in enumerate(cols)])
+    long = df.select(F.explode(values).alias("x")).select("x.*").where("v is not null")
+    # pass 1: one sketch per column, then a row for each column and probability
+    sketches = long.groupBy("ci").agg(F.count("v").alias("n"), F.percentile_approx("v", ps, accuracy).alias("b"))
+    wanted = F.array(
+        *[
+            F.struct(F.lit(pi).alias("pi"), F.lit(float(p)).alias("p"), F.col("b")[pi].alias("lo"), F.col("b")[pi + k].alias("hi"))
+            for pi, p in enumerate(probs)
+        ]
     )
-    joined = df.select(*[xs[c].alias(f"x{ci}") for ci, c in enumerate(cols)]).crossJoin(F.broadcast(bounds))
-
-    def lo(ci, pi):
-        return F.col(f"b{ci}")[pi]
-
-    def hi(ci, pi):
-        return F.col(f"b{ci}")[pi + k]
-
-    every = [(ci, pi) for ci in range(len(cols)) for pi in range(k)]
-    # pass 2a: the values below each bracket, and its nearest neighbours: where few rows make
+    brackets = sketches.select("ci", "n", F.explode(wanted).alias("w")).select("ci", "n", "w.*")
+    met = long.join(F.broadcast(brackets), "ci")  # columns x probabilities rows
+    # pass 2: the values below each bracket, and its nearest neighbours: where few rows make
     # the sketch's margin less than a rank, the bracket can miss the wanted one by that rank
-    under, over = (lambda ci, pi: F.col(f"x{ci}") < lo(ci, pi)), (lambda ci, pi: F.col(f"x{ci}") > hi(ci, pi))
-    around = joined.agg(
-        *[F.count_if(under(ci, pi)).alias(f"c{ci}_{pi}") for ci, pi in every],
-        *[F.max(F.when(under(ci, pi), F.col(f"x{ci}"))).alias(f"l{ci}_{pi}") for ci, pi in every],
-        *[F.min(F.when(over(ci, pi), F.col(f"x{ci}"))).alias(f"h{ci}_{pi}") for ci, pi in every],
-        *[F.first(f"n{ci}").alias(f"n{ci}") for ci in range(len(cols))],
+    under, over = F.col("v") < F.col("lo"), F.col("v") > F.col("hi")
+    pos = (F.col("n") - F.lit(1)).cast("double") * F.col("p")
+    sides = (
+        met.groupBy("ci", "pi", "n", "p")
+        .agg(
+            F.count_if(under).alias("below"),
+            F.max(F.when(under, F.col("v"))).alias("left"),
+            F.min(F.when(over, F.col("v"))).alias("right"),
+        )
+        .select("ci", "pi", "below", "left", "right", pos.alias("pos"), F.floor(pos).alias("r0"), F.ceil(pos).alias("r1"))
     )
-    # pass 2b: rows of each distinct value inside each bracket
-    members = [
-        F.when(~under(ci, pi) & ~over(ci, pi), F.struct(F.lit(ci).alias("ci"), F.lit(pi).alias("pi"), F.col(f"x{ci}").alias("v")))
-        for ci, pi in every
-    ]
-    inside = joined.select(F.explode(F.array_compact(F.array(*members))).alias("m")).select("m.*")
-    counted = inside.groupBy("ci", "pi", "v").agg(F.count(F.lit(1)).alias("rows"))
+    # pass 3: rows of each distinct value inside each bracket, and the order statistics from their running count
+    counted = met.where(~under & ~over).groupBy("ci", "pi", "v").agg(F.count(F.lit(1)).alias("rows"))
     upto = Window.partitionBy("ci", "pi").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("upto", F.sum("rows").over(upto))
-    # pass 3: the order statistics from the running count (one row per column and probability)
-    sides = around.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(ci).alias("ci"),
-                        F.lit(pi).alias("pi"),
-                        F.col(f"n{ci}").alias("n"),
-                        F.col(f"c{ci}_{pi}").alias("below"),
-                        F.col(f"l{ci}_{pi}").alias("left"),
-                        F.col(f"h{ci}_{pi}").alias("right"),
-                        F.lit(float(probs[pi])).alias("p"),
-                    )
-                    for ci, pi in every
-                ]
-            )
-        ).alias("s")
-    ).select("s.*")
-    pos = (F.col("n") - F.lit(1)).cast("double") * F.col("p")
-    sides = sides.withColumn("pos", pos).withColumn("r0", F.floor("pos")).withColumn("r1", F.ceil("pos"))
-    met = ranked.join(F.broadcast(sides), ["ci", "pi"])
+    ranked = counted.withColumn("upto", F.sum("rows").over(upto)).join(F.broadcast(sides), ["ci", "pi"])
 
     def statistic(rank):
         inner = F.min(F.when(F.col("below") + F.col("upto") > F.col(rank), F.col("v")))
         first = F.when(F.first(rank) < F.first("below"), F.first("left"))
         return F.coalesce(first, inner, F.first("right"))
 
-    picked = met.groupBy("ci", "pi").agg(
+    picked = ranked.groupBy("ci", "pi").agg(
         statistic("r0").alias("v0"), statistic("r1").alias("v1"), (F.first("pos") - F.first("r0")).alias("share")
     )
-    long = picked.select("ci", "pi", (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("share")).alias("q"))
+    found = picked.select("ci", "pi", (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("share")).alias("q"))
     # back to one row: a pivot over at most (columns x probabilities) small rows
+    every = [(ci, pi) for ci in range(len(cols)) for pi in range(k)]
     keys = [f"{ci}_{pi}" for ci, pi in every]
-    wide = long.select(F.concat_ws("_", F.col("ci").cast("string"), F.col("pi").cast("string")).alias("key"), "q")
+    wide = found.select(F.concat_ws("_", F.col("ci").cast("string"), F.col("pi").cast("string")).alias("key"), "q")
     row = wide.groupBy().pivot("key", keys).agg(F.first("q"))
     return row.select(*[F.col(f"`{ci}_{pi}`").alias(quantile_name(cols[ci], probs[pi])) for ci, pi in every])

@@ -92,11 +92,6 @@ def add_holiday_flags(df: DataFrame, holidays: DataFrame, date: str = D) -> Data
     return j.fillna(0, subset=["is_holiday", "is_before_holiday", "is_after_holiday"])
 
 
-def month_rank_column(key: str = K, date: str = D) -> Column:
-    """Average rank of the date inside (key, calendar month)."""
-    return average_rank(date, [key, "__month"]).alias("work_days_since_month_start")
-
-
 def add_month_rank(df: DataFrame, key: str = K, date: str = D) -> DataFrame:
     return (
         df.withColumn("__month", F.trunc(F.col(date), "MM"))

@@ -109,21 +109,27 @@ def _avg_pct_rank_nonnull(c: str, part: list[str]) -> Column:
     return F.when(~isnull, r / F.count(F.lit(1)).over(cnt))
 
 
-def daily_columns(targets=TARGETS, date=D) -> list[Column]:
-    """X6 + X7: same-day rank, z-score and ratio to the same-day mean (leaking forms)."""
-    out = []
-    w = Window.partitionBy(date)
-    for t in targets:
-        m = F.avg(t).over(w)
-        s = F.stddev_samp(t).over(w)
-        out.append(_avg_pct_rank_nonnull(t, [date]).alias(f"{t}_daily_rank"))
-        out.append(F.try_divide(F.col(t) - m, s).alias(f"{t}_daily_zscore"))
-        out.append(F.try_divide(F.col(t), m).alias(f"{t}_vs_market_mean"))
-    return out
+def daily_means(df: DataFrame, targets=TARGETS, date=D) -> DataFrame:
+    """One row a day: mean and std of every target over the keys, by partial aggregation."""
+    return df.groupBy(date).agg(
+        *[f(t).alias(f"__{k}_{t}") for t in targets for k, f in (("m", F.avg), ("s", F.stddev_samp))]
+    )
 
 
 def add_daily_features(df: DataFrame, targets=TARGETS, date=D) -> DataFrame:
-    return df.select("*", *daily_columns(targets, date))
+    """X6 + X7: same-day rank, z-score and ratio to the same-day mean (leaking forms).
+
+    Mean and std come from a daily aggregate joined by date; only the rank needs a day's
+    rows in order.
+    """
+    out = df.join(daily_means(df, targets, date), date)
+    cols = []
+    for t in targets:
+        m, s = F.col(f"__m_{t}"), F.col(f"__s_{t}")
+        cols.append(_avg_pct_rank_nonnull(t, [date]).alias(f"{t}_daily_rank"))
+        cols.append(F.try_divide(F.col(t) - m, s).alias(f"{t}_daily_zscore"))
+        cols.append(F.try_divide(F.col(t), m).alias(f"{t}_vs_market_mean"))
+    return out.select(*df.columns, *cols)
 
 
 # ------------------------------------------------------------------------- X9

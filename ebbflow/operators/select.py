@@ -14,8 +14,6 @@ carries p^2/2 rows per partition, independent of the row count.
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -201,24 +199,26 @@ def validate_and_select(df: DataFrame, threshold: float = 0.95, max_missing: flo
     """V1-V5 in the reference order; returns (selected frame, report rows as dicts)."""
     report = []
     cols = candidate_columns(df, targets)
-    const = [r["column"] for r in constant_report(df, cols).where("is_constant").collect()]
-    report += [{"column": c, "reason": "constant"} for c in const]
-    df = df.drop(*const)
-    cols = [c for c in cols if c not in set(const)]
-    if len(cols) > 1:
-        corr = [r["column"] for r in correlated_columns(df, cols, threshold).collect()]
+    if cols:
+        # the per-column statistics do not depend on which other columns stay: one aggregate has them all
+        x = {c: F.col(f"`{c}`") for c in cols}
+        stats = df.agg(
+            F.array(*[F.coalesce(F.min(x[c]) == F.max(x[c]), F.lit(True)) for c in cols]).alias("constant"),
+            F.array(*[F.avg(x[c].isNull().cast("double")) for c in cols]).alias("missing"),
+            F.array(*[F.var_samp(x[c]) for c in cols]).alias("variance"),
+        ).first()
+        const = [c for c, flag in zip(cols, stats["constant"]) if flag]
+        left = [c for c in cols if c not in set(const)]
+        corr = {r["column"] for r in correlated_columns(df, left, threshold).collect()} if len(left) > 1 else set()
+        miss = {c for c, m in zip(cols, stats["missing"]) if m is not None and m > max_missing}
+        low = {c for c, v in zip(cols, stats["variance"]) if v is not None and v < min_variance}
+        report += [{"column": c, "reason": "constant"} for c in const]
         report += [{"column": c, "reason": "correlated"} for c in sorted(corr)]
-        df = df.drop(*corr)
-    left = [c for c in cols if c in set(df.columns)]
-    if left:
-        miss = [r["column"] for r in missing_report(df, left).where(F.col("missing_ratio") > F.lit(max_missing)).collect()]
-        report += [{"column": c, "reason": "missing"} for c in miss]
-        df = df.drop(*miss)
-    left = [c for c in cols if c in set(df.columns)]
-    if left:
-        low = [r["column"] for r in variance_report(df, left).where(F.col("variance") < F.lit(min_variance)).collect()]
-        report += [{"column": c, "reason": "low_variance"} for c in low]
-        df = df.drop(*low)
+        left = [c for c in left if c not in corr]
+        report += [{"column": c, "reason": "missing"} for c in left if c in miss]
+        left = [c for c in left if c not in miss]
+        report += [{"column": c, "reason": "low_variance"} for c in left if c in low]
+        df = df.drop(*[r["column"] for r in report])
     final = candidate_columns(df, targets)
     if len(final) > max_features:
         report.append({"column": "*", "reason": f"warning: {len(final)} features > {max_features}"})
@@ -256,6 +256,3 @@ class TrainScaler:
                 out.append(F.col(c))
         return j.select(*out)
 
-
-def pairs(cols):
-    return list(itertools.combinations(cols, 2))

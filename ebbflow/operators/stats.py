@@ -36,13 +36,15 @@ def last_n(df: DataFrame, n: int = 60, key: str = K, date: str = D) -> DataFrame
 def _prepared(df: DataFrame, n: int, key: str, date: str) -> DataFrame:
     """Last-n rows with the row-level series the statistics need."""
     a, r = F.col("apply_amt"), F.col("redeem_amt")
-    base = last_n(df.select(key, date, "apply_amt", "redeem_amt"), n, key, date)
+    rows = df.select(key, date, "apply_amt", "redeem_amt", F.count(F.lit(1)).over(Window.partitionBy(key)).alias("history"))
+    base = last_n(rows, n, key, date)
     w = Window.partitionBy(key).orderBy(date)
     s1 = base.select(
         key,
         date,
         "apply_amt",
         "redeem_amt",
+        "history",
         (a - r).alias("net"),
         (a + r).alias("vol"),
         F.row_number().over(w).alias("idx"),
@@ -80,13 +82,9 @@ def _at_last(c: str):
     return F.max(F.when(F.col("idx") == F.col("cnt"), F.col(c)))
 
 
-def fund_stats(df: DataFrame, n: int = 60, key: str = K, date: str = D, history: bool = True) -> DataFrame:
-    """A1: mean / sample std / max of both targets and mean net flow over the last n rows.
-
-    ``history`` adds ``history_days``: the number of rows of the key's whole history.
-    """
+def _fund_aggs():
     a, r = F.col("apply_amt"), F.col("redeem_amt")
-    stats = last_n(df.select(key, date, "apply_amt", "redeem_amt"), n, key, date).groupBy(key).agg(
+    return [
         F.avg(a).alias("avg_apply"),
         F.avg(r).alias("avg_redeem"),
         F.stddev_samp(a).alias("std_apply"),
@@ -94,7 +92,15 @@ def fund_stats(df: DataFrame, n: int = 60, key: str = K, date: str = D, history:
         F.max(a).alias("max_apply"),
         F.max(r).alias("max_redeem"),
         F.avg(a - r).alias("avg_net_flow"),
-    )
+    ]
+
+
+def fund_stats(df: DataFrame, n: int = 60, key: str = K, date: str = D, history: bool = True) -> DataFrame:
+    """A1: mean / sample std / max of both targets and mean net flow over the last n rows.
+
+    ``history`` adds ``history_days``: the number of rows of the key's whole history.
+    """
+    stats = last_n(df.select(key, date, "apply_amt", "redeem_amt"), n, key, date).groupBy(key).agg(*_fund_aggs())
     if history:
         hist = df.groupBy(key).agg(F.count(F.lit(1)).alias("history_days"))
         stats = stats.join(hist, key)
@@ -117,9 +123,7 @@ def summary_stats(df: DataFrame, n: int = 30, key: str = K, date: str = D) -> Da
     return last_n(df.select(key, date, "apply_amt", "redeem_amt"), n, key, date).groupBy(key).agg(*aggs)
 
 
-def behavior_stats(df: DataFrame, n: int = 60, key: str = K, date: str = D) -> DataFrame:
-    """A2-A5: correlation, net-flow volatility, trends, weekend / month-end share, Gini concentration."""
-    p = _prepared(df, n, key, date)
+def _behavior_aggs():
     a, r, v = F.col("apply_amt"), F.col("redeem_amt"), F.col("vol")
     cnt = F.count(F.lit(1))
     total = F.sum(a) + F.sum(r)
@@ -128,7 +132,7 @@ def behavior_stats(df: DataFrame, n: int = 60, key: str = K, date: str = D) -> D
         sum_v > F.lit(0),
         F.lit(2.0) * F.sum(F.col("vrank") * v) / (cnt * sum_v) - (cnt + F.lit(1)) / cnt,
     ).otherwise(F.lit(0.0))
-    return p.groupBy(key).agg(
+    return [
         F.coalesce(sample_corr(a, r), F.lit(0.0)).alias("correlation"),
         F.when(cnt > F.lit(1), F.stddev_samp("net")).otherwise(F.lit(0.0)).alias("net_flow_vol"),
         F.when(cnt > F.lit(1), F.avg("apply_pct")).otherwise(F.lit(0.0)).alias("apply_trend"),
@@ -144,7 +148,12 @@ def behavior_stats(df: DataFrame, n: int = 60, key: str = K, date: str = D) -> D
             total,
         ).alias("month_end_ratio"),
         gini.alias("concentration"),
-    )
+    ]
+
+
+def behavior_stats(df: DataFrame, n: int = 60, key: str = K, date: str = D) -> DataFrame:
+    """A2-A5: correlation, net-flow volatility, trends, weekend / month-end share, Gini concentration."""
+    return _prepared(df, n, key, date).groupBy(key).agg(*_behavior_aggs())
 
 
 def gini(df: DataFrame, value: str, key: str = K) -> DataFrame:
@@ -160,30 +169,31 @@ def gini(df: DataFrame, value: str, key: str = K) -> DataFrame:
     )
 
 
-def signal_stats(df: DataFrame, n: int = 60, key: str = K, date: str = D) -> DataFrame:
-    """Last RSI-14, 10-row momentum, Bollinger position, volume trend, trend strength, support/resistance."""
-    p = _prepared(df, n, key, date)
+def _signal_aggs():
     cnt = F.count(F.lit(1))
     trend = F.abs(sample_corr(F.col("idx").cast("double"), F.col("net")))
-    return p.groupBy(key).agg(
+    return [
         F.coalesce(_at_last("rsi14"), F.lit(50.0)).alias("rsi"),
         F.when(cnt > F.lit(10), F.coalesce(_at_last("mom10"), F.lit(0.0))).otherwise(F.lit(0.0)).alias("momentum"),
         clip(_at_last("bpos"), -1.0, 1.0).alias("bollinger_pos"),
         F.when(cnt > F.lit(1), F.coalesce(F.avg("vol_pct"), F.lit(0.0))).otherwise(F.lit(0.0)).alias("volume_trend"),
         F.when(cnt > F.lit(5), F.coalesce(trend, F.lit(0.0))).otherwise(F.lit(0.0)).alias("trend_strength"),
         clip(_at_last("sr"), 0.0, 1.0).alias("support_resistance"),
-    )
+    ]
 
 
-def risk_stats(df: DataFrame, n: int = 60, key: str = K, date: str = D) -> DataFrame:
-    """VaR 95, max drawdown, Sharpe, volatility, skewness, kurtosis, tail risk; zeros below 5 returns."""
-    p = _prepared(df, n, key, date)
+def signal_stats(df: DataFrame, n: int = 60, key: str = K, date: str = D) -> DataFrame:
+    """Last RSI-14, 10-row momentum, Bollinger position, volume trend, trend strength, support/resistance."""
+    return _prepared(df, n, key, date).groupBy(key).agg(*_signal_aggs())
+
+
+def _risk_aggs():
     ret = F.col("ret")
     m = F.count(ret)
     std = F.stddev_samp(ret)
     few = m < F.lit(5)
     z = F.lit(0.0)
-    return p.groupBy(key).agg(
+    return [
         F.when(few, z).otherwise(F.percentile(ret, 0.05)).alias("var95"),
         F.when(few, z).otherwise(F.min("dd")).alias("max_drawdown"),
         F.when(few, z).otherwise(F.avg(ret) / (std + F.lit(EPS)) * F.lit(SQRT252)).alias("sharpe"),
@@ -193,12 +203,17 @@ def risk_stats(df: DataFrame, n: int = 60, key: str = K, date: str = D) -> DataF
         F.when(few, z)
         .otherwise(F.coalesce(F.avg(F.when(ret <= F.col("var95_w"), ret)), z))
         .alias("tail_risk"),
-    )
+    ]
+
+
+def risk_stats(df: DataFrame, n: int = 60, key: str = K, date: str = D) -> DataFrame:
+    """VaR 95, max drawdown, Sharpe, volatility, skewness, kurtosis, tail risk; zeros below 5 returns."""
+    return _prepared(df, n, key, date).groupBy(key).agg(*_risk_aggs())
 
 
 def all_fund_stats(df: DataFrame, n: int = 60, key: str = K, date: str = D) -> DataFrame:
-    """A1-A17 in one row per key (four aggregates on one partitioning)."""
-    out = fund_stats(df, n, key, date)
-    for part in (behavior_stats, signal_stats, risk_stats):
-        out = out.join(part(df, n, key, date), key)
-    return out
+    """A1-A17 in one row per key: one preparation and one aggregate."""
+    history = F.max("history").alias("history_days")
+    return _prepared(df, n, key, date).groupBy(key).agg(
+        *_fund_aggs(), history, *_behavior_aggs(), *_signal_aggs(), *_risk_aggs()
+    )

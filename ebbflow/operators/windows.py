@@ -84,10 +84,6 @@ def rolling_inclusive_columns(cols, windows=(7,), key=K, date=D, centred: bool =
 
 
 # ---------------------------------------------------------------- operators
-def add_lags(df: DataFrame, cfg: FlowConfig = FlowConfig(), cols=None) -> DataFrame:
-    return df.select("*", *lag_columns(cols or series_cols(df.columns, cfg), cfg.lag_periods))
-
-
 def add_rolling(df: DataFrame, cfg: FlowConfig = FlowConfig(), cols=None) -> DataFrame:
     return df.select("*", *rolling_columns(cols or series_cols(df.columns, cfg), cfg.rolling_windows))
 
@@ -96,10 +92,6 @@ def add_diffs(df: DataFrame, cfg: FlowConfig = FlowConfig(), cols=None) -> DataF
     return df.select("*", *diff_columns(cols or series_cols(df.columns, cfg), cfg.diff_periods))
 
 
-def add_rolling_inclusive(df: DataFrame, cols=None, windows=(7,), centred=False) -> DataFrame:
-    return df.select("*", *rolling_inclusive_columns(cols or series_cols(df.columns), windows, centred=centred))
-
-
 def time_series_columns(df_columns, cfg: FlowConfig = FlowConfig()) -> list[Column]:
     """W1-W6 for every series column (the reference's time-series stage)."""
     cols = series_cols(df_columns, cfg)

@@ -101,7 +101,7 @@ def hist_percentile(spark, sf):
 )
 def daily_rank(spark, sf):
     """X6 + X7: same-day percent rank, z-score and ratio to the same-day mean (leaking forms)."""
-    out = flows(spark, sf).select(K, D, *M.daily_columns(T2))
+    out = M.add_daily_features(flows(spark, sf).select(K, D, *T2), T2).drop(*T2)
     return _round_cols(out, {f"{t}_daily_zscore" for t in T2})
 
 
