@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from ebbflow.functions.exprs import finite_or_null
 from ebbflow.functions.quantiles import exact_quantiles, quantile_name
 from ebbflow.schema import D, K, TARGETS, UV_COLS
+from ebbflow.session import cut_lineage
 
 CLEAN_COLS = TARGETS + UV_COLS
 NUMERIC_TYPES = (T.DoubleType, T.FloatType, T.IntegerType, T.LongType, T.ShortType, T.ByteType, T.DecimalType)
@@ -201,7 +202,9 @@ def median_fill(df: DataFrame, cols=None, exclude=(K, D), only_if_null: bool = F
 def smart_fill(df: DataFrame, key: str = K, date: str = D, backfill: bool = True) -> DataFrame:
     """C5 + C6 + C7 as in the reference fill step; numeric NULLs end as 0, text as '0'."""
     num = numeric_columns(df, exclude=(key, date))
-    out = median_fill(ffill_bfill(nulls_for_nonfinite(df), num, key, date, backfill), num, only_if_null=True)
+    # written once: which columns still hold NULLs, their medians and every later use read the fills
+    filled = cut_lineage(ffill_bfill(nulls_for_nonfinite(df), num, key, date, backfill))
+    out = median_fill(filled, num, only_if_null=True)
     text = string_columns(out, exclude=(key,))
     return out.fillna("0", subset=text) if text else out
 
