@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbflow.llm.common import table
+from ebbflow.llm.common import table, written
 from ebbflow.llm.dom import Node, blocks, parse
 
 GROUP_PAGES = 500
@@ -36,6 +36,9 @@ LEVELS = 12
 #: Pairs of children that simple tree matching compares at one node; beyond it they are matched in order of appearance.
 CELLS = 20_000
 SLOT_SHARE = 0.8
+#: A table of hosts up to this size is sent to every task; beyond it rows are salted.
+SHIPPED_BYTES = 4 << 20
+SALTS = 32
 #: Pages with different texts from which on an equal text counts as template.
 TEMPLATE_PAGES = 3
 #: Between the steps of a path; class names hold no line break.
@@ -208,10 +211,26 @@ def skeletons(pages: DataFrame) -> DataFrame:
     return pages.select("host", "page_id", "html").mapInArrow(run, "host string, page_id long, skeleton string")
 
 
+def with_host(rows: DataFrame, hosts: DataFrame, how: str) -> DataFrame:
+    """The rows joined with a table of one row per host, without gathering a host's rows in one task.
+
+    A table whose measured size is below ``SHIPPED_BYTES`` goes to every task.  A larger one is
+    repeated ``SALTS`` times, and a host's rows are dealt over its copies.
+    """
+    hosts = written(hosts, "hosts")
+    held = [F.length(F.col(c).cast("string")) for c in hosts.columns]
+    size = hosts.agg(F.sum(sum((F.coalesce(x, F.lit(0)) for x in held), F.lit(16)))).first()[0] or 0
+    if size <= SHIPPED_BYTES:
+        return rows.join(F.broadcast(hosts), "host", how)
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
+    copies = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(copies, ["host", "salt"], how).drop("salt")
+
+
 def induce(pages: DataFrame) -> DataFrame:
     """host and wrapper of every host with a slot, from all its pages."""
     hosts = pages.groupBy("host").agg(F.ceil(F.count("*") / GROUP_PAGES).alias("groups"))
-    dealt = skeletons(pages).join(hosts, "host").withColumn(
+    dealt = with_host(skeletons(pages), hosts, "inner").withColumn(
         "group", F.pmod(F.xxhash64("page_id", "skeleton"), F.col("groups"))
     )
     counts = (
@@ -286,7 +305,7 @@ def extract(html: str, wrapper: dict | None) -> str:
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     pages = pages.select(F.col("page_id").cast("long"), "url", "html", host_of(F.col("url")).alias("host"))
-    joined = pages.join(induce(pages), "host", "left").select("page_id", "url", "html", "wrapper")
+    joined = with_host(pages, induce(pages), "left").select("page_id", "url", "html", "wrapper")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str | None, dict | None] = {None: None}
