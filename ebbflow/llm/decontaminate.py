@@ -9,10 +9,13 @@ matching windows counts if its slots are consistent: wherever the item repeats a
 the document repeats the one it has instead.  So a question with other numbers or names
 is caught, and a template filled at random is not.
 
-An item shorter than ``WINDOW`` words is one window, of its own length; one of fewer than
-``LEAST_WORDS`` words matches only a document that holds nothing else.  Windows must hold
-``LITERAL_SHARE`` words that are no placeholders, so lists of numbers match nothing; a
-verbatim (plain form) window has no placeholders.
+An item shorter than ``WINDOW`` words is one window, of its own length.  Its words are
+found anywhere; a single word, and the template of fewer than ``LEAST_WORDS`` words, only
+in a document that holds nothing else.  Every template window with a placeholder and a
+literal word is joined, however dense in numbers and names.  Lists of numbers are told
+apart afterwards, by the literal words of the whole run: one that covers its item has
+``WHOLE_LITERALS`` different ones, one of a part of it ``PART_LITERALS`` different ones or
+a window with ``WINDOW_LITERALS``.  A verbatim (plain form) window has no placeholders.
 
 Defined results: a null or empty text is clean; a null or empty item matches nothing;
 repeated items give the same matches, each with its own id; repeated rows with one
@@ -37,7 +40,8 @@ from ebbflow.llm.screening import bit_map, passes
 
 WINDOW = 13
 LEAST_WORDS = 5
-LITERAL_SHARE = 0.6
+LEAST_VERBATIM = 2
+WHOLE_LITERALS, PART_LITERALS, WINDOW_LITERALS = 2, 4, 8
 REMEMBERED_WORDS = 400_000
 PLAIN, TEMPLATE = 0, 1
 NUMBER, UNIT, NAME = "<number>", "<unit>", "<name>"
@@ -51,7 +55,17 @@ UNITS = frozenset(
     " week weeks month months year years dollar dollars usd eur euro euros cent cents gbp percent degree degrees hz khz mhz"
     " ghz w kw mw v a j kj cal kcal pa kpa bar kmh mph".split()
 )
-WORDS = "form int, hash long, window string, slots array<string>, at int"
+#: Words that begin sentences in capitals and are no names; first names (Will, May) are not among them.
+FUNCTION_WORDS = frozenset(
+    "a an the this that these those what which who whom whose when where why how if is are was were be been am do does did"
+    " has have had can could would should shall must might not no yes and or but nor so yet for of in on at by to from with"
+    " without into onto over under above below between among about after before during until while since because although"
+    " though unless as than then there here it its he she they we you i his her hers their our your my me him them us each"
+    " every all any some both either neither many much more most few several other another such only also however given"
+    " suppose assume let find calculate compute determine solve evaluate show prove simplify write choose state explain"
+    " estimate convert consider per".split()
+)
+WORDS = "form int, hash long, window string, slots array<string>, at int, of int"
 
 
 def placeholder(word: str) -> str | None:
@@ -61,7 +75,7 @@ def placeholder(word: str) -> str | None:
     low = word.lower()
     if low in UNITS or MEASURED.fullmatch(low):
         return UNIT
-    if word[:1].isupper() and word[1:].islower():
+    if word[:1].isupper() and word[1:].islower() and low not in FUNCTION_WORDS:
         return NAME
     return None
 
@@ -114,27 +128,28 @@ class Reader:
         for form in (PLAIN, TEMPLATE):
             prefix = prefixes(self.forms.hashes[form, places], self.powers)
             for width in [min(n, WINDOW)] * (n > 0) if widths is None else widths:
-                if n < width or width < LEAST_WORDS and n != width:
+                if n < width or width < (LEAST_VERBATIM, LEAST_WORDS)[form] and n != width:
                     continue
                 found = windows(prefix, width, self.powers) + U(form * 64 + width)
                 if form == TEMPLATE:
                     literal = literals[width:] - literals[:-width]
-                    worth = (literal >= LITERAL_SHARE * width) & (literal < width)  # without a slot it is the plain window
+                    worth = (literal > 0) & (literal < width)  # without a slot it is the plain window
                 else:
                     worth = np.ones(len(found), bool)
                 if screen is not None:
                     worth &= passes(screen, found)
+                of = int(worth.sum())
                 for at in np.flatnonzero(worth).tolist():
                     bare = [EDGES.sub("", raw[k]) for k in held[at : at + width]]
                     kinds = [placeholder(w) if form == TEMPLATE else None for w in bare]
                     window = " ".join(k or w.lower() for k, w in zip(kinds, bare, strict=True))
                     slots = [w.lower() for k, w in zip(kinds, bare, strict=True) if k]
-                    yield form, int(found[at].astype(np.int64)), window, slots, at
+                    yield form, int(found[at].astype(np.int64)), window, slots, at, of
 
 
 def windowed(texts: DataFrame, key: str, widths: list[int] | None = None, screen: bytes | None = None) -> DataFrame:
     """``key`` and the windows (WORDS) of every text; only those of ``widths`` that the screen lets through, if given."""
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.int32()]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.int32()]
     names = [key, *(f.split()[0] for f in WORDS.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,23 +170,33 @@ def windowed(texts: DataFrame, key: str, widths: list[int] | None = None, screen
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, exact, n_windows: consistent runs, the best one of each document and item."""
+    none = F.lit(None).cast("string")
     items = windowed(benchmark.select("item_id", whole_text().alias("text")), "item_id")
     words = items.select(F.size(F.split("window", " ")).alias("n")).distinct().collect()  # at most WINDOW numbers
     found = windowed(docs, "doc_id", sorted(r.n for r in words), bit_map(items.select("hash")))
     keys = ["form", "hash", "window"]
-    items = items.withColumnsRenamed({"slots": "item_slots", "at": "item_at"})
+    items = items.withColumnsRenamed({"slots": "item_slots", "at": "item_at", "of": "item_of"})
     met = found.join(items, keys).withColumn("shift", F.col("at") - F.col("item_at"))
     run = ["doc_id", "item_id", "form", "shift"]
-    pairs = F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))
-    slots = met.select(*run, "at", F.explode_outer(pairs).alias("p"))
-    runs = slots.groupBy(*run).agg(
+    literals = F.array_remove(F.array_remove(F.array_remove(F.split("window", " "), NUMBER), UNIT), NAME)
+    parts = F.concat(
+        F.transform(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")), lambda p: F.struct(p["i"], p["d"], none.alias("w"))),
+        F.transform(F.array_distinct(literals), lambda w: F.struct(none.alias("i"), none.alias("d"), w.alias("w"))),
+    )
+    words_in = met.select(*run, "at", "item_of", F.size(literals).alias("literals"), F.explode(parts).alias("p"))
+    runs = words_in.groupBy(*run).agg(
         F.count_distinct("at").alias("n_windows"),
         F.count_distinct("p.i").alias("values"),
         F.count_distinct("p.i", "p.d").alias("pairs"),
+        F.count_distinct("p.w").alias("words"),
+        F.max("literals").alias("literals"),
+        F.max("item_of").alias("of"),
         F.coalesce(F.bool_and(F.col("p.i") == F.col("p.d")), F.lit(True)).alias("exact"),
     )
+    whole = (F.col("n_windows") == F.col("of")) & (F.col("words") >= WHOLE_LITERALS)
+    part = (F.col("words") >= PART_LITERALS) | (F.col("literals") >= WINDOW_LITERALS)
     return (
-        runs.where(F.col("values") == F.col("pairs"))
+        runs.where((F.col("values") == F.col("pairs")) & ((F.col("form") == PLAIN) | whole | part))
         .groupBy("doc_id", "item_id")
         .agg(F.bool_or("exact").alias("exact"), F.max("n_windows").alias("n_windows"))
     )

@@ -59,6 +59,38 @@ def test_edge_cases(spark):
     assert kept.columns == edge_docs(spark).columns
 
 
+def test_number_dense_and_short_items(spark):
+    train = "A train travels 60 km in 2 hours. How many km does it travel in 5 hours?"
+    bench = [
+        (1, train),
+        (2, "What is 12 plus 15 minus 7?"),
+        (3, "Where is Anna"),
+        (4, "Sum 3 4 5 and 6 7 8 9 10 11 12 13 14"),
+    ]
+    rows = found(
+        spark,
+        [
+            "He asked: " + train.replace("60", "85").replace("2", "3").replace("5", "7") + " Nobody knew.",
+            "so what is 31 plus 9 minus 4? nobody",
+            "tell me where is anna today",
+            "where is Ben now",
+            "3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20",
+            "Rows 1 2 3 and 4 5 6 7 8 9 10 11 12 13 14 15 16",  # one literal word: a list
+            "8 plus 9 minus 4 plus 2 minus 1",
+            train.replace("hours. How", "hours. Say how"),  # no run of 13 words
+        ],
+        bench,
+    )
+    assert rows[0] == (True, "re-parameterised", [1])
+    assert rows[1] == (True, "re-parameterised", [2])
+    assert rows[2] == (True, "verbatim", [3])
+    assert [rows[k][0] for k in (3, 4, 5, 6, 7)] == [False] * 5
+
+
+def test_sentence_initial_function_words_are_no_names():
+    assert [d.placeholder(w) for w in ("What", "How", "If", "Find", "Tom")] == [None] * 4 + [d.NAME]
+
+
 def plain(text):
     return f" {' '.join(w for w in (d.EDGES.sub('', x).lower() for x in (text or '').split()) if w)} "
 
