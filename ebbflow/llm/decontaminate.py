@@ -19,7 +19,7 @@ a window with ``WINDOW_LITERALS``.  A verbatim (plain form) window has no placeh
 
 Defined results: a null or empty text is clean; a null or empty item matches nothing;
 repeated items give the same matches, each with its own id; repeated rows with one
-``doc_id`` share its result; only ``doc_id``, ``item_id`` and the texts are read; an empty
+``doc_id`` share its result, and rows without one are told apart by their text; only ``doc_id``, ``item_id`` and the texts are read; an empty
 benchmark leaves every document clean.
 """
 
@@ -204,14 +204,14 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for every document: doc_id, contaminated, item_ids, kind, n_windows."""
-    texts = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
-    hits = matches(texts, benchmark).groupBy("doc_id").agg(
+    rows = with_row_id(docs).select("rid", F.col("row.doc_id").cast("long").alias("doc_id"), F.coalesce("row.text", F.lit("")).alias("text"))
+    hits = matches(rows.select(F.col("rid").alias("doc_id"), "text"), benchmark).groupBy(F.col("doc_id").alias("rid")).agg(
         F.sort_array(F.collect_set("item_id")).alias("item_ids"),  # at most the items of the benchmark
         F.bool_or("exact").alias("exact"),
         F.max("n_windows").alias("n_windows"),
     )
     kind = F.when(F.col("exact"), "verbatim").when(~F.col("exact"), "re-parameterised")
-    return texts.select("doc_id").join(hits, "doc_id", "left").select(
+    return rows.select("rid", "doc_id").join(hits, "rid", "left").select(
         "doc_id",
         F.col("exact").isNotNull().alias("contaminated"),
         F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"),

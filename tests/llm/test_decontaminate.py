@@ -91,6 +91,13 @@ def test_sentence_initial_function_words_are_no_names():
     assert [d.placeholder(w) for w in ("What", "How", "If", "Find", "Tom")] == [None] * 4 + [d.NAME]
 
 
+def test_null_doc_ids_have_results_of_their_own(spark):
+    rows = d.contamination(edge_docs(spark, [(None, ITEMS[1][1]), (None, "clean"), (None, ITEMS[1][1]), (1, "clean")]), items(spark)).collect()
+    assert sorted((r.doc_id is None, r.contaminated, list(r.item_ids)) for r in rows) == [
+        (False, False, []), (True, False, []), (True, True, [2]), (True, True, [2])
+    ]
+
+
 def plain(text):
     return f" {' '.join(w for w in (d.EDGES.sub('', x).lower() for x in (text or '').split()) if w)} "
 
