@@ -1,12 +1,14 @@
 """Main text of web pages by wrapper induction.
 
 Every page becomes a skeleton: its tree of block elements, neighbouring siblings of
-one kind folded into one, with a hash and length of the text at each node.  Pages of a
-host are aligned with the reference skeleton of their group (the most common one) by
-simple tree matching.  A node whose text is the same on pages that differ otherwise is
-template; one whose text varies is a slot.  The counts of all groups of a host add up,
-and the element that holds the slots becomes the host's wrapper; a page's main text is
-what lies below the wrapper's element, without what is set apart there.
+one kind folded into one, with a hash and length of the text at each node.  Kinds are the
+tag and those class and id words without digits that recur over the host's pages.  Pages of
+a host are aligned with the reference skeleton of their group (the most common one) by
+simple tree matching.  A node whose text varies is a slot; a text that ``TEMPLATE_SHARE``
+of a node's pages have (``TEMPLATE_PAGES`` at least, copies of a page count once) is
+template.  The counts of all groups of a host add up, and the element that holds the slots
+(an article or main, if one varies) becomes the host's wrapper; a page's main text is what
+lies below the wrapper's element, without what is set apart there and its template texts.
 
 A host may hold any share of the pages: its skeletons are dealt into groups of about
 ``GROUP_PAGES``, and only counts are brought together by host.  Defined results: a null
@@ -19,11 +21,14 @@ not read; an empty table gives an empty result.
 from __future__ import annotations
 
 import json
+import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
-from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,150 +36,209 @@ from ebbflow.llm.common import table, written
 from ebbflow.llm.dom import Node, blocks, parse
 
 GROUP_PAGES = 500
-#: Levels of a skeleton; what lies deeper counts with its ancestor there.
-LEVELS = 12
-#: Pairs of children that simple tree matching compares at one node; beyond it they are matched in order of appearance.
-CELLS = 20_000
 SLOT_SHARE = 0.8
 #: A table of hosts up to this size is sent to every task; beyond it rows are salted.
 SHIPPED_BYTES = 4 << 20
 SALTS = 32
 #: Pages with different texts from which on an equal text counts as template.
 TEMPLATE_PAGES = 3
-#: Between the steps of a path; class names hold no line break.
-SEP = "\n"
+TEMPLATE_SHARE = 0.05
+#: Share of a host's pages from which on a class or id word names a kind; it also bounds their number.
+NAME_SHARE = 0.01
+NAMES = re.compile(r"[\s\"'](?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HOLDERS = ("html", "body", "main", "article", "section", "div", "td", "table", "center", "")
-STATS = (
-    "host string, path string, parent string, depth int, tag string, pages long, chars long, low long, high long,"
-    " variants long, title boolean"
-)
+STATS = "host string, path long, parent long, depth int, tag string, digest long, pages long, chars long, title boolean"
 
 
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
 
 
-# A skeleton node: [label, tag, text hash, text length, has a title, children]; set-apart elements are left out.
+def hashed(*parts: object) -> int:
+    return xxhash.xxh64_intdigest("\0".join(map(str, parts)).encode("utf-8", "replace")) >> 1
+
+
+# A skeleton node: [label, tag, text hash, text length, has a title, children, shape, size, elements];
+# set-apart elements are left out.
+
+
+def relabel(root: Node, names: frozenset[str]) -> Node:
+    """The tree with only ``names`` left in its labels."""
+    todo = [root]
+    while todo:
+        x = todo.pop()
+        _, _, own = x.label.partition(".")
+        if own:
+            x.label = ".".join([x.tag, *(w for w in own.split(".") if w in names)])
+        todo.extend(x.children)
+    return root
 
 
 def skeleton(root: Node) -> list:
-    def made(nodes: list[Node], level: int) -> list:
-        label, tag = nodes[0].label, nodes[0].tag
-        own = "\n".join(" ".join("".join(x for x in n.parts if type(x) is str).split()) for n in nodes)
-        below = [c for n in nodes for c in n.children if not c.aside]
-        title = tag == "h1"
-        if level >= LEVELS:
-            own, below = "\n".join([own, *(t for c in below for t in blocks(c))]), []
+    top: list = []
+    made: list[tuple[list, list[str]]] = []
+    todo: list[tuple[list[Node], list]] = [([root], top)]
+    while todo:
+        nodes, siblings = todo.pop()
+        node = [nodes[0].label, nodes[0].tag, 0, 0, nodes[0].tag == "h1", [], 0, 1, nodes]
+        siblings.append(node)
+        made.append((node, [" ".join("".join(x for x in n.parts if type(x) is str).split()) for n in nodes]))
         runs: list[list[Node]] = []
-        for c in below:
+        for c in (c for n in nodes for c in n.children if not c.aside):
             if runs and runs[-1][0].label == c.label:
                 runs[-1].append(c)
             else:
                 runs.append([c])
-        children = [made(run, level + 1) for run in runs]
-        chars = len(own.strip("\n")) + sum(c[3] for c in children)
-        digest = crc32("\0".join([own, *(f"{c[0]}{c[2]}" for c in children)]).encode("utf-8", "replace"))
-        return [label, tag, digest, chars, title or any(c[4] for c in children), children]
-
-    return made([root], 0)
-
-
-def shape(node: list) -> str:
-    return f"{node[0]}({','.join(map(shape, node[5]))})"
-
-
-def match(a: list, b: list, pairs: list) -> int:
-    """Simple tree matching: the size of the largest mapping that keeps order and levels; ``pairs`` gets it."""
+        todo.extend((run, node[5]) for run in reversed(runs))
+    for node, own in reversed(made):  # children come after their parents
+        below = node[5]
+        node[2] = hashed(node[0], *own, "", *(c[2] for c in below))
+        node[3] = len("\n".join(own).strip("\n")) + sum(c[3] for c in below)
+        node[4] = node[4] or any(c[4] for c in below)
+        node[6] = hashed(node[0], *(c[6] for c in below))
+        node[7] = 1 + sum(c[7] for c in below)
+    return top[0]
+
+
+def packed(root: list) -> str:
+    """A skeleton as JSON without nesting: its nodes in page order, each with its number of children."""
+    out, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        out.append([*x[:5], len(x[5]), *x[6:8]])
+        todo.extend(reversed(x[5]))
+    return json.dumps(out, separators=(",", ":"))
+
+
+def unpacked(text: str) -> list:
+    rows = json.loads(text)
+    done: list[list] = []
+    for row in reversed(rows):
+        n = row[5]
+        row[5] = done[len(done) - n :][::-1]
+        del done[len(done) - n :]
+        done.append(row)
+    return done[0]
+
+
+def similar(a: list, b: list, known: dict) -> int:
+    """Simple tree matching: the size of the largest mapping that keeps order and levels."""
     if a[0] != b[0]:
         return 0
-    left, right = a[5], b[5]
-    pairs.append((a, b))
-    if not left or not right:
+    if a[6] == b[6]:
+        return a[7]
+    if not a[5] or not b[5]:
         return 1
-    if len(left) * len(right) > CELLS:
-        seen: dict[tuple[str, int], list] = {}
-        count: Counter = Counter()
-        for c in right:
-            seen[c[0], count[c[0]]] = c
-            count[c[0]] += 1
-        count.clear()
-        total = 1
-        for c in left:
-            if other := seen.get((c[0], count[c[0]])):
-                total += match(c, other, pairs)
-            count[c[0]] += 1
-        return total
-    best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-    held: dict[tuple[int, int], list] = {}
-    for i, x in enumerate(left, 1):
-        for j, y in enumerate(right, 1):
-            here: list = []
-            size = match(x, y, here)
-            held[i, j] = here
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + size)
-    i, j = len(left), len(right)
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            pairs.extend(held[i, j])
-            i, j = i - 1, j - 1
-    return 1 + best[-1][-1]
+    key = a[6], b[6]
+    if key not in known:
+        known[key] = 1 + int(table_rows(a[5], b[5], known, None)[-1])
+    return known[key]
+
+
+def table_rows(left: list, right: list, known: dict, steps: list | None) -> np.ndarray:
+    """The last row of the dynamic programme over two lists of children; ``steps`` gets where each row grew."""
+    kinds: dict[int, int] = {}
+    kind = np.array([kinds.setdefault(y[6], len(kinds)) for y in right])
+    one = {y[6]: y for y in right}
+    gains: dict[int, np.ndarray] = {}
+    row = np.zeros(len(right) + 1, np.int64)
+    for x in left:
+        if x[6] not in gains:
+            gains[x[6]] = np.array([similar(x, one[k], known) for k in kinds])[kind]
+        new = row.copy()
+        new[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + gains[x[6]]))
+        if steps is not None:
+            steps.append((np.packbits(new == row), np.packbits(np.diff(new, prepend=-1) == 0)))
+        row = new
+    return row
+
+
+def match(a: list, b: list, pairs: list, known: dict | None = None) -> int:
+    """Simple tree matching of any size and depth; ``pairs`` gets the largest mapping."""
+    known = {} if known is None else known
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1000 + 8 * min(a[7], b[7])))
+    size = similar(a, b, known)
+    todo = [(a, b)] if size else []
+    while todo:
+        x, y = todo.pop()
+        if x[6] == y[6]:
+            same_shape(x, y, pairs)
+            continue
+        pairs.append((x, y))
+        left, right = x[5], y[5]
+        if not left or not right:
+            continue
+        steps: list = []
+        table_rows(left, right, known, steps)
+        i, j, chosen = len(left), len(right), []
+        while i and j:
+            up, back = steps[i - 1]
+            if up[j >> 3] >> (7 - (j & 7)) & 1:
+                i -= 1
+            elif back[j >> 3] >> (7 - (j & 7)) & 1:
+                j -= 1
+            else:
+                chosen.append((left[i - 1], right[j - 1]))
+                i, j = i - 1, j - 1
+        todo.extend(reversed(chosen))
+    return size
 
 
 def same_shape(a: list, b: list, pairs: list) -> None:
-    pairs.append((a, b))
-    for x, y in zip(a[5], b[5], strict=True):
-        same_shape(x, y, pairs)
-
-
-def paths(node: list, at: str = "", depth: int = 0, nth: int = 0) -> Iterator[tuple[list, str, str, int]]:
-    """Each node with its path, its parent's path and its depth."""
-    own = f"{at}{SEP}{node[0]}[{nth}]"
-    yield node, own, at, depth
-    count: Counter = Counter()
-    for c in node[5]:
-        yield from paths(c, own, depth + 1, count[c[0]])
-        count[c[0]] += 1
+    todo = [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        pairs.append((x, y))
+        todo.extend(zip(reversed(x[5]), reversed(y[5]), strict=True))
+
+
+def paths(root: list) -> Iterator[tuple[list, int, int, int]]:
+    """Each node with the hashes of its path and its parent's path, and its depth."""
+    todo = [(root, hashed(root[0], 0), 0, 0)]
+    while todo:
+        node, own, parent, depth = todo.pop()
+        yield node, own, parent, depth
+        count: Counter = Counter()
+        below = []
+        for c in node[5]:
+            below.append((c, hashed(own, c[0], count[c[0]]), own, depth + 1))
+            count[c[0]] += 1
+        todo.extend(reversed(below))
 
 
 def group_counts(pages: pa.Table) -> pa.Table:
-    """What the pages of one group say about the nodes of its reference skeleton."""
-    trees = [json.loads(x) for x in pages.column("skeleton").to_pylist()]
-    shapes = [shape(t) for t in trees]
-    common = Counter(shapes)
+    """What the different pages of one group say about the nodes of its reference skeleton."""
+    trees = [unpacked(x) for x in pages.column("skeleton").to_pylist()]
+    common = Counter(t[6] for t in trees)
     wanted = min(common, key=lambda s: (-common[s], s))
-    reference = trees[shapes.index(wanted)]
-    aligned: dict[int, list] = {}
-    for tree, kind in zip(trees, shapes, strict=True):
+    reference = next(t for t in trees if t[6] == wanted)
+    aligned: dict[int, Counter] = {}
+    chars: dict[tuple[int, int], int] = {}
+    known: dict = {}
+    for tree in trees:
         pairs: list = []
-        if kind == wanted:
-            same_shape(reference, tree, pairs)
-        else:
-            match(reference, tree, pairs)
+        match(reference, tree, pairs, known)
         for mine, other in pairs:
-            aligned.setdefault(id(mine), []).append((other[2], other[3], tree[2]))
-    rows = []
+            aligned.setdefault(id(mine), Counter())[other[2]] += 1
+            chars[id(mine), other[2]] = other[3]
     host = pages.column("host")[0].as_py()
-    for node, path, parent, depth in paths(reference):
-        seen = aligned.get(id(node), [])
-        if seen:
-            digests = [d for d, _, _ in seen]
-            rows.append((host, path, parent, depth, node[1], len(seen), sum(c for _, c, _ in seen), min(digests), max(digests), len({p for _, _, p in seen}), node[4]))
+    rows = [
+        (host, path, parent, depth, node[1], digest, n, n * chars[id(node), digest], node[4])
+        for node, path, parent, depth in paths(reference)
+        for digest, n in aligned.get(id(node), {}).items()
+    ]
     return table_of(rows)
 
 
 def table_of(rows: list[tuple]) -> pa.Table:
-    kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), *[pa.int64()] * 5, pa.bool_()]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), *[pa.int64()] * 3, pa.bool_()]
     names = [f.split()[0] for f in STATS.split(", ")]
     return pa.table([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
 def wrapper_of(nodes: list[dict]) -> dict | None:
-    """The element that holds a host's slots, and the templates below it."""
-    slots = {n["path"]: n["chars"] * (n["low"] != n["high"]) for n in nodes}
+    """The element that holds a host's slots, and the digests of the templates below it."""
+    slots = {n["path"]: n["chars"] * (n["variants"] > 1) for n in nodes}
     total = max(slots.values(), default=0)
     if not total:
         return None
@@ -182,17 +246,18 @@ def wrapper_of(nodes: list[dict]) -> dict | None:
     named = [n for tag in ("article", "main") for n in nodes if n["tag"] == tag and slots[n["path"]] > 0]
     if named:
         first = [n for n in named if n["tag"] == named[0]["tag"]]
-        return {"path": max(first, key=lambda n: (n["chars"], -n["depth"], n["path"]))["path"], "template": []}
-    holders = [n for n in nodes if n["tag"] in HOLDERS and slots[n["path"]] >= SLOT_SHARE * total]
-    best = max(holders, key=lambda n: (n["depth"], n["chars"], n["path"]))
-    while not best["title"] and (up := by.get(best["parent"])) and up["title"]:
-        best = up
-    template = [
-        n["path"][len(best["path"]) :]
-        for n in nodes
-        if n["path"].startswith(best["path"] + SEP) and n["low"] == n["high"] and n["variants"] >= TEMPLATE_PAGES and n["chars"]
-    ]
-    return {"path": best["path"], "template": sorted(template)}
+        best = max(first, key=lambda n: (n["chars"], -n["depth"], n["path"]))
+    else:
+        holders = [n for n in nodes if n["tag"] in HOLDERS and slots[n["path"]] >= SLOT_SHARE * total]
+        best = max(holders, key=lambda n: (n["depth"], n["chars"], n["path"]))
+        while not best["title"] and (up := by.get(best["parent"])) and up["title"]:
+            best = up
+    inside, template = {best["path"]}, set()
+    for n in sorted(nodes, key=lambda n: n["depth"]):
+        if n["parent"] in inside:
+            inside.add(n["path"])
+            template.update(n["template"] or ())
+    return {"path": best["path"], "tag": best["tag"], "template": sorted(template)}
 
 
 def choose(stats: pa.Table) -> pa.Table:
@@ -200,15 +265,49 @@ def choose(stats: pa.Table) -> pa.Table:
     return pa.table({"host": stats.column("host")[:1], "wrapper": pa.array([json.dumps(made) if made else None], pa.string())})
 
 
+def host_names(pages: DataFrame) -> DataFrame:
+    """host, groups and names: the class and id words that recur over the host's different pages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: dict[tuple[str, str], list[int]] = {}
+            for host, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                html = html.as_py() or ""
+                page = hashed(html)
+                found = {w for m in NAMES.findall(html) for w in "".join(m).split() if not any(map(str.isdigit, w))}
+                for word in ["", *(w.replace(".", "") for w in found)]:
+                    held = seen.setdefault((host, word), [0, page, page])
+                    held[:] = held[0] + 1, min(held[1], page), max(held[2], page)
+            rows = [(*k, *v) for k, v in seen.items()]
+            if rows:
+                kinds = [pa.string(), pa.string(), *[pa.int64()] * 3]
+                columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["host", "word", "n", "low", "high"])
+
+    words = pages.select("host", "html").mapInArrow(run, "host string, word string, n long, low long, high long")
+    words = words.groupBy("host", "word").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    words = written(words, "names")
+    hosts = words.where("word = ''").select("host", F.col("n").alias("pages"))
+    recurring = words.where("word <> '' and low <> high").join(hosts, "host").where(F.col("n") >= NAME_SHARE * F.col("pages"))
+    lists = recurring.groupBy("host").agg(F.array_join(F.sort_array(F.collect_list("word")), " ").alias("names"))
+    groups = F.ceil(F.col("pages") / GROUP_PAGES).alias("groups")
+    return hosts.join(lists, "host", "left").select("host", groups, F.coalesce("names", F.lit("")).alias("names"))
+
+
 def skeletons(pages: DataFrame) -> DataFrame:
-    """host, page_id, skeleton of every page."""
+    """host, groups, skeleton of every page with its host's names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, frozenset[str]] = {}
         for batch in batches:
-            texts = [json.dumps(skeleton(parse(x.as_py() or "")), separators=(",", ":")) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["host", "page_id", "skeleton"])
+            texts = []
+            for html, names in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
+                if names not in known:
+                    known[names] = frozenset(names.split())
+                texts.append(packed(skeleton(relabel(parse(html.as_py() or ""), known[names]))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["host", "groups", "skeleton"])
 
-    return pages.select("host", "page_id", "html").mapInArrow(run, "host string, page_id long, skeleton string")
+    return pages.select("host", "groups", "html", "names").mapInArrow(run, "host string, groups long, skeleton string")
 
 
 def with_host(rows: DataFrame, hosts: DataFrame, how: str) -> DataFrame:
@@ -227,51 +326,36 @@ def with_host(rows: DataFrame, hosts: DataFrame, how: str) -> DataFrame:
     return salted.join(copies, ["host", "salt"], how).drop("salt")
 
 
-def induce(pages: DataFrame) -> DataFrame:
-    """host and wrapper of every host with a slot, from all its pages."""
-    hosts = pages.groupBy("host").agg(F.ceil(F.count("*") / GROUP_PAGES).alias("groups"))
-    dealt = with_host(skeletons(pages), hosts, "inner").withColumn(
-        "group", F.pmod(F.xxhash64("page_id", "skeleton"), F.col("groups"))
+def induce(pages: DataFrame, hosts: DataFrame) -> DataFrame:
+    """host and wrapper (null without a slot) of every host, from all its pages; copies of a page count once."""
+    dealt = skeletons(with_host(pages, hosts, "inner")).distinct().withColumn(
+        "group", F.pmod(F.xxhash64("skeleton"), F.col("groups"))
     )
     counts = (
         dealt.select("host", "group", "skeleton").groupBy("host", "group").applyInArrow(lambda t: group_counts(t), STATS)
     )
-    nodes = counts.groupBy("host", "path").agg(
+    texts = counts.groupBy("host", "path", "digest").agg(
         F.first("parent").alias("parent"),
         F.first("depth").alias("depth"),
         F.first("tag").alias("tag"),
+        F.sum("pages").alias("pages"),
         F.sum("chars").alias("chars"),
-        F.min("low").alias("low"),
-        F.max("high").alias("high"),
-        F.sum("variants").alias("variants"),
         F.max("title").alias("title"),
     )
-    return nodes.groupBy("host").applyInArrow(choose, "host string, wrapper string").where("wrapper is not null")
-
-
-def step(label: str, nth: str, nodes: list[Node]) -> list[Node]:
-    """The run of siblings that a skeleton's path names."""
-    runs: list[list[Node]] = []
-    before = None
-    for c in nodes:
-        if c.label != before:
-            runs.append([])
-            before = c.label
-        runs[-1].append(c)
-    same = [r for r in runs if r[0].label == label]
-    return same[int(nth)] if int(nth) < len(same) else []
-
-
-def below(found: list[Node], path: str) -> list[Node]:
-    """The elements at a path below others; none if the page lacks it."""
-    for part in path.split(SEP)[1:]:
-        label, _, nth = part.rpartition("[")
-        found = step(label, nth[:-1], [c for n in found for c in n.children if not c.aside])
-    return found
-
-
-def located(root: Node, path: str) -> list[Node]:
-    return below([root], path[path.index(SEP, 1) :] if SEP in path[1:] else "")
+    texts = written(texts, "nodes")
+    nodes = texts.groupBy("host", "path").agg(
+        F.first("parent").alias("parent"),
+        F.first("depth").alias("depth"),
+        F.first("tag").alias("tag"),
+        F.sum("pages").alias("total"),
+        F.sum("chars").alias("chars"),
+        F.count("*").alias("variants"),
+        F.max("title").alias("title"),
+    )
+    shared = texts.where((F.col("pages") >= TEMPLATE_PAGES) & (F.col("chars") > 0)).select("host", "path", "digest", "pages")
+    shared = shared.join(nodes.select("host", "path", "total"), ["host", "path"]).where(F.col("pages") >= TEMPLATE_SHARE * F.col("total"))
+    lists = shared.groupBy("host", "path").agg(F.collect_list("digest").alias("template"))  # at most 1 / TEMPLATE_SHARE
+    return nodes.join(lists, ["host", "path"], "left").groupBy("host").applyInArrow(choose, "host string, wrapper string")
 
 
 def everywhere(root: Node, tags: tuple[str, ...]) -> list[Node]:
@@ -289,32 +373,56 @@ def everywhere(root: Node, tags: tuple[str, ...]) -> list[Node]:
     return []
 
 
-def extract(html: str, wrapper: dict | None) -> str:
+def longest(options: list[list[Node]]) -> list[Node]:
+    return max(options, key=lambda found: sum(len(line) for n in found for line in blocks(n)), default=[])
+
+
+def extract(html: str, wrapper: dict | None, names: frozenset[str] = frozenset()) -> str:
     root = parse(html)
-    found = located(root, wrapper["path"]) if wrapper else []
-    if wrapper and found:
-        for node in [n for path in wrapper["template"] for n in below(found, path)]:
-            node.aside = True
-    lines = [line for n in found for line in blocks(n)]
+    found: list[Node] = []
+    if wrapper:
+        tree = skeleton(relabel(root, names))
+        found = next((node[8] for node, path, _, _ in paths(tree) if path == wrapper["path"]), [])
+        if wrapper["tag"] in ("", "html", "body"):
+            found = longest([[n] for n in everywhere(root, ("article", "main"))]) or found
+        shared, top = set(wrapper["template"]), {id(n) for n in found}
+        gone, todo = [], [(tree, False)]
+        while todo:
+            node, inside = todo.pop()
+            if inside and node[2] in shared:
+                gone.extend(node[8])
+            else:
+                inside = inside or any(id(n) in top for n in node[8])
+                todo.extend((c, inside) for c in node[5])
+        whole = [line for n in found for line in blocks(n)]
+        for n in gone:
+            n.aside = True
+        lines = [line for n in found for line in blocks(n)] or whole
+    else:
+        lines = []
     if not lines:
-        options = [blocks(n) for n in everywhere(root, ("article", "main"))]
-        lines = max(options, key=lambda x: sum(map(len, x)), default=[]) or blocks(root)
+        lines = [line for n in longest([[n] for n in everywhere(root, ("article", "main"))]) for line in blocks(n)] or blocks(root)
     return "\n".join(lines)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     pages = pages.select(F.col("page_id").cast("long"), "url", "html", host_of(F.col("url")).alias("host"))
-    joined = with_host(pages, induce(pages), "left").select("page_id", "url", "html", "wrapper")
+    hosts = written(host_names(pages), "hosts")
+    wrappers = induce(pages, hosts).join(hosts.select("host", "names"), "host")
+    joined = with_host(pages, wrappers, "left").select("page_id", "url", "html", "wrapper", "names")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str | None, dict | None] = {None: None}
+        named: dict[str | None, frozenset[str]] = {None: frozenset()}
         for batch in batches:
             texts = []
-            for html, wrapper in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
+            for html, wrapper, names in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 if wrapper not in known:
                     known[wrapper] = json.loads(wrapper)
-                texts.append(extract(html.as_py() or "", known[wrapper]))
+                if names not in named:
+                    named[names] = frozenset(names.split())
+                texts.append(extract(html.as_py() or "", known[wrapper], named[names]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                 ["page_id", "url", "text", "n_chars"],

@@ -89,6 +89,15 @@ def test_simple_tree_matching():
     assert [p[0][0] for p in pairs] == ["", "div", "h2", "ul", "li"] and len(pairs) == 5
 
 
+def story(k):
+    return [f"Story {k}", *(f"Paragraph {k} {j} has its own words." for j in range(2 + k % 3))]
+
+
+def test_template_inside_an_article_goes(spark):
+    rows = [(k, f"http://a.example/{k}", templated(k).replace("<div class='story-box'>", "<article>").replace("page</div></div>", "page</div></article>")) for k in range(12)]
+    assert {k: t.split("\n") for k, t in texts(spark, rows).items()} == {k: story(k) for k in range(12)}
+
+
 def reference(page):
     body = re.search(r"<article>(.*?)</article>", page, re.S).group(1)
     parts = re.split(r"</?(?:h1|p)>", re.sub(r"</?b>", "", body).replace("<br>", " "))
