@@ -98,6 +98,17 @@ def test_template_inside_an_article_goes(spark):
     assert {k: t.split("\n") for k, t in texts(spark, rows).items()} == {k: story(k) for k in range(12)}
 
 
+@pytest.mark.parametrize("body", ["<body>", "<body class='page-id-{k} post-{word}'>"])
+def test_ids_of_one_page_do_not_hinder_alignment(spark, body):
+    words = [f"title-{a}{b}" for a in "abc" for b in "wxyz"]
+    rows = [
+        (k, f"http://a.example/{k}", templated(k).replace("<body>", body.format(k=k, word=words[k]))
+         .replace("<div class='story-box'>", f"<article id='post-{k}' class='{words[k]}'>").replace("page</div></div>", "page</div></article>"))
+        for k in range(12)
+    ]
+    assert {k: t.split("\n") for k, t in texts(spark, rows).items()} == {k: story(k) for k in range(12)}
+
+
 def reference(page):
     body = re.search(r"<article>(.*?)</article>", page, re.S).group(1)
     parts = re.split(r"</?(?:h1|p)>", re.sub(r"</?b>", "", body).replace("<br>", " "))
