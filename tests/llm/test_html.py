@@ -109,6 +109,13 @@ def test_ids_of_one_page_do_not_hinder_alignment(spark, body):
     assert {k: t.split("\n") for k, t in texts(spark, rows).items()} == {k: story(k) for k in range(12)}
 
 
+def test_one_deviating_page_keeps_the_template(spark):
+    rows = [(k, f"http://a.example/{k}", templated(k)) for k in range(12)]
+    rows[5] = (5, rows[5][1], rows[5][2].replace("Print this page", "Print page five"))
+    got = {k: t.split("\n") for k, t in texts(spark, rows).items()}
+    assert got == {k: story(k) + ["Print page five"] * (k == 5) for k in range(12)}
+
+
 def reference(page):
     body = re.search(r"<article>(.*?)</article>", page, re.S).group(1)
     parts = re.split(r"</?(?:h1|p)>", re.sub(r"</?b>", "", body).replace("<br>", " "))
