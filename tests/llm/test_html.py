@@ -116,6 +116,25 @@ def test_one_deviating_page_keeps_the_template(spark):
     assert got == {k: story(k) + ["Print page five"] * (k == 5) for k in range(12)}
 
 
+def test_content_below_many_levels(spark):
+    def page(k):
+        inner = f"<div class='links'>Home | About</div><article><h1>Story {k}</h1><p>Words of {k}.</p><div class='tools'>Print</div></article>"
+        return "<html><body>" + "<div><div class='x'>Top</div>" * 30 + inner + "</div>" * 30 + "</body></html>"
+
+    got = texts(spark, [(k, f"http://a.example/{k}", page(k)) for k in range(6)])
+    assert got == {k: f"Story {k}\nWords of {k}." for k in range(6)}
+
+
+def test_matching_of_long_lists_is_exact():
+    pages = ("<div>" + "<p>a</p><h2>b</h2>" * 200 + "</div>", "<div><h3>c</h3><h2>b</h2>" + "<p>a</p><h2>b</h2>" * 199 + "<ul><li>x</ul></div>")
+    a, b = (x.skeleton(parse(h)) for h in pages)
+    pairs = []
+    assert x.match(a, b, pairs) == len(pairs) == 401  # root, div, 399 of the 400 children
+    deep = x.skeleton(parse("<div><p>a</p>" * 3000)), x.skeleton(parse("<div><p>a</p>" * 2999 + "<ul><li>b</ul>"))
+    assert x.match(*deep, []) == 1 + 2 * 2999
+    assert x.unpacked(x.packed(a))[:8] == [*a[:5], x.unpacked(x.packed(a))[5], *a[6:8]]
+
+
 def reference(page):
     body = re.search(r"<article>(.*?)</article>", page, re.S).group(1)
     parts = re.split(r"</?(?:h1|p)>", re.sub(r"</?b>", "", body).replace("<br>", " "))
