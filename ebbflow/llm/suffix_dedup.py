@@ -12,6 +12,8 @@ side, and the bytes that they cover are its region.
 2. For anchors with several regions, the first document of each region sends its bytes;
    the suffixes that start their strings are sorted by hash comparison, equal neighbours
    are verified byte by byte, and strings that some smaller document has are told.
+   An anchor with more than ``HOT_REGIONS`` sends every string by itself, dealt by the hash
+   of its bytes, so that it spreads over tasks and equal strings still meet.
 3. Each batch marks what was told, and cuts it out of its texts.
 
 Regions are known by two 64-bit hashes, of the anchor and of the whole.  A hot passage
@@ -42,8 +44,10 @@ BATCH_BYTES = 8 << 20
 PIECE_BITS = 20
 #: Bytes of regions that are suffix-sorted at once, beyond one anchor's.
 SORT_BYTES = 4 << 20
+#: Regions that one task sorts for one anchor.
+HOT_REGIONS = 20_000
 I64 = np.int64
-SENT = pa.schema([(n, pa.int64()) for n in ("anchor", "region", "batch", "least", "before")] + [("bytes", pa.binary())])
+SENT = pa.schema([(n, pa.int64()) for n in ("anchor", "part", "region", "batch", "least", "before", "nth")] + [("bytes", pa.binary())])
 
 
 class Anchors:
@@ -118,7 +122,7 @@ def regions_of_batch(batch: pa.Table) -> pa.Table:
 
 
 def told_regions(regions: DataFrame, batch_of: Callable[[str], Column]) -> DataFrame:
-    """batch, anchor, region, least, owner: regions that concern a batch.
+    """batch, anchor, region, least, owner, hot: regions that concern a batch.
 
     ``least`` is the first document with the region; ``owner`` says that the batch holds it
     and has to send the bytes, as the anchor has other regions elsewhere.
@@ -130,22 +134,26 @@ def told_regions(regions: DataFrame, batch_of: Callable[[str], Column]) -> DataF
             "min(low) over (partition by anchor, region) as least",
             "min(region) over (partition by anchor) <> max(region) over (partition by anchor)"
             " and min(low) over (partition by anchor) < max(low + more) over (partition by anchor) as several",
+            f"count(*) over (partition by anchor) > {HOT_REGIONS} as hot",
         )
         .withColumn("owner", F.col("several") & (F.col("low") == F.col("least")))
         .where("owner or low + more > least")
-        .select(batch_of("low").alias("batch"), "anchor", "region", "least", "owner")
+        .select(batch_of("low").alias("batch"), "anchor", "region", "least", "owner", "hot")
     )
 
 
 def sent_bytes(batch: pa.Table, told: pa.Table) -> pa.Table:
-    """anchor, region, batch, least, before, bytes: the regions that the batch's documents own."""
+    """The regions that the batch's documents own as in SENT: whole, part 0, or the strings of hot anchors one by one.
+
+    ``part`` is a hash of a string's bytes, ``nth`` the string's number in its region.
+    """
     longs: list[tuple] = []
     blobs: list[np.ndarray] = []
     lengths: list[np.ndarray] = []
     if batch.num_rows and told.num_rows:
         names, least = told.column("region").to_numpy().view(U), told.column("least").to_numpy()
         order = np.argsort(names)
-        names, least = names[order], least[order]
+        names, least, hot = names[order], least[order], told.column("hot").to_numpy(zero_copy_only=False)[order]
         sent = np.zeros(len(names), bool)
         anchors = Anchors()
         for doc_id, data in texts_in(batch):
@@ -159,20 +167,32 @@ def sent_bytes(batch: pa.Table, told: pa.Table) -> pa.Table:
                 continue
             mine = mine[np.unique(at[mine], return_index=True)[1]]
             sent[at[mine]] = True
-            size = last[mine] - first[mine] + LENGTH
+            begin, strings, nth = first[mine], last[mine] - first[mine] + 1, np.zeros(len(mine), I64)
+            apart = hot[at[mine]]
+            if apart.any():
+                rows = np.where(apart, strings, 1)
+                mine, begin, strings, apart = (np.repeat(x, rows) for x in (mine, begin, np.where(apart, 1, strings), apart))
+                nth = np.arange(len(mine)) - np.repeat(np.cumsum(rows) - rows, rows)
+                begin = begin + nth
+            part = np.zeros(len(mine), U)
+            if apart.any():
+                whole = windows(prefixes(data.astype(U) + U(1), anchors.powers), LENGTH, anchors.powers)
+                part[apart] = whole[begin[apart]] | U(1)
+            size = strings + LENGTH - 1
             ends = np.cumsum(size)
-            blobs.append(data[np.arange(ends[-1]) + np.repeat(first[mine] - (ends - size), size)])
+            blobs.append(data[np.arange(ends[-1]) + np.repeat(begin - (ends - size), size)])
             lengths.append(size)
-            longs.append((h[mine].view(I64), own[mine].view(I64), np.full(len(mine), doc_id, I64), place[mine] - first[mine]))
+            before = place[mine] - begin
+            longs.append((h[mine].view(I64), part.view(I64), own[mine].view(I64), np.full(len(mine), doc_id, I64), before, nth))
     if not longs:
         return pa.table([pa.array([], f.type) for f in SENT], SENT)
-    h, name, doc, before = (np.concatenate(x) for x in zip(*longs, strict=True))
+    h, part, name, doc, before, nth = (np.concatenate(x) for x in zip(*longs, strict=True))
     offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype(np.int32)
     held = pa.Array.from_buffers(
         pa.binary(), len(h), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.concatenate(blobs).tobytes())]
     )
     number = np.full(len(h), told.column("batch")[0].as_py(), I64)
-    return pa.table([pa.array(h), pa.array(name), pa.array(number), pa.array(doc), pa.array(before), held], SENT)
+    return pa.table([*map(pa.array, (h, part, name, number, doc, before, nth)), held], SENT)
 
 
 def lookup(names: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +227,8 @@ def earlier_strings(rows: pa.Table, powers: Powers) -> pa.Table:
     same = equal_neighbours(text, ranked, groups)
     back = np.argsort(starts, kind="stable")  # starts are distinct: places of the sorted ones in the rows above
     source = back[np.searchsorted(starts[back], ranked)]
-    who, where = owner[source], nth[source]
+    who = owner[source]
+    where = nth[source] + rows.column("nth").to_numpy()[who]
     doc = rows.column("least").to_numpy()[who]
     classes = np.flatnonzero(~same)
     least = np.repeat(np.minimum.reduceat(doc, classes), np.diff(np.append(classes, len(doc)))) if len(doc) else doc
@@ -216,13 +237,21 @@ def earlier_strings(rows: pa.Table, powers: Powers) -> pa.Table:
     order = np.lexsort((where, who))
     who, where = who[order], where[order]
     cut = np.flatnonzero((np.diff(who, prepend=-1) != 0) | (np.diff(where, prepend=-2) != 1))
-    ends = np.append(cut[1:], len(who)) - 1
+    ends = np.append(cut[1:], len(who))[: len(cut)] - 1  # none without a hit
     told = rows.take(pa.array(who[cut])).select(["batch", "region", "least"])
     return told.append_column("first", pa.array(where[cut])).append_column("last", pa.array(where[ends]))
 
 
+def firsts(rows: pa.Table) -> pa.Table:
+    """The first row of each string among the strings of one part, which come in the order of their documents."""
+    seen: dict[bytes, int] = {}
+    for k, held in enumerate(rows.column("bytes").to_pylist()):
+        seen.setdefault(held, k)
+    return rows.take(pa.array(list(seen.values()), pa.int64()))
+
+
 def sort_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffix-sorts rows that come in the order of their anchors, some anchors at a time."""
+    """Suffix-sorts rows that come in the order of their anchors and parts, some at a time."""
     powers = Powers()
     held: list[pa.RecordBatch] = []
     size = 0
@@ -231,13 +260,17 @@ def sort_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size += batch.nbytes
         if size >= SORT_BYTES:
             rows = pa.Table.from_batches(held)
-            anchor = rows.column("anchor").to_numpy()
-            last = int(np.searchsorted(np.cumsum(anchor[::-1] != anchor[-1]) > 0, True)) if len(anchor) else 0
-            cut = len(anchor) - last
+            anchor, part = rows.column("anchor").to_numpy(), rows.column("part").to_numpy()
+            other = np.flatnonzero((anchor != anchor[-1]) | (part != part[-1])) if len(anchor) else []
+            cut = int(other[-1]) + 1 if len(other) else 0
             if cut:
                 yield from earlier_strings(rows.slice(0, cut).combine_chunks(), powers).to_batches()
-            held = rows.slice(cut).to_batches()
-            size = sum(b.nbytes for b in held) if cut else 0
+            rows = rows.slice(cut).combine_chunks()
+            if len(rows) and part[-1] and not cut:  # one hot string: only its first document is needed for the rest
+                yield from earlier_strings(rows, powers).to_batches()
+                rows = firsts(rows)
+            held = rows.to_batches()
+            size = sum(b.nbytes for b in held) if cut or len(rows) and part[-1] else 0
     if held:
         rows = pa.Table.from_batches(held).combine_chunks()
         if len(rows):
@@ -306,11 +339,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     sent = (
         dealt.groupBy("batch")
         .cogroup(told.where("owner").groupBy("batch"))
-        .applyInArrow(sent_bytes, "anchor long, region long, batch long, least long, before long, bytes binary")
+        .applyInArrow(sent_bytes, "anchor long, part long, region long, batch long, least long, before long, nth long, bytes binary")
     )
     strings = (
-        sent.repartition("anchor")
-        .sortWithinPartitions("anchor")
+        sent.repartition("anchor", "part")
+        .sortWithinPartitions("anchor", "part", "least")
         .mapInArrow(sort_stream, "batch long, region long, least long, first long, last long")
     )
     whole = told.selectExpr("batch", "region", "least", "-1L as first", "-1L as last")

@@ -177,6 +177,36 @@ def test_suffix_dedup_on_documents(spark):
     assert cut(spark, rows) == brute_cut(rows)
 
 
+def test_hot_anchors_split_over_tasks(spark, monkeypatch):
+    shared = words(5, 12)
+    rows = [(k, f"{words(100 + k, 6)} {shared} {words(200 + k % 7, 6)}") for k in range(40)]
+    monkeypatch.setattr(suffix_dedup, "HOT_REGIONS", 3)
+    sizes = []
+    repartition = type(spark.range(1)).repartition
+
+    def spied(df, *columns):
+        if columns == ("anchor", "part"):
+            sizes.extend(df.groupBy("anchor", "part").count().groupBy("anchor").count().toPandas()["count"])
+        return repartition(df, *columns)
+
+    monkeypatch.setattr(type(spark.range(1)), "repartition", spied)
+    assert cut(spark, rows) == brute_cut(rows)
+    assert max(sizes) > 3
+
+
+def test_a_hot_string_is_sorted_in_bounded_pieces(monkeypatch):
+    n = 100
+    text = bytes(range(50))
+    columns = [np.full(n, 7), np.full(n, 9), np.arange(n), np.zeros(n, int), np.arange(n), np.zeros(n, int), np.full(n, 4)]
+    rows = suffix_dedup.pa.table([*map(suffix_dedup.pa.array, columns), suffix_dedup.pa.array([text] * n)], suffix_dedup.SENT)
+    monkeypatch.setattr(suffix_dedup, "SORT_BYTES", 500)
+    seen, sort = [], suffix_dedup.earlier_strings
+    monkeypatch.setattr(suffix_dedup, "earlier_strings", lambda rows, powers: seen.append(len(rows)) or sort(rows, powers))
+    told = [r for b in suffix_dedup.sort_stream(iter(rows.to_batches(max_chunksize=5))) for r in b.to_pylist()]
+    assert sorted({(r["region"], r["first"], r["last"]) for r in told}) == [(k, 4, 4) for k in range(1, n)]
+    assert max(seen) <= 12
+
+
 def test_texts_longer_than_a_piece(monkeypatch):
     anchors = suffix_dedup.Anchors()
     monkeypatch.setattr(suffix_dedup, "PIECE_BITS", 9)
