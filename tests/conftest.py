@@ -4,10 +4,8 @@ import tempfile
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-SF_SMALL = "/root/testdata/sf0.001"
-SF_ORACLE = "/root/testdata/sf0.01"
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [HERE, os.path.dirname(HERE)]
 
 
 @pytest.fixture(scope="session")
@@ -30,15 +28,3 @@ def spark():
         s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ebbflow-test-ckpt-"))
     yield s
     s.stop()
-
-
-def frame(spark, rows, schema="fund_code string, transaction_date date, apply_amt double, redeem_amt double"):
-    import datetime as dt
-
-    out = []
-    for r in rows:
-        r = list(r)
-        if isinstance(r[1], str):
-            r[1] = dt.date.fromisoformat(r[1])
-        out.append(tuple(r))
-    return spark.createDataFrame(out, schema)

@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import frame
+from frames import frame
 from pyspark.sql import functions as F
 
 from ebbflow.functions.quantiles import exact_quantiles, quantile_name

@@ -2,7 +2,7 @@
 
 import math
 
-from conftest import frame
+from frames import frame
 from pyspark.sql import functions as F
 
 from ebbflow.operators import models as ML

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import frame
+from frames import frame
 from ebbflow.functions.quantiles import exact_quantiles, quantile_name
 from ebbflow.operators import attributes as AT
 from ebbflow.operators import clean as C

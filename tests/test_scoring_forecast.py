@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import frame
+from frames import frame
 from ebbflow.operators import attributes as AT
 from ebbflow.operators import forecast as FC
 from ebbflow.operators import leakage as LK
