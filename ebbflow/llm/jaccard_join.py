@@ -13,9 +13,13 @@ least ``need`` of the blocks that hold something.  Three exact steps follow:
 1. sets with fewer than ``need`` blocks found elsewhere have no partner; the others keep
    their rarest blocks only, as many as a partner must hit (a prefix filter);
 2. sets that share a kept block are compared by finer sketches, in tiles of bounded size;
-   pairs whose Hamming distance rules out a link go.  A spanning forest of those left is
-   verified on the shingles, and its links make components;
-3. pairs left between different components are verified too.
+   pairs whose Hamming distance rules out a link go.  Large blocks are first compared along
+   a chain of tiles, each of their parts with the next, so that a set is in two tiles of a block
+   whatever the block's size; of the pairs left in a tile a spanning forest is verified on the
+   shingles, and its links make components.  This is done for each set's largest blocks, then
+   for all blocks that still hold several components;
+3. blocks that hold several components even then are compared in full, all tiles of parts
+   that are not of one component, and every pair left between two components is verified.
 
 Where a set leaves so many blocks empty that ``need`` is none, it is dealt anew by
 further seeds until it does not; a pair is found by the first seed at which either has a
@@ -45,8 +49,10 @@ from ebbflow.llm.screening import bit_map, passes
 
 WORDS = 5
 BAND_RATIO = 1.5
-#: Sets compared with one another in one step at most, about.
+#: Sets in one part of a block, about: a tile is one part or two.
 TILE = 256
+#: Blocks of each set that are looked at first, those with most sets: they make components of most copies.
+FIRST_BLOCKS = 3
 FAR = 1 << 30
 SECOND_STEP = 0xC2B2AE3D27D4EB4F
 SEED_STEP = U(0x165667B19E3779F9)
@@ -240,18 +246,53 @@ def described(texts: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame
     return read.join(named, ["rid", "set_id"]).drop("rid").dropDuplicates(["set_id"])
 
 
-def tiled(blocks: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The sets of each block with their sketches, in tiles: set by set within one, or between two parts of a block."""
+def with_sketches(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The rows with n and sketch of their set.  Sketches grow with the table and pack far below their size: never broadcast."""
+    return rows.join(sketches.hint("merge"), "set_id").select("key", "i", "j", "part", "set_id", "root", "n", "sketch")
+
+
+def chained_tiles(blocks: DataFrame) -> DataFrame:
+    """key, i, j, part, set_id, root: each part of a block beside the next, as one tile; a set is in two at most."""
+    sizes = blocks.groupBy("key").agg(F.count("*").alias("size"))
     parts = F.ceil(F.col("size") / TILE)
+    own = F.col("own")
+    tiles = F.when(F.col("parts") <= 2, F.array(F.lit(0).cast("long"))).otherwise(F.array(own, F.pmod(own + 1, F.col("parts"))))
     return (
-        blocks.withColumn("parts", parts)
-        .withColumn("part", F.pmod(F.xxhash64("set_id"), F.col("parts")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        .join(sketches, "set_id")
-        .select(
-            "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "set_id", "n", "sketch"
-        )
+        blocks.join(sizes.where("size > 1"), "key")
+        .withColumn("parts", parts)
+        .withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("parts")))
+        .withColumn("i", F.explode(tiles))
+        .select("key", "i", F.col("i").alias("j"), F.lit(0).cast("long").alias("part"), "set_id", "root")
+    )
+
+
+def all_tiles(blocks: DataFrame) -> DataFrame:
+    """key, i, j, part, set_id, root: every two sets of a block that differ in root, in some tile.
+
+    A block of up to ``TILE`` sets is one tile.  A larger one is cut into parts, each of one root with many sets in
+    the block or of several with few, and two parts make a tile unless they have the same one root.
+    """
+    sizes = blocks.groupBy("key").agg(F.count("*").alias("size"))
+    rows = blocks.join(sizes, "key")
+    zero = F.lit(0).cast("long")
+    small = rows.where(f"size <= {TILE}").select("key", zero.alias("i"), zero.alias("j"), zero.alias("part"), "set_id", "root")
+    large = rows.where(f"size > {TILE}")
+    of_root = large.groupBy("key", "root").agg(F.count("*").alias("held"))
+    alone = F.col("held") >= TILE // 2
+    rest = of_root.where(~alone).groupBy("key").agg(F.sum("held").alias("rest"))
+    cut = of_root.join(rest, "key", "left").select(
+        "key", "root", alone.alias("alone"), F.ceil(F.when(alone, F.col("held")).otherwise(F.col("rest")) / TILE).alias("parts")
     )
+    named = F.when(F.col("alone"), F.xxhash64(F.col("root"), "nth")).otherwise(F.xxhash64("nth"))
+    each = cut.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    each = each.select("key", F.when(F.col("alone"), F.col("root")).alias("only"), named.alias("part")).distinct()
+    p, q = each.alias("p"), each.alias("q")
+    meet = (F.col("p.key") == F.col("q.key")) & ~F.coalesce(F.col("p.only") == F.col("q.only"), F.lit(False))
+    pairs = p.join(q, meet).select(F.col("p.key").alias("key"), F.col("p.part").alias("part"), F.col("q.part").alias("other"))
+    own = large.join(cut, ["key", "root"]).withColumn("nth", F.pmod(F.xxhash64("set_id"), F.col("parts")))
+    tiles = own.withColumn("part", named).join(pairs, ["key", "part"])
+    i, j = F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")
+    return small.unionByName(tiles.select("key", i, j, "part", "set_id", "root"))
 
 
 def margins(part, ids, roots, sizes, sketches) -> np.ndarray:
@@ -339,20 +380,45 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where("100 * both >= 80 * (n_a + n_b - both)").select("a", "b")
 
 
+def rooted(blocks: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The rows of blocks (key, set_id) whose sets have several roots."""
+    if roots is None:
+        return blocks.select("key", "set_id", F.col("set_id").alias("root"))
+    rows = blocks.select("key", "set_id").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
+    rows = rows.withColumn("root", F.coalesce("root", "set_id"))
+    several = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+    return rows.join(several.select("key"), "key", "left_semi")
+
+
+def most_held(blocks: DataFrame) -> DataFrame:
+    """Of the blocks of each set, the FIRST_BLOCKS that hold most sets."""
+    order = Window.partitionBy("set_id").orderBy(F.desc("size"), "key")
+    return blocks.withColumn("nth", F.row_number().over(order)).where(f"nth <= {FIRST_BLOCKS}").drop("nth")
+
+
+def joined(roots: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """The components with these links too."""
+    if links.isEmpty():
+        return roots
+    return components(links) if roots is None else merged(roots, components(contracted(links, roots)))
+
+
 def set_components(texts: DataFrame, sets: DataFrame) -> DataFrame:
     """node (set_id), root: the components of the sets that link with another."""
     blocks = written(distinct_groups(written(meeting_blocks(texts), "blocks")), "groups")
     held = written(described(texts, sets, blocks.select("set_id").distinct()), "sets")
-    tiles = written(tiled(blocks, held.select("set_id", "n", "sketch")), "tiles")
-    alone = tiles.withColumn("root", F.col("set_id"))
-    tried = written(near_pairs(alone, forest=True), "pairs")
-    links = written(verified(tried, held), "links")
-    roots = components(links)
-    rooted = tiles.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
-    rooted = rooted.withColumn("root", F.coalesce("root", "set_id"))
-    rest = near_pairs(rooted, forest=False).join(tried, ["a", "b"], "left_anti")
-    more = written(verified(rest, held), "links")
-    return roots if more.isEmpty() else merged(roots, components(contracted(more, roots)))
+    sketches = held.select("set_id", "n", "sketch")
+    roots, tried = None, []
+    for some in (most_held(blocks), blocks):
+        rows = written(rooted(some, roots), "rooted")
+        tried.append(written(near_pairs(with_sketches(chained_tiles(rows), sketches), forest=True), "pairs"))
+        roots = joined(roots, written(verified(tried[-1], held), "links"))
+    rows = written(rooted(blocks, roots), "rooted")
+    rest = near_pairs(with_sketches(all_tiles(rows), sketches), forest=False)
+    for pairs in tried:
+        rest = rest.join(pairs, ["a", "b"], "left_anti")
+    roots = joined(roots, written(verified(rest, held), "links"))
+    return blocks.sparkSession.createDataFrame([], "node long, root long") if roots is None else roots
 
 
 def document_components(docs: DataFrame) -> DataFrame:
