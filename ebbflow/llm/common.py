@@ -23,8 +23,9 @@ def whole_text(column: str = "text") -> Column:
 
 
 def lower_ascii(text: Column) -> Column:
-    """Lower-cases A-Z and leaves every other character alone."""
-    return F.translate(text, ascii_uppercase, ascii_lowercase)
+    """Lower-cases A-Z and leaves every other character alone; texts of ASCII alone take the fast way."""
+    other = F.translate(text, ascii_uppercase, ascii_lowercase)
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(other)
 
 
 def blocks_for(rows: int, per_block: int) -> int:

@@ -1,5 +1,6 @@
 """Exact deduplication of a new batch against an immutable snapshot.
 
+Every text is read once for its digest; the digests are written, and all grouping works on them.
 The snapshot's digests are dealt into shards, and each shard gets a static binary
 fuse filter.  The new batch is grouped by digest by itself; its distinct digests are
 screened by the filters, and the positives alone join the snapshot's exact buckets,
@@ -13,13 +14,16 @@ cannot clash; empty tables, snapshots or batches give their plain result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ebbflow.llm import fuse
-from ebbflow.llm.common import blocks_for, lower_ascii, table, whole_text
+from ebbflow.llm.common import blocks_for, lower_ascii, table, whole_text, written
+from ebbflow.llm.screening import bit_map, passes
 
 #: Digests in one shard of the snapshot, about: a filter of it takes 1.2 bytes each.
 SHARD_DIGESTS = 200_000
@@ -65,13 +69,29 @@ def screen(batch: DataFrame, filters: DataFrame) -> DataFrame:
     )
 
 
+def fetched(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """digest, doc_id, bytes of the wanted rows (doc_id, digest); a bit map of their ids keeps the other texts from the shuffle."""
+    screen = bit_map(wanted.select(F.xxhash64("doc_id").alias("hash")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(screen, np.uint8)
+        for batch in batches:
+            may = np.flatnonzero(passes(bits, batch.column(2).to_numpy().view(np.uint64)))
+            if len(may):
+                yield batch.select(["doc_id", "text"]).take(pa.array(may))
+
+    hashed = texts.select("doc_id", "text", F.xxhash64("doc_id").alias("hash"))
+    found = hashed.mapInArrow(run, "doc_id long, text string").withColumn("digest", digest_of(F.col("text")))
+    return found.join(wanted, ["doc_id", "digest"]).select("digest", "doc_id", lower_ascii(F.col("text")).alias("bytes"))
+
+
 def classes(docs: DataFrame, is_new: Column) -> tuple[DataFrame, DataFrame]:
     """The keyed rows (doc_id, digest, new, nth) and, for each (digest, new), keep_id and group_size."""
-    n_shards = blocks_for(docs.count(), SHARD_DIGESTS)
     new_row = F.coalesce(is_new, F.lit(False))
     texts = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"), new_row.alias("new"))
     nth = F.row_number().over(Window.partitionBy("doc_id", "digest", "new").orderBy(F.lit(1)))
-    rows = texts.select("doc_id", digest_of(F.col("text")).alias("digest"), "new")
+    rows = written(texts.select("doc_id", digest_of(F.col("text")).alias("digest"), "new"), "digests")
+    n_shards = blocks_for(rows.count(), SHARD_DIGESTS)
     old = grouped(rows.where(~F.col("new")), n_shards)
     new = grouped(rows.where("new"), n_shards)
     maybe = screen(new, snapshot_filters(old)).alias("b")
@@ -81,12 +101,9 @@ def classes(docs: DataFrame, is_new: Column) -> tuple[DataFrame, DataFrame]:
         F.col("b.rep").alias("new_rep"),
         (F.col("a.n") + F.col("b.n")).alias("both"),
     )
-    wanted = met.select("digest", F.explode(F.array("old_rep", "new_rep")).alias("doc_id"))
-    told = (
-        texts.withColumn("digest", digest_of(F.col("text")))
-        .join(wanted.distinct(), ["doc_id", "digest"])
-        .select("digest", "doc_id", lower_ascii(F.col("text")).alias("bytes"))
-    )
+    met = written(met, "met")
+    wanted = met.select("digest", F.explode(F.array("old_rep", "new_rep")).alias("doc_id")).where("doc_id IS NOT NULL")
+    told = fetched(texts, wanted.distinct())
     compared = told.groupBy("digest").agg((F.min("bytes") == F.max("bytes")).alias("same"))
     same = (
         met.join(compared, "digest", "left")
