@@ -45,6 +45,7 @@ WHOLE_LITERALS, PART_LITERALS, WINDOW_LITERALS = 2, 4, 8
 REMEMBERED_WORDS = 400_000
 PLAIN, TEMPLATE = 0, 1
 NUMBER, UNIT, NAME = "<number>", "<unit>", "<name>"
+KIND_HASHES = {k: xxhash.xxh64_intdigest(k) for k in (NUMBER, UNIT, NAME)}
 
 EDGES = re.compile(r"^\W+|\W+$")
 NUMERIC = re.compile(r"[+-]?\d[\d.,:/]*")
@@ -68,12 +69,20 @@ FUNCTION_WORDS = frozenset(
 WORDS = "form int, hash long, window string, slots array<string>, at int, of int"
 
 
-def placeholder(word: str) -> str | None:
-    """The type of a stripped word that can be re-parameterised."""
-    if NUMERIC.fullmatch(word):
-        return NUMBER
-    low = word.lower()
-    if low in UNITS or MEASURED.fullmatch(low):
+def bare(raw: str) -> str:
+    """The word without the punctuation around it."""
+    return raw if raw.isalnum() else EDGES.sub("", raw)
+
+
+def placeholder(word: str, low: str | None = None) -> str | None:
+    """The type of a stripped word (``low``: its lower case) that can be re-parameterised."""
+    low = word.lower() if low is None else low
+    if not word.isalpha():  # letters alone hold no digit
+        if NUMERIC.fullmatch(word):
+            return NUMBER
+        if MEASURED.fullmatch(low):
+            return UNIT
+    if low in UNITS:
         return UNIT
     if word[:1].isupper() and word[1:].islower() and low not in FUNCTION_WORDS:
         return NAME
@@ -81,7 +90,7 @@ def placeholder(word: str) -> str | None:
 
 
 class Forms(dict):
-    """Raw word -> its place in arrays of plain hashes, template hashes and kinds."""
+    """Raw word -> its place in arrays of plain hashes, template hashes and kinds; ``settle`` fills these for new words."""
 
     def __init__(self) -> None:
         super().__init__()
@@ -91,23 +100,30 @@ class Forms(dict):
         self.clear()
         self.hashes = np.zeros((2, REMEMBERED_WORDS // 4), U)
         self.literal = np.zeros(REMEMBERED_WORDS // 4, np.int8)  # 1 literal, 0 placeholder, -1 no word
+        self.settled = 0
+        self.new: tuple[list[int], list[int], list[int]] = ([], [], [])
 
     def __missing__(self, raw: str) -> int:
-        place = len(self)
-        if place == len(self.literal):
-            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)], axis=1)
-            self.literal = np.concatenate([self.literal, np.zeros_like(self.literal)])
-        word = EDGES.sub("", raw)
-        if word:
-            kind = placeholder(word)
-            plain = xxhash.xxh64_intdigest(word.lower())
-            self.hashes[:, place] = plain, xxhash.xxh64_intdigest(kind) if kind else plain
-            self.literal[place] = kind is None
-        else:
-            self.literal[place] = -1
-        self[raw] = place
+        place = self[raw] = len(self)
+        word = bare(raw)
+        low = word.lower()
+        kind = placeholder(word, low)
+        plain = xxhash.xxh64_intdigest(low)
+        for held, value in zip(self.new, (plain, KIND_HASHES.get(kind, plain), (kind is None) if word else -1)):
+            held.append(value)
         return place
 
+    def settle(self) -> None:
+        first, last = self.settled, len(self)
+        if last > len(self.literal):
+            more = max(last, 2 * len(self.literal)) - len(self.literal)
+            self.hashes = np.pad(self.hashes, ((0, 0), (0, more)))
+            self.literal = np.pad(self.literal, (0, more))
+        if last > first:
+            plain, template, literal = self.new
+            self.hashes[0, first:last], self.hashes[1, first:last], self.literal[first:last] = plain, template, literal
+            self.new, self.settled = ([], [], []), last
+
 
 class Reader:
     """Windows of texts in both forms."""
@@ -121,6 +137,7 @@ class Reader:
             self.forms.reset()
         raw = text.split()
         places = np.fromiter(map(self.forms.__getitem__, raw), np.int64, len(raw))
+        self.forms.settle()
         held = np.flatnonzero(self.forms.literal[places] >= 0)
         places = places[held]
         n = len(places)
@@ -140,10 +157,11 @@ class Reader:
                     worth &= passes(screen, found)
                 of = int(worth.sum())
                 for at in np.flatnonzero(worth).tolist():
-                    bare = [EDGES.sub("", raw[k]) for k in held[at : at + width]]
-                    kinds = [placeholder(w) if form == TEMPLATE else None for w in bare]
-                    window = " ".join(k or w.lower() for k, w in zip(kinds, bare, strict=True))
-                    slots = [w.lower() for k, w in zip(kinds, bare, strict=True) if k]
+                    own = [bare(raw[k]) for k in held[at : at + width]]
+                    lower = [w.lower() for w in own]
+                    kinds = [placeholder(w, low) if form == TEMPLATE else None for w, low in zip(own, lower)]
+                    window = " ".join(k or low for k, low in zip(kinds, lower))
+                    slots = [low for k, low in zip(kinds, lower) if k]
                     yield form, int(found[at].astype(np.int64)), window, slots, at, of
 
 
