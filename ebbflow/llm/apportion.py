@@ -4,8 +4,9 @@ A party with v votes and k seats so far asks for the next with the quotient v /
 the seats go to the highest quotients, and no party gets more than its cap.  Instead of
 handing seats out one by one, the quotient of the last seat is bracketed: for a divisor
 d, the quotients above 2d number ``floor(v / d + 1/2)`` a party.  Every round counts
-them for ``FAN`` divisors between the bounds of each group in one aggregation over the
-parties; when few quotients are left between the bounds, these alone are ordered.
+them for about ``FAN`` divisors between the bounds of each group in one aggregation over the
+parties, the first round close to the divisor that seats all votes evenly; when few
+quotients are left between the bounds, these alone are ordered.
 
 Votes are raised by up to one part in 2**32, by a hash of the party, so that equal quotients
 are told apart: ties go by that hash, and the bracket closes whatever number of parties tie.
@@ -51,38 +52,51 @@ def sainte_lague(parties: DataFrame, seats: DataFrame) -> DataFrame:
             (F.min(F.col("votes") / F.col("cap")) * 0.999).alias("low"),  # here every party fills its cap
             (F.max("votes") * 2.001).alias("high"),  # here none has a seat
             F.sum("cap").cast("double").alias("at_low"),
+            F.sum("votes").alias("all"),
         )
         .join(seats.select("grp", F.col("seats").cast("double").alias("seats")), "grp")
         .withColumn("at_high", F.lit(0.0))
+        .withColumn("even", F.col("all") / F.greatest("seats", F.lit(1.0)))
+        .drop("all")
         .withColumn("seats", F.least("seats", "at_low"))
     )
     bounds = written(bounds, "bounds")
-    for _ in range(MOST_ROUNDS):
+    for turn in range(MOST_ROUNDS):
         open_ = bounds.where((F.col("at_low") - F.col("at_high") > FEW) & (F.col("high") > F.col("low") * (1 + 1e-15)))
         if open_.isEmpty():
             break
-        bounds = written(narrowed(able, open_, bounds), "bounds")
+        bounds = written(narrowed(able, open_, bounds, divisors(first=not turn)), "bounds")
     return with_quota(held, able, bounds)
 
 
-def narrowed(able: DataFrame, open_: DataFrame, bounds: DataFrame) -> DataFrame:
-    """The bounds after one round: between two neighbours of ``FAN`` divisors that enclose each group's last seat."""
-    inner = [F.col("low") * F.pow(F.col("high") / F.col("low"), k / FAN) for k in range(1, FAN)]
+def divisors(first: bool) -> list[Column]:
+    """Rising divisors within a group's bounds: at first ever closer to the votes for one seat, then at equal ratios."""
+    if not first:
+        return [F.col("low") * F.pow(F.col("high") / F.col("low"), k / FAN) for k in range(1, FAN)]
+    steps = [2.0**-k for k in range(1, FAN // 2)]
+    near = [F.col("even") * (1 + s) for s in (*(-s for s in steps), 0.0, *reversed(steps))]
+    return [F.least(F.greatest(d, F.col("low")), F.col("high")) for d in near]
+
+
+def narrowed(able: DataFrame, open_: DataFrame, bounds: DataFrame, inner: list[Column]) -> DataFrame:
+    """The bounds after one round: between two neighbours of the divisors that enclose each group's last seat."""
     counts = [F.sum(seats_above(d)).alias(f"c{k}") for k, d in enumerate(inner, 1)]
-    counted = able.join(open_.select("grp", "low", "high"), "grp").groupBy("grp").agg(*counts)
-    all_ = bounds.join(counted, "grp", "left")
-    low, at_low = F.col("low"), F.col("at_low")
-    high, at_high = F.col("high"), F.col("at_high")
-    new = {"low": low, "at_low": at_low, "high": high, "at_high": at_high}
-    for k, d in enumerate(inner, 1):  # counts fall as divisors rise: the last divisor that still seats all
-        enough = F.col(f"c{k}") >= F.col("seats")
-        new["low"] = F.when(enough, d).otherwise(new["low"])
-        new["at_low"] = F.when(enough, F.col(f"c{k}")).otherwise(new["at_low"])
-    for k, d in reversed(list(enumerate(inner, 1))):
-        fewer = F.col(f"c{k}") < F.col("seats")
-        new["high"] = F.when(fewer, d).otherwise(new["high"])
-        new["at_high"] = F.when(fewer, F.col(f"c{k}")).otherwise(new["at_high"])
-    return all_.select("grp", "seats", *[c.alias(n) for n, c in new.items()])
+    counted = able.join(open_.select("grp", "low", "high", "even"), "grp").groupBy("grp").agg(*counts)
+    held = counted.select("grp", F.array(*[f"c{k}" for k in range(1, len(inner) + 1)]).alias("counts"))
+    all_ = bounds.join(held, "grp", "left").withColumn("inner", F.array(*inner))
+    # counts fall as divisors rise: so many of the divisors still seat all
+    enough = F.coalesce(F.size(F.filter("counts", lambda c: c >= F.col("seats"))), F.lit(0))
+    below, above = F.col("enough") > 0, F.col("counts").isNotNull() & (F.col("enough") < len(inner))
+    all_ = all_.withColumn("enough", F.when(F.col("counts").isNotNull(), enough).otherwise(0))
+    return all_.select(
+        "grp",
+        "seats",
+        "even",
+        F.when(below, F.element_at("inner", F.col("enough"))).otherwise(F.col("low")).alias("low"),
+        F.when(below, F.element_at("counts", F.col("enough"))).otherwise(F.col("at_low")).alias("at_low"),
+        F.when(above, F.element_at("inner", F.col("enough") + 1)).otherwise(F.col("high")).alias("high"),
+        F.when(above, F.element_at("counts", F.col("enough") + 1)).otherwise(F.col("at_high")).alias("at_high"),
+    )
 
 
 def with_quota(held: DataFrame, able: DataFrame, bounds: DataFrame) -> DataFrame:
