@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ebbflow.operators.stats import all_fund_stats
 from ebbflow.schema import D, K
 
 KINDS = ("fund", "behavior", "signal", "risk")
@@ -410,6 +411,25 @@ def monthly_fund_stats(df: DataFrame, n: int = 60, key: str = K, date: str = D)
     return s.where(F.col("__last") == F.lit(1)).drop("__last", date)
 
 
+def monthly_all_stats(df: DataFrame, n: int = 60, key: str = K, date: str = D) -> DataFrame:
+    """A1-A17 as of each month end: key, month, history_days and every statistic of the last ``n`` rows up to it.
+
+    Each row goes to the month ends among its own and the next ``n`` - 1 rows of its key, at most ``n`` and for
+    daily rows about two, and the statistics run on (key, month) as they do on a key.
+    """
+    w = Window.partitionBy(key).orderBy(date)
+    month = F.trunc(F.col(date), "MM")
+    rows = df.select(key, date, "apply_amt", "redeem_amt", F.row_number().over(w).alias("__rn"), month.alias("__month"))
+    last = F.coalesce(F.lead("__month", 1).over(w) != F.col("__month"), F.lit(True))
+    rows = rows.withColumn("__end", F.when(last, F.col("__month")))
+    rows = rows.withColumn("__ends", F.collect_set("__end").over(w.rowsBetween(0, n - 1)))
+    sent = rows.withColumn("__as_of", F.explode("__ends"))
+    sent = sent.select(F.struct(F.col(key).alias("key"), F.col("__as_of").alias("month")).alias("__asof"), date, "apply_amt", "redeem_amt", "__rn")
+    history = sent.groupBy("__asof").agg(F.max("__rn").cast("long").alias("history_days"))
+    stats = all_fund_stats(sent.drop("__rn"), n, "__asof", date).drop("history_days").join(history, "__asof")
+    return stats.select(F.col("__asof.key").alias(key), F.col("__asof.month").alias("month"), *[c for c in stats.columns if c != "__asof"])
+
+
 # ------------------------------------------------------------------------ L14
 def repeat_consistency(runs: DataFrame, key: str = K) -> DataFrame:
     """Per (fund, attribute) the share of runs agreeing with the most common value.

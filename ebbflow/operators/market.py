@@ -1,13 +1,11 @@
 """Historical and cross-sectional features.
 
 X2-X5 and X9's first half are per-key windows (same Exchange as the other
-series stages).  X6, X7 and X9's rank are windows by date: each partition is
-one day with one row per key.  X8 looks back 30 calendar days over all keys:
+series stages).  The ranks of X6 and X9 count rows over ranges of (date, value), so a day
+with any number of keys spreads over tasks.  X8 looks back 30 calendar days over all keys:
 mean and std come from daily (n, sum, sum of squares) rolled with a RANGE
-frame over a one-row-per-day table; the percentile is an exact
-expand-and-sort count (each value is sent to the 30 following days and a
-running count per target day gives "values <= current"), so no array of all
-past values is ever built and the cost is linear in rows x 30.
+frame over a one-row-per-day table; the percentile is an exact count over aligned runs
+of 1 to 16 days, of which each value is in five and each window has eight at most.
 """
 
 from __future__ import annotations
@@ -16,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbflow.functions.exprs import eps_ratio, fund_window
+from ebbflow.functions.ranks import add_pct_rank, running_counts
 from ebbflow.schema import D, EPS, K, TARGETS
 
 
@@ -99,16 +98,6 @@ def add_historical_percentile(df: DataFrame, targets=TARGETS, windows=(7, 14, 30
 
 
 # ----------------------------------------------------------------- X6 / X7
-def _avg_pct_rank_nonnull(c: str, part: list[str]) -> Column:
-    """pandas rank(pct=True) with NaN kept out of the ranking and the count."""
-    isnull = F.col(c).isNull()
-    w = Window.partitionBy(*part, isnull.alias("__n")).orderBy(F.col(c))
-    ties = Window.partitionBy(*part, isnull.alias("__n"), F.col(c))
-    cnt = Window.partitionBy(*part, isnull.alias("__n"))
-    r = F.rank().over(w) + (F.count(F.lit(1)).over(ties) - F.lit(1)) / F.lit(2.0)
-    return F.when(~isnull, r / F.count(F.lit(1)).over(cnt))
-
-
 def daily_means(df: DataFrame, targets=TARGETS, date=D) -> DataFrame:
     """One row a day: mean and std of every target over the keys, by partial aggregation."""
     return df.groupBy(date).agg(
@@ -119,14 +108,15 @@ def daily_means(df: DataFrame, targets=TARGETS, date=D) -> DataFrame:
 def add_daily_features(df: DataFrame, targets=TARGETS, date=D) -> DataFrame:
     """X6 + X7: same-day rank, z-score and ratio to the same-day mean (leaking forms).
 
-    Mean and std come from a daily aggregate joined by date; only the rank needs a day's
-    rows in order.
+    Mean and std come from a daily aggregate joined by date, the rank from ranges of
+    (date, value).
     """
     out = df.join(daily_means(df, targets, date), date)
     cols = []
     for t in targets:
+        out = add_pct_rank(out, t, [date], f"{t}_daily_rank")
         m, s = F.col(f"__m_{t}"), F.col(f"__s_{t}")
-        cols.append(_avg_pct_rank_nonnull(t, [date]).alias(f"{t}_daily_rank"))
+        cols.append(F.col(f"{t}_daily_rank"))
         cols.append(F.try_divide(F.col(t) - m, s).alias(f"{t}_daily_zscore"))
         cols.append(F.try_divide(F.col(t), m).alias(f"{t}_vs_market_mean"))
     return out.select(*df.columns, *cols)
@@ -137,12 +127,43 @@ def add_historical_rank(df: DataFrame, targets=TARGETS, key=K, date=D) -> DataFr
     """Per-key mean of strictly earlier rows, ranked across keys each day."""
     w = fund_window(key, date).rowsBetween(Window.unboundedPreceding, -1)
     out = df.select("*", *[F.avg(t).over(w).alias(f"{t}_historical_mean") for t in targets])
-    return out.select(
-        "*", *[_avg_pct_rank_nonnull(f"{t}_historical_mean", [date]).alias(f"{t}_historical_rank") for t in targets]
-    )
+    for t in targets:
+        out = add_pct_rank(out, f"{t}_historical_mean", [date], f"{t}_historical_rank")
+    return out
 
 
 # --------------------------------------------------------------- X8 / J7
+def aligned_blocks(first: Column, days: int) -> Column:
+    """The aligned runs of 1, 2, 4, ... days that make up ``days`` days from ``first`` on, as level + 64 * number."""
+    low, high, found = first, first + F.lit(days), []
+    for level in range(days.bit_length()):
+        open_ = low < high
+        found.append(F.when(open_ & (low % 2 != 0), low * 64 + level))
+        found.append(F.when(open_ & (high % 2 != 0), (high - 1) * 64 + level))
+        low, high = F.shiftright(low + 1, 1), F.shiftright(high, 1)
+    return F.filter(F.array(*found), lambda b: b.isNotNull())
+
+
+def earlier_at_most(base: DataFrame, t: str, days: int, key: str = K) -> DataFrame:
+    """__dn, key, __le: how many values of all keys on the ``days`` days before are at most the row's own.
+
+    Counted offline: a value stands in the aligned runs of days that hold it, one for each of the
+    few lengths, a row asks the runs that make up its window, and ranges of
+    (run, value) give every count, whatever a day or a run holds.
+    """
+    known = base.where(F.col(t).isNotNull()).select(key, F.col("__dn").cast("long").alias("__dn"), F.col(t).cast("double").alias("__v"))
+    levels = range(days.bit_length())
+    runs = F.array(*[F.shiftright(F.col("__dn"), k) * 64 + k for k in levels])
+    points = known.select(F.explode(runs).alias("__run"), "__v").groupBy("__run", "__v").agg(F.count(F.lit(1)).alias("__n"))
+    asked = known.withColumn("__run", F.explode(aligned_blocks(F.col("__dn") - F.lit(days), days)))
+    wanted = asked.select("__run", "__v").distinct()
+    both = points.select("__run", "__v", F.lit(0).alias("__kind"), "__n").unionByName(
+        wanted.select("__run", "__v", F.lit(1).alias("__kind"), F.lit(0).cast("long").alias("__n"))
+    )
+    counted = running_counts(both, ["__run"], ["__v", "__kind"], "__n", "__le").where("__kind = 1").select("__run", "__v", "__le")
+    return asked.join(counted, ["__run", "__v"]).groupBy("__dn", key).agg(F.sum("__le").alias("__le"))
+
+
 def market_30d(df: DataFrame, targets=TARGETS, days: int = 30, key=K, date=D) -> DataFrame:
     """Position of today's value in all keys' values of the previous ``days`` days.
 
@@ -176,34 +197,9 @@ def market_30d(df: DataFrame, targets=TARGETS, days: int = 30, key=K, date=D) ->
             F.col("__dn").alias("__zdn"),
             mean.alias("__hmean"),
             std.alias("__hstd"),
+            hn.alias("__all"),
         )
-        # exact share of earlier values <= today's: expand each value to the
-        # next `days` target days, then a running count per target day
-        src = base.where(F.col(t).isNotNull()).select(
-            F.explode(F.sequence(F.col("__dn") + F.lit(1), F.col("__dn") + F.lit(days))).alias("__tdn"),
-            F.col(t).cast("double").alias("__v"),
-            F.lit(0).alias("__kind"),
-            F.lit(None).cast("string").alias("__k"),
-        )
-        qry = base.where(F.col(t).isNotNull()).select(
-            F.col("__dn").alias("__tdn"), F.col(t).cast("double").alias("__v"), F.lit(1).alias("__kind"), F.col(key).alias("__k")
-        )
-        both = src.unionByName(qry)
-        # data rows sort before query rows on equal values, so "<=" counts ties
-        ow = Window.partitionBy("__tdn").orderBy("__v", "__kind").rowsBetween(Window.unboundedPreceding, 0)
-        tot = Window.partitionBy("__tdn")
-        counted = both.select(
-            "__tdn",
-            "__k",
-            "__kind",
-            F.sum(F.lit(1) - F.col("__kind")).over(ow).alias("__le"),
-            F.sum(F.lit(1) - F.col("__kind")).over(tot).alias("__all"),
-        ).where(F.col("__kind") == F.lit(1))
-        pct = counted.select(
-            F.col("__tdn").alias("__pdn"),
-            F.col("__k").alias("__pk"),
-            F.try_divide(F.col("__le").cast("double"), F.col("__all").cast("double")).alias(f"{t}_market_pct_{days}d"),
-        )
+        pct = earlier_at_most(base, t, days, key).select(F.col("__dn").alias("__pdn"), F.col(key).alias("__pk"), "__le")
         result = (
             result.join(zs, result["__dn"] == zs["__zdn"], "left")
             .withColumn(
@@ -212,7 +208,9 @@ def market_30d(df: DataFrame, targets=TARGETS, days: int = 30, key=K, date=D) ->
             )
             .drop("__zdn", "__hmean", "__hstd")
         )
-        result = result.join(
-            pct, (result["__dn"] == pct["__pdn"]) & (result[key] == pct["__pk"]), "left"
-        ).drop("__pdn", "__pk")
+        result = (
+            result.join(pct, (result["__dn"] == pct["__pdn"]) & (result[key] == pct["__pk"]), "left")
+            .withColumn(f"{t}_market_pct_{days}d", F.try_divide(F.col("__le").cast("double"), F.col("__all").cast("double")))
+            .drop("__pdn", "__pk", "__le", "__all")
+        )
     return result.drop("__dn", *[f"__c_{t}" for t in targets])

@@ -56,4 +56,4 @@ def sql_round(expr: str, places: int = R) -> str:
 
 
 # Import the query modules so they register themselves.
-from ebbflow.plans import q_attr, q_basic, q_features, q_forecast, q_leak, q_market, q_more, q_score, q_select, q_stats, q_tech  # noqa: E402,F401
+from ebbflow.plans import q_attr, q_basic, q_features, q_forecast, q_leak, q_market, q_more, q_score, q_select, q_stats, q_tech, q_train  # noqa: E402,F401

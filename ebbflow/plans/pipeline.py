@@ -134,6 +134,12 @@ def predict(features: DataFrame, models: dict | None, start, cfg: FlowConfig = F
     return FC.forecast(features.select(K, D, *cfg.targets), start, cfg.prediction_days, mp, as_of_date, cfg.targets)
 
 
+def predict_from_bundle(features: DataFrame, model, start, cfg: FlowConfig = FlowConfig(), as_of_date=None) -> DataFrame:
+    """E2 from one loaded bundle (``FlowModel``): the model's value of each fund's latest row, blended into the forecast."""
+    values = model.transform(FC.latest_rows(features)).select(K, *[F.col(f"{t}_pred").alias(f"{t}_model") for t in cfg.targets])
+    return FC.forecast(features.select(K, D, *cfg.targets), start, cfg.prediction_days, values, as_of_date, cfg.targets)
+
+
 def submission(fc: DataFrame, date_name: str = D) -> DataFrame:
     """The 4-column output with the date as yyyyMMdd text."""
     renamed = fc.select(K, D, F.col("apply_amt").alias("apply_amt_pred"), F.col("redeem_amt").alias("redeem_amt_pred"))

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ebbflow.operators import attributes as AT
+from ebbflow.operators import clean as C
 from ebbflow.operators import leakage as LK
+from ebbflow.operators import normal_eq as NE
+from ebbflow.operators import recursion as RE
 from ebbflow.operators import select as SEL
 from ebbflow.operators import windows as W
 from ebbflow.plans import pipeline as PL
@@ -62,24 +66,32 @@ def future_variance(spark, sf):
 
 @query("truncation_test", None)
 def truncation_test(spark, sf):
-    """K3: look-ahead and same-day use per feature (a centred mean and same-day ratios must be caught)."""
-    f = flows(spark, sf).select(K, D, "apply_amt", "redeem_amt")
+    """K3: look-ahead and same-day use of every feature of the table, and of a centred mean (which must be caught)."""
+    f = cut_lineage(flows(spark, sf))
+    holidays = A.holidays_for(f)
     cut = f.agg(F.max(D)).first()[0] - dt.timedelta(days=30)
 
     def build(df):
-        cols = ("apply_amt",)
-        return df.select(
-            K,
-            D,
-            "apply_amt",
-            "redeem_amt",
-            *W.lag_columns(cols, (1, 7)),
-            *W.rolling_columns(cols, (7,)),
-            *W.rolling_inclusive_columns(cols, (7,), centred=True),
-            *W.rolling_inclusive_columns(cols, (7,)),
-        )
-
-    return LK.truncation_test(f, build, cut)
+        table = PL.create_features(df, holidays, fill=False)
+        centred = df.select(K, D, *W.rolling_inclusive_columns(("apply_amt",), (7,), centred=True))
+        return table.join(centred, [K, D])
+
+    return LK.truncation_test(f, build, cut, targets=("apply_amt", "redeem_amt"))
+
+
+@query("permutation_importance", None)
+def permutation_importance(spark, sf):
+    """K5: every feature known the day before, by how much a fitted model loses when its values are exchanged."""
+    table = cut_lineage(RE.add_model_features(C.clean_flows(flows(spark, sf)).select(K, D, "apply_amt"), ["apply_amt"]))
+    names = RE.feature_names(["apply_amt"])
+    model = NE.fit_parts(table, names, "apply_amt", F.lit(0), F.array(F.lit(0).cast("long"))).first()
+    coef, intercept = np.array(model["coef"]), model["intercept"]
+
+    def score(x):
+        return intercept + np.nan_to_num(x) @ coef
+
+    out = LK.permutation_importance(table, names, "apply_amt", score)
+    return out.select("feature", *[F.round(c, R).alias(c) for c in ("base_wmape", "permuted_wmape", "importance")])
 
 
 K5_CTE = GAPPY_CTE + """,

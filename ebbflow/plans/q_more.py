@@ -13,7 +13,6 @@ from ebbflow.operators import clean as C
 from ebbflow.operators import forecast as FC
 from ebbflow.operators import leakage as LK
 from ebbflow.operators import metrics as ME
-from ebbflow.operators import models as ML
 from ebbflow.plans.catalog import R, flows, query
 from ebbflow.plans.oracle_sql import with_flows
 from ebbflow.plans.q_attr import _code_sql
@@ -183,11 +182,3 @@ def availability(spark, sf):
     f = flows(spark, sf)
     named = LK.availability(f.select(*[F.lit(0.0).alias(c) for c in AVAILABLE]))
     return named.crossJoin(f.agg(F.count(F.lit(1)).alias("n")))
-
-
-@query("walk_forward_scores", None)
-def walk_forward_scores(spark, sf):
-    """M3: a linear model fitted on three 90-day windows and scored on the 7 days after each."""
-    w = Window.partitionBy(K).orderBy(D)
-    f = flows(spark, sf).select(K, D, *T2, *[F.coalesce(F.lag("apply_amt", n).over(w), F.lit(0.0)).alias(f"lag_{n}") for n in (1, 7)])
-    return ML.walk_forward_scores(f, "apply_amt", folds=(0, 10, 20))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ebbflow.operators import attributes as AT
 from ebbflow.operators import stats as S
 from ebbflow.plans.catalog import R, flows, query, round_floats
-from ebbflow.plans.oracle_sql import with_flows
+from ebbflow.plans.oracle_sql import ORACLE, with_flows
 from ebbflow.schema import D, K
 
 
@@ -132,7 +133,7 @@ def _at_last(c: str) -> str:
         f"""SELECT fund_code,
   {_r(f"coalesce({_at_last('rsi14')}, 50)")} AS rsi,
   {_r(f"CASE WHEN count(*) > 10 THEN coalesce({_at_last('mom10')}, 0) ELSE 0 END")} AS momentum,
-  {_r(f"least(greatest({_at_last('bpos')}, -1), 1)")} AS bollinger_pos,
+  {_r(f"CASE WHEN {_at_last('bpos')} IS NOT NULL THEN least(greatest({_at_last('bpos')}, -1), 1) END")} AS bollinger_pos,
   {_r('CASE WHEN count(*) > 1 THEN coalesce(avg(vol_pct), 0) ELSE 0 END')} AS volume_trend,
   {_r('CASE WHEN count(*) > 5 THEN coalesce(abs(covar_samp(idx, net) / nullif(stddev_samp(idx) * stddev_samp(net), 0)), 0) ELSE 0 END')} AS trend_strength,
   {_r(f"least(greatest({_at_last('sr')}, 0), 1)")} AS support_resistance
@@ -178,3 +179,41 @@ FROM s JOIN v USING (fund_code) LEFT JOIN dd USING (fund_code) GROUP BY s.fund_c
 def risk_stats(spark, sf):
     """VaR 95, max drawdown, Sharpe, volatility, skewness, kurtosis, tail risk."""
     return round_floats(S.risk_stats(flows(spark, sf)))
+
+
+# ------------------------------------------------------------------------ L12
+AS_OF = """flows AS (
+  WITH n AS (SELECT *, row_number() OVER (PARTITION BY fund_code ORDER BY transaction_date) AS rn,
+               strftime(transaction_date, '%Y-%m') AS ym FROM flows_raw),
+       e AS (SELECT fund_code, ym, max(rn) AS last FROM n GROUP BY fund_code, ym)
+  SELECT n.fund_code || ' ' || e.ym AS fund_code, transaction_date, apply_amt, redeem_amt
+  FROM n JOIN e ON n.fund_code = e.fund_code AND e.last - n.rn BETWEEN 0 AND 59)"""
+
+
+def as_of_months(sql: str) -> str:
+    """A statement on flows, on the last 60 rows up to each month end instead, keyed by fund and month."""
+    return sql.replace("flows AS (SELECT * FROM flows_raw)", AS_OF)
+
+
+def _monthly(spark, sf, *columns):
+    stats = AT.monthly_all_stats(flows(spark, sf))
+    key = F.concat(F.col(K), F.lit(" "), F.date_format("month", "yyyy-MM")).alias(K)
+    return round_floats(stats.select(key, *columns))
+
+
+@query("monthly_behavior", as_of_months(ORACLE["behavior_stats"]))
+def monthly_behavior(spark, sf):
+    """A2-A5 as of every month end."""
+    return _monthly(spark, sf, "correlation", "net_flow_vol", "apply_trend", "redeem_trend", "weekend_ratio", "month_end_ratio", "concentration")
+
+
+@query("monthly_signal", as_of_months(ORACLE["signal_stats"]))
+def monthly_signal(spark, sf):
+    """A6-A11 as of every month end."""
+    return _monthly(spark, sf, "rsi", "momentum", "bollinger_pos", "volume_trend", "trend_strength", "support_resistance")
+
+
+@query("monthly_risk", as_of_months(ORACLE["risk_stats"]))
+def monthly_risk(spark, sf):
+    """A12-A17 as of every month end."""
+    return _monthly(spark, sf, "var95", "max_drawdown", "sharpe", "volatility", "skewness", "kurtosis", "tail_risk")
