@@ -11,8 +11,8 @@ of one look-up per word and n-gram.
 Defined results: a null text is empty; an empty text scores by what all
 texts share; repeated labels of a document count as their maximum; a null
 id has remainder null, hence is not held out, and has no label; only ``doc_id`` and
-``text`` are read, so other columns cannot clash; without labels of both classes there
-is nothing to learn and ``train`` raises.
+``text`` are read, so other columns cannot clash; without labels of both classes every
+text scores the share of good labels (one half without any) and no document is rejected.
 """
 
 from __future__ import annotations
@@ -85,6 +85,7 @@ class Hasher:
 @dataclass
 class Model:
     weight: np.ndarray  # float32, one for each bucket
+    told: bool = True  # whether labels of both classes were seen
 
     def score(self, hasher: Hasher, text: str) -> float:
         logit = float(self.weight[hasher.features(text)].mean())
@@ -98,7 +99,7 @@ def fit(texts: list[str], labels: list[int], counts: tuple[int, int], seed: int
     sample holds too few or too many of weighs as it does there.
     """
     if len(set(labels)) < 2:
-        raise ValueError("labels of both classes are needed")
+        return prior(counts)
     rng, hasher = np.random.default_rng(seed), Hasher()
     rows = []
     for text in texts:
@@ -126,6 +127,12 @@ def fit(texts: list[str], labels: list[int], counts: tuple[int, int], seed: int
     return Model((vectors @ (out[1] - out[0])).astype(np.float32))
 
 
+def prior(counts: tuple[int, int]) -> Model:
+    """Without texts of both classes: every text scores the labels' share of the good, drawn a little to one half."""
+    share = (counts[1] + 1) / (sum(counts) + 2)
+    return Model(np.full(1 << BUCKET_BITS, math.log(share / (1 - share)), np.float32), told=False)
+
+
 def held_out(column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string")) % 4 == 2, F.lit(False))
 
@@ -143,7 +150,8 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
     ]
     sample = wanted[0].unionByName(wanted[1])  # at most 2 * rows_per_class rows of two numbers
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    rows = texts.join(F.broadcast(sample), "doc_id").collect()
+    found = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality")
+    rows = found.agg(F.min("text").alias("text")).collect()  # one row for each labelled id, however often it repeats
     rows.sort(key=lambda r: (r.doc_id, r.text))
     counts = dict(told.groupBy("quality").count().collect())
     return fit([r.text for r in rows], [r.quality for r in rows], (counts.get(0, 0), counts.get(1, 0)))
@@ -164,7 +172,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model, least: float = KEEP_SCORE) -> DataFrame:
-    """The rows, with all their columns, whose text scores at least ``least``."""
+    """The rows, with all their columns, whose text scores at least ``least``; all of them where the model knows one class or none."""
+    if not model.told:
+        return docs
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
