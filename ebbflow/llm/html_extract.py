@@ -9,6 +9,7 @@ of a node's pages have (``TEMPLATE_PAGES`` at least, copies of a page count once
 template.  The counts of all groups of a host add up, and the element that holds the slots
 (an article or main, if one varies) becomes the host's wrapper; a page's main text is what
 lies below the wrapper's element, without what is set apart there and its template texts.
+In an article or main, headings and texts that lead to varying ones are the author's, though they recur.
 
 A host may hold any share of the pages: its skeletons are dealt into groups of about
 ``GROUP_PAGES``, and only counts are brought together by host.  Defined results: a null
@@ -46,6 +47,9 @@ TEMPLATE_SHARE = 0.05
 #: Share of a host's pages from which on a class or id word names a kind; it also bounds their number.
 NAME_SHARE = 0.01
 NAMES = re.compile(r"[\s\"'](?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+CONTENT = ("article", "main")
+#: Below an article or main these, and what varying text follows under the same parent, stay though they recur.
+TITLES = frozenset("h1 h2 h3 h4 h5 h6 caption figcaption dt th summary legend".split())
 HOLDERS = ("html", "body", "main", "article", "section", "div", "td", "table", "center", "")
 STATS = "host string, path long, parent long, depth int, tag string, digest long, pages long, chars long, title boolean"
 
@@ -386,14 +390,16 @@ def extract(html: str, wrapper: dict | None, names: frozenset[str] = frozenset()
         if wrapper["tag"] in ("", "html", "body"):
             found = longest([[n] for n in everywhere(root, ("article", "main"))]) or found
         shared, top = set(wrapper["template"]), {id(n) for n in found}
-        gone, todo = [], [(tree, False)]
+        content = wrapper["tag"] in CONTENT
+        gone, todo = [], [(tree, False, False)]
         while todo:
-            node, inside = todo.pop()
-            if inside and node[2] in shared:
+            node, inside, leads = todo.pop()
+            if inside and node[2] in shared and not leads:
                 gone.extend(node[8])
             else:
                 inside = inside or any(id(n) in top for n in node[8])
-                todo.extend((c, inside) for c in node[5])
+                last = max((k for k, c in enumerate(node[5]) if c[3] and c[2] not in shared), default=-1)
+                todo.extend((c, inside, content and (c[1] in TITLES or k < last)) for k, c in enumerate(node[5]))
         whole = [line for n in found for line in blocks(n)]
         for n in gone:
             n.aside = True

@@ -98,6 +98,21 @@ def test_template_inside_an_article_goes(spark):
     assert {k: t.split("\n") for k, t in texts(spark, rows).items()} == {k: story(k) for k in range(12)}
 
 
+def recipe(k):
+    steps = "".join(f"<li>Step {k} {j}</li>" for j in range(3))
+    return (
+        f"<html><body><div class='links'>Home | About</div><article><h1>Dish {k}</h1><p class='by'>By Jane Doe</p><h2>Ingredients</h2>"
+        f"<p>{k} eggs and flour</p><h2>Method</h2><ol>{steps}</ol><div class='tools'>Print this page</div></article></body></html>"
+    )
+
+
+def test_recurring_headings_and_bylines_stay(spark):
+    got = texts(spark, [(k, f"http://a.example/{k}", recipe(k)) for k in range(12)])
+    for k, text in got.items():
+        own = [f"Dish {k}", "By Jane Doe", "Ingredients", f"{k} eggs and flour", "Method", *(f"Step {k} {j}" for j in range(3))]
+        assert text.split("\n") == own
+
+
 @pytest.mark.parametrize("body", ["<body>", "<body class='page-id-{k} post-{word}'>"])
 def test_ids_of_one_page_do_not_hinder_alignment(spark, body):
     words = [f"title-{a}{b}" for a in "abc" for b in "wxyz"]
