@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ebbflow.llm.common import blocks_for, table, whole_text
@@ -33,8 +33,11 @@ from ebbflow.session import checkpoint_dir
 
 SHARD_BYTES = 64 << 20
 ROLL_BYTES = 16 << 20
-#: Ranges counted for each shard wanted: how finely shards can be cut.
+#: Bins of equal width that the ids are first cut into.
+BINS = 4096
+#: Ranges for each shard's bytes: how finely shards can be cut.
 RANGES_PER_SHARD = 16
+RANGE_BITS = 40
 READ_BYTES = 1 << 20
 BATCH_ROWS = 2_000
 BATCH_BYTES = 8 << 20
@@ -124,22 +127,41 @@ def roles(pages: DataFrame, min_bytes: int) -> DataFrame:
 
 
 def shard_of_range(ranged: DataFrame, shard_bytes: int) -> DataFrame:
-    """range -> shard: neighbouring ranges fill a shard; a few ranges for each shard, so one task orders them."""
-    return ranged.groupBy("range").agg(F.sum("size").alias("size")).selectExpr(
-        "range",
-        "coalesce(sum(size) over (order by range rows between unbounded preceding and 1 preceding), 0)"
-        f" div {shard_bytes} as shard",
-    )
+    """range -> shard: neighbouring ranges fill a shard, counted on from what the bins before theirs hold."""
+    sizes = ranged.groupBy("range").agg(F.sum("size").alias("size")).withColumn("bin", F.shiftright("range", RANGE_BITS))
+    before = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # at most BINS + 1 rows
+    bins = sizes.groupBy("bin").agg(F.sum("size").alias("held"))
+    bins = bins.select("bin", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("bin").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    own = sizes.withColumn("own", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    return own.join(bins, "bin").select("range", F.expr(f"(offset + own) div {shard_bytes}").alias("shard"))
+
+
+def part_of(value: Column, low: Column, high: Column, parts: Column) -> Column:
+    """Which of so many equal parts of low to high (whole numbers of any size) the value lies in; never falls as it grows."""
+    low = low.cast("double")
+    share = (value.cast("double") - low) / (high.cast("double") - low + 1)
+    return F.when(value.isNotNull(), F.least(F.floor(share * parts), parts - 1).cast("long"))
+
 
+def with_range(pages: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
+    """Adds ``range``, which never falls with page_id, and gives the number of shards.
 
-def range_of(pages: DataFrame, shard_bytes: int) -> tuple[Column, int]:
-    """The range that a row's page_id falls in, and the number of shards."""
+    The ids are cut into ``BINS`` bins of equal width, and a bin, between the least and largest id it holds, into as many
+    ranges as its bytes ask for: ids far off the others do not widen the others' ranges.
+    """
     size = F.octet_length(whole_text("html")) + 1
     low, high, total = pages.agg(F.min("page_id"), F.max("page_id"), F.sum(size)).first()
     n_shards = blocks_for(total or 0, shard_bytes)
-    low, high = low or 0, high or 0
-    width = max(1, -(-(high - low + 1) // (n_shards * RANGES_PER_SHARD)))
-    return F.coalesce(F.expr(f"(page_id - {low}) div {width}"), F.lit(-1)), n_shards
+    own = part_of(F.col("page_id"), F.lit(low or 0), F.lit(high or 0), F.lit(BINS))
+    pages = pages.withColumn("_bin", F.coalesce(own, F.lit(-1).cast("long")))
+    bins = pages.groupBy("_bin").agg(F.min("page_id").alias("_low"), F.max("page_id").alias("_high"), F.sum(size).alias("_size"))
+    cuts = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("_size") * RANGES_PER_SHARD / shard_bytes))
+    bins = bins.withColumn("_cuts", F.least(cuts, F.lit(1 << (RANGE_BITS - 1))))
+    held = pages.join(F.broadcast(bins), "_bin")  # at most BINS + 1 rows
+    part = F.coalesce(part_of(F.col("page_id"), F.col("_low"), F.col("_high"), F.col("_cuts")), F.lit(0).cast("long"))
+    at = F.shiftleft(F.col("_bin"), RANGE_BITS) + part
+    return held.select("page_id", "url", "html", at.alias("range")), n_shards
 
 
 def write_warc(
@@ -148,9 +170,9 @@ def write_warc(
     """Writes page_id, url, html as archives below ``root``; returns the path of the manifest table."""
     spark = pages.sparkSession
     pages = pages.select(F.col("page_id").cast("long"), "url", "html")
-    at, n_shards = range_of(pages, shard_bytes)
+    pages, n_shards = with_range(pages, shard_bytes)
     payload = F.encode(whole_text("html"), "UTF-8")
-    rows = pages.select(at.alias("range"), "page_id", "url", payload.alias("payload")).withColumn("sha", F.sha1("payload"))
+    rows = pages.select("range", "page_id", "url", payload.alias("payload")).withColumn("sha", F.sha1("payload"))
     told = roles(rows, min_bytes).withColumn("kind", F.lit(0))
     records = told.unionByName(rows.withColumn("kind", F.lit(1)), allowMissingColumns=True)
     shards = shard_of_range(rows.select("range", (F.octet_length("payload") + 1).alias("size")), shard_bytes)

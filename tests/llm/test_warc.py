@@ -68,6 +68,20 @@ def test_same_rows_same_files(spark):
     assert names[0] == names[1]
 
 
+@pytest.mark.parametrize("far", [[], [9 * 10**12], [-(2**63), 2**63 - 1], [10**6 + k for k in range(50)]])
+def test_ids_far_off_do_not_fill_one_shard(spark, far):
+    ids = [*range(2000), *far, None]
+    rows = pages(spark, [(i, None, "x" * 99) for i in ids])
+    ranged, n_shards = warc.with_range(rows.select("page_id", "url", "html"), 10_000)
+    shards = warc.shard_of_range(ranged.withColumn("size", warc.F.lit(100)), 10_000)
+    got = ranged.join(shards, "range").select("page_id", "range", "shard").collect()
+    order = sorted(got, key=lambda r: (r.page_id is not None, r.page_id or 0))
+    assert [r.range for r in order] == sorted(r.range for r in got) and [r.shard for r in order] == sorted(r.shard for r in got)
+    held = [sum(r.shard == s for r in got) for s in {r.shard for r in got}]
+    assert len(got) == len(ids) and n_shards == -(-len(ids) // 100)
+    assert len(held) >= n_shards - 1 and max(held) <= 115
+
+
 def test_a_damaged_block_is_found():
     raw = gzip.decompress(warc.member(1, "u", b"payload", None, False))
     assert warc.parse(raw)[2] == 7
