@@ -177,4 +177,5 @@ def with_digests(encoded: DataFrame, *more: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole text, and the text they decode to."""
     return with_digests(encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))

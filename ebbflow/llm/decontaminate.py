@@ -247,4 +247,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark, verbatim or re-parameterised."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

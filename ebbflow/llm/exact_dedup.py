@@ -150,6 +150,7 @@ def second_half(column: str = "doc_id") -> Column:
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document, the row that stays of its equal texts."""
     return exact_dedup(table(spark, sf_dir, "documents"), second_half())
 
 

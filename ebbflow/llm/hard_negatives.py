@@ -280,6 +280,7 @@ def mine(embeddings: DataFrame) -> DataFrame:
 
 
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector and each of its positives."""
     return mine(table(spark, sf_dir, "embeddings"))
 
 

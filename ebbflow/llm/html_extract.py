@@ -438,4 +438,5 @@ def main_text(pages: DataFrame) -> DataFrame:
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return main_text(table(spark, sf_dir, "pages"))

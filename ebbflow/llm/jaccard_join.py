@@ -450,4 +450,5 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document, its set of word shingles and the component it is linked to."""
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -253,6 +253,7 @@ def manifest(docs: DataFrame, height: int = TILE_LEVELS) -> DataFrame:
 
 
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, and which of them fail it once a fifth is tampered with."""
     return manifest(table(spark, sf_dir, "documents"))
 
 

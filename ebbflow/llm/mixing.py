@@ -188,4 +188,5 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that a mix of weighted sources takes of every document."""
     return mix(table(spark, sf_dir, "documents"))

@@ -181,4 +181,5 @@ def write_matrices(packed: DataFrame, root: str, length: int = LENGTH) -> DataFr
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token ids, packed into rows of one length."""
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))

@@ -187,6 +187,7 @@ def keep_good(docs: DataFrame, model: Model, least: float = KEEP_SCORE) -> DataF
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document."""
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
     return score(docs, model).select(

@@ -125,5 +125,6 @@ def shard_documents(docs: DataFrame, tree: list[Shard], grown: list[Shard]) -> D
 
 
 def op8_sharding(spark, sf_dir: str) -> DataFrame:
+    """The shard and slot of every document, and its shard with one more."""
     tree = topology(8)
     return shard_documents(table(spark, sf_dir, "documents"), tree, grow(tree))

@@ -355,6 +355,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document, the bytes that a document before it holds too."""
     gone = F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
     return remove_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id",

@@ -298,6 +298,7 @@ def scratch_root(spark: SparkSession, name: str) -> str:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back."""
     root = scratch_root(spark, "warc")
     manifest = write_warc(table(spark, sf_dir, "pages"), root)
     return read_warc(spark, manifest, root).select(
