@@ -3,6 +3,13 @@
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a
 DataFrame, the columns of ``documents`` but for the last.  ``run`` applies them to the
 table ``documents``, writing what each keeps as Parquet in the shared folder.
+
+Defined results: a null text counts as empty, passes every filter that it does not fail as
+such, and encodes to no ids; very long texts are read whole; of equal or linked documents one
+stays (equal: the largest id, linked: the smallest), rows that repeat an id and text count once from
+the second stage on; rows without an id are documents of their own; columns of other names are
+carried through unread, whatever they are called; an empty table gives an empty result, and
+without labels of both classes the first stage rejects nothing.
 """
 
 from __future__ import annotations
@@ -53,6 +60,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of the documents that all stages keep."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
