@@ -23,9 +23,12 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import Window
 from pyspark.sql import functions as F  # noqa: E402
 
+from ebbflow.operators import boosting as BO  # noqa: E402
 from ebbflow.operators import forecast as FC  # noqa: E402
 from ebbflow.operators import market as M  # noqa: E402
 from ebbflow.operators import metrics as MT  # noqa: E402
+from ebbflow.operators import normal_eq as NE  # noqa: E402
+from ebbflow.operators import recursion as RE  # noqa: E402
 from ebbflow.operators import select as SEL  # noqa: E402
 from ebbflow.operators import stats as S  # noqa: E402
 from ebbflow.operators import technical as TE  # noqa: E402
@@ -81,6 +84,19 @@ def main() -> None:
     table = {}
     timed("training_table", lambda: table.update(t=PL.training_table(daily, A.holidays_for(daily)).cache()) or table["t"].count())
     timed("fit_linear", lambda: PL.train(table["t"], cfg, kind="linear"))
+    known = RE.add_model_features(daily.select(K, D, *T2)).cache()
+    timed("model_features", lambda: known.count())
+    timed("walk_forward", lambda: force(NE.walk_forward_scores(known, RE.feature_names(), "apply_amt")))
+    timed("boosted_10x4", lambda: BO.fit_boosted(known, RE.feature_names(), "apply_amt", trees=10, depth=4))
+    names = RE.feature_names()
+    linear = NE.fit_parts(known, names, "apply_amt", F.lit(0), F.array(F.lit(0).cast("long")))
+
+    def linear_pred(x):
+        both = NE.predicted(x.withColumn("fold", F.lit(0)), linear, names, "apply_amt_pred").drop("fold")
+        return both.withColumn("redeem_amt_pred", F.col("apply_amt_pred") / 2)
+
+    last = daily.agg(F.max(D)).first()[0] + dt.timedelta(days=1)
+    timed("recursive_model", lambda: force(RE.recursive_model_forecast(daily, linear_pred, last, 2)))
 
     total = round(sum(times.values()), 3)
     print(json.dumps({"metric": "total_sec", "value": total, "unit": "sec", "queries": times, "sf": sf,

@@ -164,6 +164,19 @@ def attr_audit(spark, sf):
     return IO.attribute_audit(j)
 
 
+SAMPLED = ("fund_category", "risk_level", "market_beta", "embed_0")
+
+
+@query(
+    "attr_sample",
+    f"SELECT fund_code, transaction_date, {', '.join(SAMPLED)} FROM ({_attr_join_sql()}) ORDER BY fund_code, transaction_date LIMIT 5",
+)
+def attr_sample(spark, sf):
+    """The semantic columns of the first five rows after the attribute join."""
+    f, attrs = _attrs_subset(spark, sf)
+    return IO.attribute_sample(AT.join_attributes(f, attrs)).select(K, D, *SAMPLED)
+
+
 MONTHLY_SQL = f"""SELECT fund_code, CAST(date_trunc('month', transaction_date) AS DATE) AS month,
   {_r('avg(apply_amt) OVER w')} AS avg_apply, {_r('avg(redeem_amt) OVER w')} AS avg_redeem,
   {_r('stddev_samp(apply_amt) OVER w')} AS std_apply, {_r('stddev_samp(redeem_amt) OVER w')} AS std_redeem,

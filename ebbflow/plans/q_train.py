@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ebbflow.operators import boosting as BO
 from ebbflow.operators import bundle as BU
+from ebbflow.operators import calendar as CAL
 from ebbflow.operators import clean as C
 from ebbflow.operators import ensemble as EN
+from ebbflow.operators import lunisolar as LU
 from ebbflow.operators import metrics as ME
 from ebbflow.operators import normal_eq as NE
 from ebbflow.operators import recursion as RE
@@ -22,6 +24,7 @@ from ebbflow.plans.q_more import shared_path
 from ebbflow.schema import D, K, TARGETS, FlowConfig
 from ebbflow.session import cut_lineage
 from ebbflow.sources import adapters as A
+from ebbflow.sources.incremental import IncrementalFeatures
 
 T2 = list(TARGETS)
 PART = "PARTITION BY fund_code ORDER BY transaction_date"
@@ -174,3 +177,38 @@ def recursive_model(spark, sf):
     return RE.recursive_model_forecast(f, model.transform, start, FlowConfig().prediction_days).select(
         K, D, "day_idx", *[F.round(t, R).alias(t) for t in T2]
     )
+
+
+# ------------------------------------------------------------------- S5 / J4
+@query(
+    "incremental_features",
+    with_flows(
+        f"SELECT fund_code, transaction_date, apply_amt, lag(apply_amt, 1) OVER w AS apply_amt_lag_1, lag(apply_amt, 7) OVER w AS apply_amt_lag_7, "
+        f"round(avg(apply_amt) OVER (w ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), {R}) + 0.0 AS apply_amt_roll_mean_7, "
+        f"round(stddev_samp(apply_amt) OVER (w ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING), {R}) + 0.0 AS apply_amt_roll_std_30, "
+        "sum(apply_amt) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS apply_amt_cumsum, "
+        "max(redeem_amt) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS redeem_amt_cummax "
+        "FROM flows WINDOW w AS (PARTITION BY fund_code ORDER BY transaction_date)"
+    ),
+)
+def incremental_features(spark, sf):
+    """A feature table of all days but the last two, the days appended one after the other, and read whole."""
+    f = cut_lineage(flows(spark, sf).select(K, D, *T2))
+    last = f.agg(F.max(D)).first()[0]
+    table = IncrementalFeatures(spark, shared_path(spark, "features"))
+    for back in (2, 0):
+        table.append(f.where(F.col(D) <= F.lit(last - dt.timedelta(days=back))))
+    if not table.covers(f):
+        raise ValueError("the appended table lacks rows")
+    means = [F.round(c, R).alias(c) for c in ("apply_amt_roll_mean_7", "apply_amt_roll_std_30")]
+    return table.read().select(
+        K, D, "apply_amt", "apply_amt_lag_1", "apply_amt_lag_7", *means, "apply_amt_cumsum", "redeem_amt_cummax"
+    )
+
+
+# ------------------------------------------------------------------------ D5
+@query("lunisolar_holidays", None)
+def lunisolar_holidays(spark, sf):
+    """Holiday, eve and day-after flags from the Chinese calendar's statutory days, new moons and solar terms computed."""
+    f = flows(spark, sf).select(K, D, *T2)
+    return CAL.add_holiday_flags(f, LU.chinese_holidays(f))

@@ -163,3 +163,8 @@ def attribute_audit(df: DataFrame) -> DataFrame:
     """Per semantic column its null count; the column count is in every row."""
     cols = semantic_columns(df)
     return null_counts(df, cols).withColumn("n_semantic_columns", F.lit(len(cols)))
+
+
+def attribute_sample(df: DataFrame, n: int = 5) -> DataFrame:
+    """Key, date and the semantic columns of the first ``n`` rows."""
+    return df.select(K, D, *[c for c in semantic_columns(df) if c not in (K, D)]).orderBy(K, D).limit(n)
