@@ -164,7 +164,7 @@ def attr_audit(spark, sf):
     return IO.attribute_audit(j)
 
 
-SAMPLED = ("fund_category", "risk_level", "market_beta", "embed_0")
+SAMPLED = ("fund_category", "risk_level", "embed_0")
 
 
 @query(
