@@ -116,6 +116,54 @@ def test_jaccard_near_the_bound(spark):
     assert near(spark, rows) == brute_components(rows)
 
 
+def copies_of(base, n, seed, edits):
+    """Near copies of a text: ``edits`` words of each changed, at places of its own."""
+    r = np.random.default_rng(seed)
+    out = []
+    for k in range(n):
+        changed = list(base)
+        for place in r.choice(len(base), edits, replace=False):
+            changed[place] = f"w{seed}x{k}y{place}"
+        out.append(" ".join(changed))
+    return out
+
+
+def test_blocks_of_many_tiles(spark, monkeypatch):
+    """Groups far larger than a tile, of close copies, of copies about the bound, and two that share blocks without a link."""
+    monkeypatch.setattr(jaccard_join, "TILE", 8)
+    base = words(41, 100).split(" ")
+    other = base[:62] + words(42, 38).split(" ")
+    texts = copies_of(base, 60, 1, 1) + copies_of(base, 50, 2, 3) + copies_of(other, 40, 3, 1) + copies_of(words(43, 60).split(" "), 30, 4, 1)
+    rows = list(enumerate(texts, 1))
+    got = near(spark, rows)
+    assert got == brute_components(rows) and len({c for _, _, c in got}) < len(rows)
+
+
+def test_all_tiles_meet_every_two_roots(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "TILE", 8)
+    roots = [1] * 30 + [2] * 21 + [3] * 5 + [4, 5, 6, 7]
+    rows = [(9, k, r) for k, r in enumerate(roots)] + [(8, k, r) for k, r in enumerate(roots[26:34])]
+    blocks = spark.createDataFrame(rows, "key long, set_id long, root long")
+    tiles = jaccard_join.all_tiles(blocks).collect()
+    met = {}
+    for t in tiles:
+        met.setdefault((t.key, t.i, t.j), []).append(t)
+    pairs = set()
+    for (key, i, j), held in met.items():
+        pairs |= {(key, *sorted((a.set_id, b.set_id))) for a in held for b in held if a.root != b.root and (i == j or a.part != b.part)}
+        assert len(held) <= 40
+    want = {(k, *sorted((a, b))) for k, a, ra in rows for m, b, rb in rows if k == m and ra != rb}
+    assert pairs == want
+
+
+def test_tiles_grow_with_the_group(spark):
+    made = []
+    for n in (600, 1200):
+        blocks = spark.range(n).selectExpr("1L AS key", "id AS set_id", "id AS root")
+        made.append(jaccard_join.chained_tiles(blocks).count())
+    assert made[0] <= 2 * 600 and made[1] <= 2 * 1200
+
+
 def test_jaccard_on_documents(spark):
     rows = [(r.doc_id, r.text) for r in table(spark, SF, "documents").collect()]
     assert near(spark, rows) == brute_components(rows)
