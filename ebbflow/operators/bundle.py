@@ -34,7 +34,7 @@ SEEN = "name string, value string"
 
 
 class FlowEstimator(Estimator):
-    """Fits the preparation and a regressor of ``kind`` per target on a feature table."""
+    """Fits the preparation and a regressor of ``kind`` per target on a feature table, which is read several times: a written one."""
 
     def __init__(self, kind: str = "gbt", cfg: FlowConfig = FlowConfig(), select: bool = True):
         super().__init__()

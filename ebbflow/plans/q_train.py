@@ -159,7 +159,7 @@ def boosted_trees(spark, sf):
 def predict_only(spark, sf):
     """The preparation and models saved as one bundle, loaded again, and the forecast made from them alone."""
     f = flows(spark, sf)
-    table = PL.training_table(f, A.holidays_for(f), select=False, fill=False)
+    table = cut_lineage(PL.training_table(f, A.holidays_for(f), select=False, fill=False))  # every pass of the fit reads it
     path = shared_path(spark, "bundle")
     BU.FlowEstimator("linear").fit(table).write().save(path)
     model = BU.FlowModel.load(path)
