@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbflow.plans import oracle_sql as O
+from ebbflow.session import cut_lineage
 from ebbflow.sources import adapters as A
 
 R = 4
@@ -51,6 +52,11 @@ def flows(spark: SparkSession, sf: str, adapter: str = "lineitem") -> DataFrame:
     return A.ADAPTERS[adapter](spark, sf)
 
 
+def written_flows(spark: SparkSession, sf: str, adapter: str = "lineitem") -> DataFrame:
+    """The flow table for queries that read it several times: the raw tables are aggregated once."""
+    return cut_lineage(flows(spark, sf, adapter))
+
+
 def sql_round(expr: str, places: int = R) -> str:
     return f"round({expr}, {places})"
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ebbflow.operators import calendar as CAL
 from ebbflow.operators import clean as C
-from ebbflow.plans.catalog import R, flows, query, round_floats
+from ebbflow.plans.catalog import R, flows, query, round_floats, written_flows
 from ebbflow.plans.oracle_sql import HOLIDAYS_SQL, with_flows
 from ebbflow.schema import D, K
 from ebbflow.sources import adapters as A
@@ -64,7 +64,7 @@ FROM (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM
 @query("iqr_bounds", _iqr_sql())
 def iqr_bounds(spark, sf):
     """Exact IQR bounds (factor 3) and outlier counts per column."""
-    return round_floats(C.outlier_counts(flows(spark, sf)))
+    return round_floats(C.outlier_counts(written_flows(spark, sf)))
 
 
 def _clean_sql() -> str:
@@ -88,7 +88,7 @@ WHERE fund_code IN (SELECT fund_code FROM flows GROUP BY fund_code HAVING count(
 @query("clean_flows", _clean_sql())
 def clean_flows(spark, sf):
     """Winsorise to the IQR bounds, clip at 0, keep funds with >= 30 rows."""
-    return round_floats(C.clean_flows(flows(spark, sf)))
+    return round_floats(C.clean_flows(written_flows(spark, sf)))
 
 
 @query(
