@@ -25,7 +25,7 @@ from ebbflow.functions.exprs import eps_ratio, fund_window
 from ebbflow.operators import technical as TE
 from ebbflow.operators import windows as W
 from ebbflow.schema import D, EPS, K, TARGETS, FlowConfig
-from ebbflow.session import cut_lineage
+from ebbflow.session import cut_lineage, spread
 
 #: Values of a fund that the features read: 30 rows and the one before them.
 RING = 31
@@ -100,7 +100,7 @@ def add_model_features(df: DataFrame, targets=TARGETS, cfg: FlowConfig = FlowCon
     """Key, date, targets and, for each row, the features known before its day (those of the rows before it)."""
     targets = list(targets)
     w = fund_window(key, date)
-    s = _with_sums(df.select(key, date, *targets), targets, cfg, key, date)
+    s = _with_sums(spread(df.select(key, date, *targets), key), targets, cfg, key, date)
     same_day = []
     for t in targets:
         same_day += [c for c in W.diff_columns([t], cfg.diff_periods, key, date, accel_max=0)]

@@ -15,7 +15,7 @@ from ebbflow.operators import recursion as RE
 from ebbflow.operators import select as SEL
 from ebbflow.operators import windows as W
 from ebbflow.plans import pipeline as PL
-from ebbflow.plans.catalog import R, flows, query, round_floats
+from ebbflow.plans.catalog import R, flows, query, round_floats, written_flows
 from ebbflow.plans.oracle_sql import with_flows
 from ebbflow.plans.q_select import GAPPY, GAPPY_CTE, gappy
 from ebbflow.schema import D, K, FlowConfig
@@ -67,7 +67,7 @@ def future_variance(spark, sf):
 @query("truncation_test", None)
 def truncation_test(spark, sf):
     """K3: look-ahead and same-day use of every feature of the table, and of a centred mean (which must be caught)."""
-    f = cut_lineage(flows(spark, sf))
+    f = written_flows(spark, sf)
     holidays = A.holidays_for(f)
     cut = f.agg(F.max(D)).first()[0] - dt.timedelta(days=30)
 
@@ -82,7 +82,8 @@ def truncation_test(spark, sf):
 @query("permutation_importance", None)
 def permutation_importance(spark, sf):
     """K5: every feature known the day before, by how much a fitted model loses when its values are exchanged."""
-    table = cut_lineage(RE.add_model_features(C.clean_flows(flows(spark, sf)).select(K, D, "apply_amt"), ["apply_amt"]))
+    f = cut_lineage(C.clean_flows(written_flows(spark, sf)).select(K, D, "apply_amt"))
+    table = cut_lineage(RE.add_model_features(f, ["apply_amt"]))
     names = RE.feature_names(["apply_amt"])
     model = NE.fit_parts(table, names, "apply_amt", F.lit(0), F.array(F.lit(0).cast("long"))).first()
     coef, intercept = np.array(model["coef"]), model["intercept"]
@@ -127,14 +128,14 @@ def suspicious_corr(spark, sf):
 @query("flagship_features", None)
 def flagship_features(spark, sf):
     """E1's table: cleaned flows, every feature stage, attributes, selection and fills."""
-    f = flows(spark, sf)
+    f = written_flows(spark, sf)
     return PL.training_table(f, A.holidays_for(f), AT.default_attributes(f))
 
 
 @query("select_report", None)
 def select_report(spark, sf):
     """V1-V5 over every feature: the columns that selection drops, and why."""
-    f = flows(spark, sf)
+    f = written_flows(spark, sf)
     feats = PL.training_table(f, A.holidays_for(f), AT.default_attributes(f), select=False, fill=False)
     _, report = SEL.validate_and_select(cut_lineage(feats))
     return spark.createDataFrame([(r["column"], r["reason"]) for r in report], "column string, reason string")
@@ -146,7 +147,7 @@ def train_predict(spark, sf):
 
     ``PL.train(kind="gbt")`` fits the boosted model on the same table; it takes longer.
     """
-    f = flows(spark, sf)
+    f = written_flows(spark, sf)
     feats = PL.training_table(f, A.holidays_for(f), AT.default_attributes(f))
     models, _ = PL.train(feats, FlowConfig(), kind="linear")
     start = f.agg(F.max(D)).first()[0] + dt.timedelta(days=1)

@@ -61,3 +61,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The rows dealt by key into as many partitions as there are keys, ``spark.sql.shuffle.partitions`` at most.
+
+    The series windows are bound by CPU over rows that are small in bytes: a shuffle that AQE may
+    coalesce by size puts them, and every pass over their table, into one task.  ``df`` is read twice.
+    """
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(1, min(df.select(key).distinct().count(), most)), key)
