@@ -24,7 +24,7 @@ from ebbflow.operators import split as SP
 from ebbflow.operators import technical as TE
 from ebbflow.operators import windows as W
 from ebbflow.schema import D, K, FlowConfig
-from ebbflow.session import cut_lineage
+from ebbflow.session import cut_lineage, spread
 from ebbflow.sources import io as IO
 
 CALENDAR_COLS = (
@@ -41,7 +41,7 @@ def create_features(flows: DataFrame, holidays: DataFrame | None = None, cfg: Fl
     base_cols = list(flows.columns)
     # Stages that need their own sort run first, while rows are narrow: the
     # exact percentile (log2 levels) and the exponential block sums.
-    df = M.add_historical_percentile(flows, cfg.targets, cfg.rolling_windows)
+    df = M.add_historical_percentile(spread(flows, K), cfg.targets, cfg.rolling_windows)
     x5_cols = [c for c in df.columns if c not in base_cols]
     df = TE.add_technical_features(df, cfg.targets, cfg.ewm_alphas)
     tech_cols = [c for c in df.columns if c not in base_cols and c not in x5_cols]
